@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.llm import encoding, formatdups, survivor
+from placeloom.llm import addresses, encoding, formatdups, survivor
 
 
 def _t(spark, folder, name):
@@ -11,6 +11,7 @@ def _t(spark, folder, name):
 
 def queries():
     return {
+        "p1_found": lambda s, d: addresses.same_building(_t(s, d, "address_records")),
         "p5_found": lambda s, d: formatdups.format_duplicates(_t(s, d, "raw_places")).selectExpr("first_id as first_raw_id", "row_id as raw_id"),
         "p6_found": lambda s, d: survivor.trusted_survivors(_t(s, d, "raw_places")),
         "p6_fused": lambda s, d: fused(s, d),
