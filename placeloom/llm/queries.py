@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.llm import addresses, encoding, formatdups, survivor
+from placeloom.llm import addresses, encoding, formatdups, matching, survivor
 
 
 def _t(spark, folder, name):
@@ -12,6 +12,8 @@ def _t(spark, folder, name):
 def queries():
     return {
         "p1_found": lambda s, d: addresses.same_building(_t(s, d, "address_records")),
+        "p3_found": lambda s, d: matched(s, d).select("final_id", "osm_id"),
+        "p3_scored": lambda s, d: matched(s, d),
         "p5_found": lambda s, d: formatdups.format_duplicates(_t(s, d, "raw_places")).selectExpr("first_id as first_raw_id", "row_id as raw_id"),
         "p6_found": lambda s, d: survivor.trusted_survivors(_t(s, d, "raw_places")),
         "p6_fused": lambda s, d: fused(s, d),
@@ -25,3 +27,9 @@ def fused(spark, folder):
 
     claims = survivor.claims_of(_t(spark, folder, "raw_places"), source=F.col("source_category"))
     return survivor.fuse_claims(claims).withColumnRenamed("object", "place_id")
+
+
+def matched(spark, folder):
+    """Accepted places and mapped objects that are the same firm, with the confidence of each pair."""
+    pairs = matching.match_places(matching.register_side(_t(spark, folder, "final_filtered")), matching.mapped_side(_t(spark, folder, "osm_places")))
+    return pairs.selectExpr("id_a as final_id", "id_b as osm_id", "confidence")
