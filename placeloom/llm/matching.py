@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ GENERIC = set(
     "kafe restoran bar pab bistro stolovaya kofeynya pekarnya konditerskaya pitstseriya supermarket magazin minimarket market produkty gastronom lavka fabrika tsekh kombinat zavod "
     "proizvodstvo chasovnya khram tserkov sobor monastyr mechet sinagoga obshchina prikhod molitvennyy ooo oao ao zao ip pao nko ro i no g gorod".split()
 )
-#: Rows of the title's and of the street's MinHash.
-TITLE_ROWS, STREET_ROWS = 4, 2
+#: MinHash rows of each word of a title and of a street.
+TITLE_ROWS, STREET_ROWS = 3, 2
 #: Side of a map cell in degrees of latitude (about 220 m); objects look into the four cells nearest to them.
 CELL = 0.002
 #: Labelled pairs that the classifier is fitted on, at most.
@@ -78,7 +79,7 @@ def prepare(df: DataFrame) -> DataFrame:
                         "number": p.number if street else "",
                         "lat": lat if ok else None,
                         "lon": lon if ok else None,
-                        "title_rows": minhash(_grams(tokens), TITLE_ROWS),
+                        "title_rows": sorted({h for w in tokens for h in minhash(_grams([w]), TITLE_ROWS)}),
                         "street_rows": [h for w in street for h in minhash(_grams([w]), STREET_ROWS)],
                     }
                 )
@@ -116,7 +117,13 @@ def _same(a: str, b: str) -> bool:
 
 
 def _overlap(a, b) -> int:
-    return sum(any(_same(x, y) for y in b) for x in a)
+    """Letters of the words of ``a`` that ``b`` has, a slip aside."""
+    return sum(len(x) for x in a if any(_same(x, y) for y in b))
+
+
+def _same_road(a, b) -> bool:
+    """Whether two lists of street words share one, up to two slips in a long word."""
+    return any(_same(x, y) or (min(len(x), len(y)) >= 8 and SequenceMatcher(None, x, y, False).ratio() >= 0.8) for x in a for y in b)
 
 
 def _compare(f, o, lat_a, lon_a, lat_b, lon_b) -> tuple[float, ...]:
@@ -125,15 +132,15 @@ def _compare(f, o, lat_a, lon_a, lat_b, lon_b) -> tuple[float, ...]:
     tb, nb, sb, kb, ob, hb = o
     short, long_ = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
     hit = _overlap(short, long_)
-    contain = hit / max(1, len(short))
-    jaccard = hit / max(1, len(ta) + len(tb) - hit)
+    size = lambda ws: sum(map(len, ws))
+    contain = hit / max(1, size(short))
+    jaccard = hit / max(1, size(short) + size(long_) - hit)
     exact = float(list(ta) == list(tb) and list(na) == list(nb))
     conflict = float(bool(set(na) ^ set(nb)))
     metres = math.hypot((lat_a - lat_b) * 111320, (lon_a - lon_b) * 111320 * math.cos(math.radians(lat_a)))
     address = 0
     if ha and hb:
-        road = _overlap(sb, sa) > 0 if len(sb) <= len(sa) else _overlap(sa, sb) > 0
-        same = road and ha == hb and oa == ob and (not ka or not kb or ka == kb)
+        same = _same_road(sa, sb) and ha == hb and oa == ob and (not ka or not kb or ka == kb)
         address = 1 if same else -1
     return contain, jaccard, exact, conflict, metres, address
 
