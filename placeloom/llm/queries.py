@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.llm import addresses, encoding, formatdups, matching, survivor
+from placeloom.llm import addresses, encoding, formatdups, matching, mixing, splitting, survivor
 
 
 def _t(spark, folder, name):
@@ -18,6 +18,9 @@ def queries():
         "p6_found": lambda s, d: survivor.trusted_survivors(_t(s, d, "raw_places")),
         "p6_fused": lambda s, d: fused(s, d),
         "p8_ids": lambda s, d: encoding.encode_texts(_t(s, d, "documents"), "doc_id", "text"),
+        "p9_mix": lambda s, d: mixing.mix_sources(_t(s, d, "documents"), _t(s, d, "mix_targets")),
+        "p9_shares": lambda s, d: mixing.mix_shares(mixing.mix_sources(_t(s, d, "documents"), _t(s, d, "mix_targets")), _t(s, d, "mix_targets")),
+        "p10_pieces": lambda s, d: splitting.split_oversized(_t(s, d, "documents"), _t(s, d, "size_limits")),
     }
 
 
