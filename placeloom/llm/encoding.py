@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.tokenizing import TOKENIZER_DIR, engine
+from placeloom.llm.tokenizing import TOKENIZER_DIR, UnitTable, engine, numbered
 
 #: Characters encoded at a time by a worker.
 SLICE_CHARS = 4_000_000
@@ -28,6 +28,12 @@ def text_slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def token_offsets(table: UnitTable, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the tokens of each text start among those of all texts, and where the last ends."""
+    per = np.concatenate(([0], np.cumsum(table.count[flat])))
+    return per[np.concatenate(([0], np.cumsum(sizes)))]
+
+
 def encode_texts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each text, without special tokens.
 
@@ -42,15 +48,14 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "by
 
     def run(batches):
         eng = engine(tokenizer, folder)
-        store = eng.store()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_slices(texts):
-                flat, sizes = store.codes([eng.cut(t) for t in texts[a:b]])
-                ids = store.ids[store.gather(flat)]
-                per = np.concatenate(([0], np.cumsum(store.count[flat])))
-                offsets = per[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["_k", "ids"])
+                for which, _, flat, sizes in numbered(texts[a:b], [eng]):
+                    table = eng.table()
+                    offsets = token_offsets(table, flat, sizes).astype(np.int32)
+                    rows = batch.column(0).take(pa.array(np.asarray(which) + a))
+                    yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ids[table.gather(flat)]))], names=["_k", "ids"])
 
     out = slim.mapInArrow(run, f"_k {id_type.simpleString()}, ids array<int>")
     return out.withColumnRenamed("_k", id_col)
@@ -65,15 +70,12 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "by
 
     def run(batches):
         eng = engine(tokenizer, folder)
-        store = eng.store()
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             counts = np.zeros(len(texts), dtype=np.int64)
             for a, b in text_slices(texts):
-                flat, sizes = store.codes([eng.cut(t) for t in texts[a:b]])
-                per = np.concatenate(([0], np.cumsum(store.count[flat])))
-                edge = per[np.concatenate(([0], np.cumsum(sizes)))]
-                counts[a:b] = np.diff(edge)
+                for which, _, flat, sizes in numbered(texts[a:b], [eng]):
+                    counts[np.asarray(which) + a] = np.diff(token_offsets(eng.table(), flat, sizes))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return slim.mapInArrow(run, schema)

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.encoding import text_slices
-from placeloom.llm.tokenizing import TOKENIZER_DIR, engine
+from placeloom.llm.encoding import text_slices, token_offsets
+from placeloom.llm.tokenizing import MARK, TOKENIZER_DIR, UNITS, coarse_cut, engine, numbered
 
 #: Characters of a range, and of the halo in which its end is sought.
 RANGE_CHARS, HALO_CHARS = 1_000_000, 20_000
@@ -93,12 +93,54 @@ def read_limits(limits: DataFrame) -> list[tuple[str, int, int]]:
     return sorted({(r.tokenizer, int(r.max_tokens), int(r.overlap_tokens or 0)) for r in rows if r.tokenizer and r.max_tokens})
 
 
-def _token_ends(store, flat: np.ndarray) -> np.ndarray:
-    """The character after each token of a text, -1 - that within a character."""
-    n = store.count[flat]
-    before = np.repeat(np.cumsum(store.chars[flat]) - store.chars[flat], n)
-    rel = store.ends[store.gather(flat)].astype(np.int64)
-    return np.where(rel >= 0, rel + before, rel - before)
+def nearest_pieces(text: str, ends: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """As ``choose_pieces`` for a text at hand: boundaries are sought backwards from what the limit allows."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
+    done = np.where(ends >= 0, ends, -1 - ends)  # characters complete after each token
+    n, pieces, start, char = len(ends), [], 0, 0
+
+    def tokens_at(place: int, low: int, top: int) -> int:
+        """Tokens before a character, 0 if none ends there or the overlap would begin within one."""
+        k = int(done.searchsorted(place, "right"))
+        while k and ends[k - 1] < 0 and done[k - 1] == place:
+            k -= 1
+        return k if low < k <= top and ends[k - 1] == place and (not overlap or ends[k - overlap - 1] >= 0) else 0
+
+    while n - start > limit:
+        top, cut = start + limit, 0
+        for low in (start + max(limit // 2, overlap), start + overlap):
+            c0, c1 = int(done[low - 1]) if low else 0, int(done[top - 1])
+            line = 0
+            p = text.rfind("\n", c0, c1)
+            while p >= 0 and not cut:  # line ends backwards, until one that follows an empty line
+                if not line:
+                    line = tokens_at(p + 1, low, top)
+                q = p
+                while q > 0 and text[q - 1] in " \t\r":
+                    q -= 1
+                if q > 0 and text[q - 1] == "\n":
+                    cut = tokens_at(p + 1, low, top)
+                p = text.rfind("\n", c0, p)
+            cut = cut or line
+            for rx in _NATURAL[2:]:
+                for m in () if cut else reversed(list(rx.finditer(text, c0, min(len(text), c1 + 1)))):
+                    if cut := tokens_at(m.end(), low, top):
+                        break
+            k = top
+            while not cut and k > low:
+                if ends[k - 1] >= 0 and (not overlap or ends[k - overlap - 1] >= 0):
+                    cut = k
+                k -= 1
+            if cut:
+                break
+        if not cut:
+            raise ValueError("no token of this text ends between two characters within the limit")
+        pieces.append((start, cut, char, int(ends[cut - 1])))
+        start = cut - overlap
+        char = int(ends[start - 1]) if start else 0
+    pieces.append((start, n, char, len(text)))
+    return pieces
 
 
 PIECE = "tokenizer string, piece_no int, n_tokens int, char_start bigint, char_end bigint, piece_text string"
@@ -121,26 +163,26 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
     size = F.length("t")
 
     def short(batches):
+        engines = {name: engine(name, folder) for name, _, _ in rules}
         for b in batches:
             texts = b.column(1).to_pylist()
             for x, y in text_slices(texts):
-                part, cuts = texts[x:y], {}
+                part = texts[x:y]
                 rows: list[list] = [[], [], [], [], [], [], []]
-                for name, limit, overlap in rules:
-                    eng = engine(name, folder)
-                    how = getattr(eng, "pattern", type(eng).__name__)
-                    if how not in cuts:
-                        cuts = {how: [eng.cut(t) for t in part]}  # the next tokenizer often cuts alike
-                    flat, sizes = eng.store().codes(cuts[how])
+                for which, own, flat, sizes in numbered(part, list(engines.values())):
                     edge = np.concatenate(([0], np.cumsum(sizes)))
-                    per = np.concatenate(([0], np.cumsum(eng.store().count[flat])))
-                    total = np.diff(per[edge])
-                    for i in np.flatnonzero(total > limit):
-                        text, own = part[i], flat[edge[i] : edge[i + 1]]
-                        table = [tuple(c.tolist() for c in t) for t in boundary_table(text, _token_ends(eng.store(), own), overlap)]
-                        for k, (s, e, c0, c1) in enumerate(choose_pieces(table, int(total[i]), len(text), limit, overlap), 1):
-                            for col, v in zip(rows, (x + int(i), name, k, e - s, c0, c1, text[c0:c1])):
-                                col.append(v)
+                    for name, limit, overlap in rules:
+                        if engines[name] not in own:
+                            continue
+                        table = engines[name].table()
+                        total = np.diff(token_offsets(table, flat, sizes))
+                        for j in np.flatnonzero(total > limit):
+                            i = which[j]
+                            text = part[i]
+                            ends = table.token_ends(flat[edge[j] : edge[j + 1]])
+                            for k, (s, e, c0, c1) in enumerate(nearest_pieces(text, ends, limit, overlap), 1):
+                                for col, v in zip(rows, (x + i, name, k, e - s, c0, c1, text[c0:c1])):
+                                    col.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.int64()), pa.array(rows[6], pa.string())],
                     names=["doc_id", "tokenizer", "piece_no", "n_tokens", "char_start", "char_end", "piece_text"],
@@ -167,11 +209,11 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
                 text = piece[lo:hi]
                 for name, _, overlap in rules:
                     eng = engine(name, folder)
-                    units = eng.cut(text)
-                    if units and k and eng.first_mark:
-                        units[0] = units[0][len(eng.first_mark) :]
-                    flat, _n = eng.store().codes([units])
-                    ends = _token_ends(eng.store(), flat)
+                    units = eng.cut(text) if eng.special(text) else coarse_cut(text)
+                    if units and k and units[0].startswith(MARK):
+                        units[0] = units[0][1:]
+                    flat, _n = UNITS.number([units])
+                    ends = eng.table().token_ends(flat)
                     table = boundary_table(text, ends, overlap, base + lo)
                     cls = [c for c, t in enumerate(table) for _ in t[0]]
                     out.append((did, key, n_chars, k, name, len(ends), cls, *[[int(v) for t in table for v in t[j]] for j in range(3)]))

@@ -11,7 +11,7 @@ import base64
 import heapq
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,21 +25,49 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 CACHE_UNITS = 400_000
 
 
-class UnitStore:
-    """Encoded units in flat arrays: ids, and the character at which each token ends within its unit."""
+#: Put before the first unit of a text: a model may treat the start of a text in its own way.
+MARK = "\ud800"
+_COARSE = re.compile(r"\s*[^\s0-9]+|\s*[0-9]+|\s+").findall
+
+
+def coarse_cut(text: str) -> list[str]:
+    """Words and runs of digits, each with the white space before it. Most texts need no finer cut."""
+    units = _COARSE(text)
+    if units:
+        units[0] = MARK + units[0]
+    return units
 
-    def __init__(self, engine: "Engine"):
-        self.engine = engine
-        self.clear()
 
-    def clear(self) -> None:
+class Units:
+    """The distinct units met by this process, numbered; shared by all engines."""
+
+    def __init__(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.ends = np.zeros(1 << 16, dtype=np.int32)
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.count = np.zeros(1 << 14, dtype=np.int64)
-        self.chars = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.text: list[str] = []
+        self.age = 0
+
+    def number(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all units, one text after another, and how many units each text has."""
+        if len(self.text) > CACHE_UNITS:
+            self.code, self.text, self.age = {}, [], self.age + 1
+        fresh = list(set().union(*cut).difference(self.code))
+        self.code.update(zip(fresh, range(len(self.text), len(self.text) + len(fresh))))
+        self.text += fresh
+        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        return np.fromiter(map(self.code.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum())), sizes
+
+
+UNITS = Units()
+
+
+class UnitTable:
+    """What an engine makes of the numbered units, in flat arrays: the ids, the character after each token
+    within its unit (-1 - that where a token ends within a character), and by unit where its tokens start,
+    how many they are and how many characters it has."""
+
+    def __init__(self, engine: "Engine"):
+        self.engine = engine
+        self.age = -1
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -49,60 +77,70 @@ class UnitStore:
         out[: len(a)] = a
         return out
 
-    def add(self, units: list[str]) -> None:
-        for unit, (ids, ends) in zip(units, self.engine.encode_units(units)):
-            i, n = len(self.code), len(ids)
-            self.code[unit] = i
-            self.start, self.count, self.chars = (self._room(x, i + 1) for x in (self.start, self.count, self.chars))
+    def refresh(self) -> "UnitTable":
+        """Encode the units that were numbered since the last call."""
+        if self.age != UNITS.age:
+            self.age, self.done, self.used = UNITS.age, 0, 0
+            self.ids, self.ends = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+            self.start, self.count, self.chars = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        fresh = UNITS.text[self.done :]
+        if fresh:
+            self.start, self.count, self.chars = (self._room(x, self.done + len(fresh)) for x in (self.start, self.count, self.chars))
+        for unit, (ids, ends) in zip(fresh, self.engine.encode_units(fresh)):
+            n, i = len(ids), self.done
             self.ids, self.ends = (self._room(x, self.used + n) for x in (self.ids, self.ends))
             self.ids[self.used : self.used + n] = ids
             self.ends[self.used : self.used + n] = ends
-            self.start[i], self.count[i] = self.used, n
-            self.chars[i] = len(unit) - len(self.engine.first_mark if unit.startswith(self.engine.first_mark) and self.engine.first_mark else "")
+            self.start[i], self.count[i], self.chars[i] = self.used, n, len(unit) - unit.startswith(MARK)
             self.used += n
-
-    def codes(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The codes of all units, one text after another, and the number of units of each text."""
-        if len(self.code) > CACHE_UNITS:
-            self.clear()
-        missing = set().union(*cut).difference(self.code)
-        if missing:
-            self.add(list(missing))
-        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        flat = np.fromiter(map(self.code.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
-        return flat, sizes
+            self.done += 1
+        return self
 
     def gather(self, flat: np.ndarray) -> np.ndarray:
-        """Positions in the flat arrays of all tokens of the coded units."""
+        """Positions in the flat arrays of all tokens of the numbered units."""
         n = self.count[flat]
-        total = int(n.sum())
-        first = np.repeat(self.start[flat] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n)
-        return first + np.arange(total, dtype=np.int64)
+        first = np.repeat(self.start[flat] - (np.cumsum(n) - n), n)
+        return first + np.arange(len(first), dtype=np.int64)
+
+    def token_ends(self, flat: np.ndarray) -> np.ndarray:
+        """The character after each token of a text, -1 - that within a character."""
+        before = np.repeat(np.cumsum(self.chars[flat]) - self.chars[flat], self.count[flat])
+        rel = self.ends[self.gather(flat)].astype(np.int64)
+        return np.where(rel >= 0, rel + before, rel - before)
 
 
 class Engine:
-    """Cuts texts into units and encodes units."""
+    """Encodes units. A text that is ``special`` to an engine is cut by the engine itself."""
 
-    first_mark = ""
+    def special(self, text: str) -> bool:
+        return False
 
     def cut(self, text: str) -> list[str]:
-        raise NotImplementedError
+        return coarse_cut(text)
 
     def encode_units(self, units: list[str]) -> Iterable[tuple[list[int], list[int]]]:
         raise NotImplementedError
 
-    def store(self) -> UnitStore:
-        if not hasattr(self, "_store"):
-            self._store = UnitStore(self)
-        return self._store
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_store", "_native")}
+    def table(self) -> UnitTable:
+        if not hasattr(self, "_table"):
+            self._table = UnitTable(self)
+        return self._table.refresh()
 
     def encode(self, text: str) -> list[int]:
-        store = self.store()
-        flat, _ = store.codes([self.cut(text or "")])
-        return store.ids[store.gather(flat)].tolist()
+        flat, _ = UNITS.number([self.cut(text) if self.special(text) else coarse_cut(text)] if text else [[]])
+        t = self.table()
+        return t.ids[t.gather(flat)].tolist()
+
+
+def numbered(texts: list[str], engines: list["Engine"]) -> Iterator[tuple[list[int], list["Engine"], np.ndarray, np.ndarray]]:
+    """(which texts, for which engines, their unit numbers, units a text): plain texts once for all engines."""
+    plain, other = [], []
+    for i, t in enumerate(texts):
+        (other if any(e.special(t) for e in engines) else plain).append(i)
+    if plain:
+        yield (plain, engines, *UNITS.number([coarse_cut(texts[i]) for i in plain]))
+    for e in engines if other else ():
+        yield (other, [e], *UNITS.number([e.cut(texts[i]) if e.special(texts[i]) else coarse_cut(texts[i]) for i in other]))
 
 
 class ByteBpe(Engine):
@@ -120,19 +158,43 @@ class ByteBpe(Engine):
         self.pattern = pattern
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
 
-    def cut(self, text: str) -> list[str]:
+    def _compiled(self):
         if not hasattr(self, "_native"):
             import regex
 
-            self._native = regex.compile(self.pattern).findall
-        return self._native(text)
+            self._native = regex.compile(self.pattern).findall, regex.compile(r"(?![0-9])\p{N}").search
+            self._known: dict[str, tuple[list[int], list[int]]] = {}
+        return self._native
+
+    def special(self, text: str) -> bool:
+        """Numerals other than ASCII digits join a run of digits, where the coarse cut would part them."""
+        return not text.isascii() and self._compiled()[1](text) is not None
+
+    def cut(self, text: str) -> list[str]:
+        return self._compiled()[0](text)
 
     def encode_units(self, units: list[str]) -> Iterable[tuple[list[int], list[int]]]:
-        raw = [u.encode("utf-8", "surrogatepass") for u in units]
-        found = self.whole.lookup(raw)
-        for unit, data, one in zip(units, raw, found.tolist()):
+        split = self._compiled()[0]
+        if len(self._known) > CACHE_UNITS:
+            self._known.clear()
+        known = self._known
+        parts = [split(u[1:] if u.startswith(MARK) else u) for u in units]
+        new = list(set().union(*parts).difference(known))
+        raw = [u.encode("utf-8", "surrogatepass") for u in new]
+        for piece, data, one in zip(new, raw, self.whole.lookup(raw).tolist()):
             ids = [one] if one >= 0 else self.merge(data)
-            yield ids, self._ends(unit, data, ids)
+            known[piece] = (ids, self._ends(piece, data, ids))
+        for ps in parts:
+            if len(ps) == 1:
+                yield known[ps[0]]
+                continue
+            ids, ends, at = [], [], 0
+            for p in ps:
+                i, e = known[p]
+                ids += i
+                ends += [x + at if x >= 0 else x - at for x in e]
+                at += len(p)
+            yield ids, ends
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of ``data``: always the leftmost pair of the lowest rank is merged next."""
@@ -197,9 +259,8 @@ class WordBpe(Engine):
             self._native.encode_special_tokens = True
         return self._native
 
-    cut = staticmethod(re.compile(r"\s*[^\s0-9]+|\s*[0-9]{1,2}|\s+").findall)
-
     def encode_units(self, units: list[str]) -> Iterable[tuple[list[int], list[int]]]:
+        units = [u[1:] if u.startswith(MARK) else u for u in units]
         for unit, e in zip(units, self._tokenizer().encode_batch(units, add_special_tokens=False)):
             ends = [b for _, b in e.offsets]
             if ends:
@@ -214,8 +275,6 @@ class PieceBpe(Engine):
     so ` word` and short runs of digits are units; ▁ stands for a space.
     """
 
-    first_mark = "\ud800"
-
     def __init__(self, path: str):
         self.path = path
 
@@ -227,12 +286,18 @@ class PieceBpe(Engine):
             self._lead = {x: len(self._native.encode(x)) for x in ("\n", "")}
         return self._native
 
-    _cut = staticmethod(re.compile(r"\n|[ ▁]*[^ ▁\n0-9]+|[ ▁]*[0-9]{1,2}|[ ▁]+").findall)
+    _cut = staticmethod(re.compile(r"\n|[ ▁]*[^ ▁\n0-9]+|[ ▁]*[0-9]+|[ ▁]+").findall)
+
+    _odd = staticmethod(re.compile(r"[^\S \n]|▁").search)
+
+    def special(self, text: str) -> bool:
+        """White space but space and line feed may join what stands before it; ▁ is a space to the model."""
+        return self._odd(text) is not None
 
     def cut(self, text: str) -> list[str]:
         units = self._cut(text)
         if units:
-            units[0] = self.first_mark + units[0]
+            units[0] = MARK + units[0]
         return units
 
     def encode_units(self, units: list[str]) -> Iterable[tuple[list[int], list[int]]]:
@@ -240,8 +305,9 @@ class PieceBpe(Engine):
         skip = self._lead["\n"]
         plain, drop = [], []
         for u in units:
-            if u.startswith(self.first_mark):  # the model puts a space before a text
-                plain.append(u[len(self.first_mark) :])
+            # the model puts a space before a text: it stands for the first unit's own, or for the unit's first space
+            if u.startswith(MARK):
+                plain.append(u[1:])
                 drop.append(0)
             elif u[0] in " ▁":
                 plain.append(u[1:])
@@ -256,8 +322,8 @@ class PieceBpe(Engine):
             yield ids, self._ends(sp, u, ids)
 
     def _ends(self, sp, unit: str, ids: list[int]) -> list[int]:
-        body = unit[len(self.first_mark) :] if unit.startswith(self.first_mark) else unit
-        lead = 1 if unit.startswith(self.first_mark) else 0
+        lead = unit.startswith(MARK)
+        body = unit[1:] if lead else unit
         if len(ids) == 1:
             return [len(body)]
         data, out, at = (" " * lead + body).encode("utf-8", "surrogatepass"), [], 0
