@@ -70,7 +70,7 @@ def summary(df: DataFrame, by: str, groups: str, phone: str = "phone", site: str
 
 def group_counts(df: DataFrame, groups: str) -> DataFrame:
     """(group_name, n): rows by group; a row of several groups counts in each."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(groups), F.lit("")), r"[|;,/\n]"), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(groups), F.lit("")), r"[|;,/\n]"), lambda x: F.trim(x)), lambda x: x != ""))
     return df.select(F.explode(parts).alias("group_name")).groupBy("group_name").agg(F.count("*").alias("n"))
 
 
