@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from placeloom.operators import nesting, packed, proximity
+from placeloom.plans import reference
 from placeloom.plans.tables import table
 
 
@@ -19,5 +20,20 @@ def queries():
     }
 
 
+# places of each payload with their source records as a JSON array; walks the document as a tree of nodes
+_PLACES = """ok AS (SELECT payload_id, CAST(payload AS JSON) AS j FROM search_payloads WHERE json_valid(payload)),
+ nodes AS (SELECT payload_id, t.value AS v FROM ok, json_tree(ok.j) t WHERE t.type = 'OBJECT'),
+ place AS (SELECT payload_id, v, v->>'$.id' AS place_id, coalesce(v->'$.source_records', v->'$.provenance.source_records') AS s FROM nodes
+  WHERE json_type(v, '$.id') IN ('VARCHAR', 'UBIGINT', 'BIGINT') AND regexp_full_match(v->>'$.id', '[0-9]{5,}') AND json_type(v, '$.title') = 'VARCHAR' AND regexp_matches(v->>'$.title', '[\\p{L}\\p{N}]')
+   AND json_type(v, '$.coordinates') = 'ARRAY' AND json_array_length(v, '$.coordinates') >= 2),
+ txt AS (SELECT *, CASE json_type(s) WHEN 'VARCHAR' THEN TRY_CAST(s->>'$' AS JSON) ELSE s END AS r FROM place),
+ arr AS (SELECT payload_id, place_id, row_number() OVER () AS pid, CASE json_type(r) WHEN 'ARRAY' THEN CAST(r AS JSON[]) WHEN 'OBJECT' THEN [r] ELSE [] END AS recs FROM txt),
+ rec AS (SELECT payload_id, place_id, pid, unnest(recs) AS rec, generate_subscripts(recs, 1) AS rec_pos FROM arr),
+ run AS (SELECT payload_id, place_id, rec_pos, coalesce(rec->>'$.query', '') AS query_text, CASE WHEN json_type(rec, '$.runs') = 'ARRAY' AND json_array_length(rec, '$.runs') > 0 THEN CAST(rec->'$.runs' AS JSON[]) ELSE [NULL] END AS runs FROM rec)"""
+
+
 def oracle_sql():
-    return {}
+    return {
+        "p2_found": f"WITH {reference.NEAR}, {reference.INSIDE.replace('WITH ', '')} SELECT 'near' AS kind, id_a, id_b FROM near WHERE metres <= 40 UNION ALL SELECT 'inside', id, region FROM inside",
+        "p4_found": f"WITH {_PLACES}, each AS (SELECT payload_id, place_id, rec_pos, query_text, unnest(runs) AS x, generate_subscripts(runs, 1) AS i FROM run) SELECT payload_id, place_id, CAST(rec_pos AS INTEGER) AS rec_pos, CAST(CASE WHEN x IS NULL THEN 0 ELSE i END AS INTEGER) AS run_pos, query_text FROM each",
+    }
