@@ -466,6 +466,28 @@ def _(s, d):
     return f.select("final_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n"))
 
 
+# event streams
+
+
+@query("ref_T2_first_seen", "SELECT user_id, min(ts) AS first_ts FROM events GROUP BY 1")
+def _(s, d):
+    return table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
+
+
+@query("ref_T5_T6_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS n, min(ts) AS started FROM g GROUP BY user_id, k")
+def _(s, d):
+    from placeloom.streaming import ingest
+
+    return ingest.sessions(table(s, d, "events"), "user_id", "ts", "3600 seconds").select("user_id", "n", F.col("start").alias("started"))
+
+
+@query("ref_T4_overdue", "SELECT user_id, max(ts) AS last, max(ts) < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 120 SECOND AS silent FROM events GROUP BY 1")
+def _(s, d):
+    from placeloom.streaming import ingest
+
+    return ingest.overdue(table(s, d, "events"), "user_id", "ts", "2024-06-01 00:00:00")
+
+
 def queries():
     return {k: fn for k, (fn, _) in Q.items()}
 
