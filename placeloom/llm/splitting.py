@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.llm.encoding import text_slices, token_offsets
-from placeloom.llm.tokenizing import MARK, TOKENIZER_DIR, UNITS, coarse_cut, engine, numbered
+from placeloom.llm.tokenizing import MARK, TOKENIZER_DIR, coarse_cut, engine, number_units, numbered
 
 #: Characters of a range, and of the halo in which its end is sought.
 RANGE_CHARS, HALO_CHARS = 1_000_000, 20_000
@@ -212,7 +212,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
                     units = eng.cut(text) if eng.special(text) else coarse_cut(text)
                     if units and k and units[0].startswith(MARK):
                         units[0] = units[0][1:]
-                    flat, _n = UNITS.number([units])
+                    flat, _n = number_units([units])
                     ends = eng.table().token_ends(flat)
                     table = boundary_table(text, ends, overlap, base + lo)
                     cls = [c for c, t in enumerate(table) for _ in t[0]]
@@ -243,7 +243,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
         return pd.DataFrame(rows, columns=["doc_id", "key", "tokenizer", "piece_no", "n_tokens", "char_start", "char_end"])
 
     found = tables.groupBy("doc_id", "key").applyInPandas(stitch, f"doc_id {kind}, key string, tokenizer string, piece_no int, n_tokens int, char_start bigint, char_end bigint")
-    joined = giant.join(found, (giant["doc_id"].eqNullSafe(found["doc_id"])) & (giant["key"] == found["key"])).drop(found["doc_id"]).drop(found["key"])
+    found = found.withColumnsRenamed({"doc_id": "found_id", "key": "found_key"})
+    joined = giant.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")))
     repeated = joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     far = repeated.filter("tokenizer <> ''").select("doc_id", "tokenizer", "piece_no", "n_tokens", "char_start", "char_end", F.expr("substring(t, cast(char_start as int) + 1, cast(char_end - char_start as int))").alias("piece_text"))
     whole = repeated.filter("tokenizer = ''").select("doc_id", "t").mapInArrow(short, f"doc_id {kind}, {PIECE}")

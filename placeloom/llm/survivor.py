@@ -91,58 +91,61 @@ def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prio
     joined by shuffle; the statistics by source are as many rows as sources.
     """
     claims = cut_lineage(claims)
-    sources = claims.select("source").distinct()
-    accuracy = sources.withColumn("accuracy", F.lit(0.8))
-    copying = None
-    belief = claims
-    for step in range(rounds):
-        score = F.log(F.lit(float(false_values)) * F.col("accuracy") / (1 - F.col("accuracy")))
-        voted = claims.join(accuracy, "source")
-        if copying is not None:
-            # among those who claim a value, a source keeps the part of its vote that it did not copy
-            other = claims.select("object", "field_name", "value", F.col("source").alias("other"))
-            kept = (
-                claims.join(other, ["object", "field_name", "value"])
-                .filter("source > other")
-                .join(copying, ["source", "other"])
-                .groupBy("object", "field_name", "value", "source")
-                .agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.lit(copy_rate) * F.col("p_copy"))))).alias("own"))
-            )
-            voted = voted.join(kept, ["object", "field_name", "value", "source"], "left")
-        else:
-            voted = voted.withColumn("own", F.lit(1.0))
-        votes = voted.groupBy("object", "field_name", "value").agg(F.sum(score * F.coalesce("own", F.lit(1.0))).alias("votes"))
-        total = votes.groupBy("object", "field_name").agg(F.max("votes").alias("most"), F.collect_list("votes").alias("all"))
-        total = total.select("object", "field_name", "most", F.expr("aggregate(all, 0D, (a, v) -> a + exp(v - most))").alias("mass"))
-        belief = votes.join(total, ["object", "field_name"]).withColumn("posterior", F.exp(F.col("votes") - F.col("most")) / (F.col("mass") + F.exp(-F.col("most"))))
-        belief = cut_lineage(belief.select("object", "field_name", "value", "votes", "posterior"))
-        if step == rounds - 1:
-            break
-        rated = claims.join(belief, ["object", "field_name", "value"])
-        accuracy = cut_lineage(rated.groupBy("source").agg(F.avg("posterior").alias("a")).select("source", F.least(F.lit(0.99), F.greatest(F.lit(0.05), "a")).alias("accuracy")))
+    accuracy = claims.select("source").distinct().withColumn("accuracy", F.lit(0.8))
+    n = F.lit(float(false_values))
+
+    def chances_of_copying(rated: DataFrame) -> DataFrame:
+        """(source, other, p_copy) of each pair of sources. ``rated`` has the posterior of each claim, null at first:
+        then only agreement counts, which independent sources reach less often than copies."""
         right = rated.select("object", "field_name", F.col("source").alias("other"), F.col("value").alias("w"))
+        same = F.col("value") == F.col("w")
+        total = lambda v: F.sum(F.coalesce(v, F.lit(0.0)))
         pair = (
             rated.join(right, ["object", "field_name"])
             .filter("source > other")
             .groupBy("source", "other")
             .agg(
-                F.sum(F.when(F.col("value") == F.col("w"), F.col("posterior")).otherwise(0.0)).alias("same_true"),
-                F.sum(F.when(F.col("value") == F.col("w"), 1 - F.col("posterior")).otherwise(0.0)).alias("same_false"),
-                F.sum(F.when(F.col("value") != F.col("w"), 1.0).otherwise(0.0)).alias("differ"),
+                total(F.when(same & F.col("posterior").isNull(), F.lit(1.0))).alias("alike"),
+                total(F.when(same, F.col("posterior"))).alias("same_true"),
+                total(F.when(same, 1 - F.col("posterior"))).alias("same_false"),
+                total(F.when(~same, F.lit(1.0))).alias("differ"),
             )
             .join(accuracy.withColumnRenamed("accuracy", "a1"), "source")
             .join(accuracy.select(F.col("source").alias("other"), F.col("accuracy").alias("a2")), "other")
         )
         p_true = F.col("a1") * F.col("a2")
-        p_false = (1 - F.col("a1")) * (1 - F.col("a2")) / false_values
-        p_diff = F.greatest(F.lit(1e-9), 1 - p_true - p_false)
+        p_false = (1 - F.col("a1")) * (1 - F.col("a2")) / n
         mix = lambda a, p: F.lit(copy_rate) * a + F.lit(1 - copy_rate) * p
         odds = (
-            F.col("same_true") * F.log(p_true / mix(F.col("a2"), p_true))
+            F.col("alike") * F.log((p_true + p_false) / mix(F.lit(1.0), p_true + p_false))
+            + F.col("same_true") * F.log(p_true / mix(F.col("a2"), p_true))
             + F.col("same_false") * F.log(p_false / mix(1 - F.col("a2"), p_false))
             + F.col("differ") * F.log(F.lit(1 / (1 - copy_rate)))
             + F.log(F.lit((1 - prior_copy) / prior_copy))
         )
-        copying = cut_lineage(pair.select("source", "other", (1 / (1 + F.exp(F.least(F.lit(500.0), odds)))).alias("p_copy")))
+        return cut_lineage(pair.select("source", "other", (1 / (1 + F.exp(F.least(F.lit(500.0), odds)))).alias("p_copy")))
+
+    copying = chances_of_copying(claims.withColumn("posterior", F.lit(None).cast("double")))
+    other = claims.select("object", "field_name", "value", F.col("source").alias("other"))
+    for step in range(rounds):
+        # among those who claim a value, a source keeps the part of its vote that it did not copy
+        kept = (
+            claims.join(other, ["object", "field_name", "value"])
+            .filter("source > other")
+            .join(copying, ["source", "other"])
+            .groupBy("object", "field_name", "value", "source")
+            .agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.lit(copy_rate) * F.col("p_copy"))))).alias("own"))
+        )
+        voted = claims.join(accuracy, "source").join(kept, ["object", "field_name", "value", "source"], "left")
+        score = F.log(n * F.col("accuracy") / (1 - F.col("accuracy")))
+        votes = voted.groupBy("object", "field_name", "value").agg(F.sum(score * F.coalesce("own", F.lit(1.0))).alias("votes"))
+        most = votes.groupBy("object", "field_name").agg(F.max("votes").alias("most"))
+        shifted = votes.join(most, ["object", "field_name"]).withColumn("e", F.exp(F.col("votes") - F.col("most")))
+        mass = shifted.groupBy("object", "field_name").agg((F.sum("e") + F.exp(-F.first("most"))).alias("mass"))  # the last term: no one is right
+        belief = cut_lineage(shifted.join(mass, ["object", "field_name"]).select("object", "field_name", "value", "votes", (F.col("e") / F.col("mass")).alias("posterior")))
+        if step < rounds - 1:
+            rated = claims.join(belief, ["object", "field_name", "value"])
+            accuracy = cut_lineage(rated.groupBy("source").agg(F.avg("posterior").alias("a")).select("source", F.least(F.lit(0.99), F.greatest(F.lit(0.05), "a")).alias("accuracy")))
+            copying = chances_of_copying(rated)
     best = belief.groupBy("object", "field_name").agg(F.min_by(F.struct("value", "posterior", "votes"), F.struct((-F.col("posterior")).alias("p"), "value")).alias("b"))
     return best.select("object", "field_name", "b.value", "b.posterior", "b.votes")
