@@ -25,8 +25,9 @@ QUOTES = {'"': '"', "«": "»", "“": "”", "„": "“”"}
 MAX_SPAN = 4
 #: Weight of the base distribution against the learned counts.
 PRIOR = 1.0
-#: Base probability of a value of one piece, and the factor for every separator inside a value.
-BASE, INNER = 1e-4, 1e-3
+#: Base probability of a value, and the chance of a separator inside a value against that of a value met once:
+#: so rare values that stand together once are two, while one learned from quoted spans stays whole without quotes.
+BASE, INNER = 1e-4, 0.3
 
 _EXTENSION = re.compile(r"\(?\s*(?:доб(?:авочный|\.)?|вн(?:утр|\.)?|ext(?:ension|\.)?|#)[\s.:№]*\d", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]")
@@ -110,17 +111,24 @@ def arcs(cell: str, span: int = MAX_SPAN) -> list[tuple[int, int, str]]:
     return out
 
 
+def _add(a: float, b: float) -> float:
+    """The logarithm of a sum of two numbers given by their logarithms."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def _weights(cell_arcs: list[tuple[int, int, float]]) -> dict[tuple[int, int], float]:
-    """The posterior chance of each candidate by the forward-backward sums."""
+    """The posterior chance of each candidate by the forward-backward sums, in logarithms."""
     n = max(j for _, j, _ in cell_arcs)
-    fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
-    fwd[0] = bwd[n] = 1.0
-    for i, j, p in sorted(cell_arcs):
-        fwd[j] += fwd[i] * p
-    for i, j, p in sorted(cell_arcs, reverse=True):
-        bwd[i] += p * bwd[j]
-    total = fwd[n]
-    return {(i, j): fwd[i] * p * bwd[j] / total for i, j, p in cell_arcs} if total > 0 else {}
+    fwd, bwd = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    fwd[0] = bwd[n] = 0.0
+    logs = [(i, j, math.log(p)) for i, j, p in sorted(cell_arcs) if p > 0]
+    for i, j, p in logs:
+        fwd[j] = _add(fwd[j], fwd[i] + p)
+    for i, j, p in reversed(logs):
+        bwd[i] = _add(bwd[i], p + bwd[j])
+    return {(i, j): math.exp(min(0.0, fwd[i] + p + bwd[j] - fwd[n])) for i, j, p in logs} if fwd[n] > -math.inf else {}
 
 
 def _best(cell_arcs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -140,10 +148,6 @@ def _best(cell_arcs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _inner(i: int, j: int) -> float:
-    return INNER ** (j - i - 1)
-
-
 def split_values(df: DataFrame, id_col: str, fields: Sequence[str], rounds: int = 3) -> DataFrame:
     """(id, field_name, pos, item_value): one row per value of each cell, positions from 1.
 
@@ -171,7 +175,7 @@ def split_values(df: DataFrame, id_col: str, fields: Sequence[str], rounds: int
 
     def theta(freq: DataFrame) -> DataFrame:
         mass = freq.groupBy("field_name").agg(F.sum("c").alias("mass"))
-        p = (F.coalesce("c", F.lit(0.0)) + F.lit(PRIOR * BASE) * F.pow(F.lit(INNER), F.col("j") - F.col("i") - 1)) / (F.col("mass") + PRIOR)
+        p = (F.coalesce("c", F.lit(0.0)) + PRIOR * BASE) / (F.col("mass") + PRIOR) * F.pow(F.lit(INNER) / (F.col("mass") + 1), F.col("j") - F.col("i") - 1)
         known = lattice.join(freq, ["field_name", "value"], "left").join(F.broadcast(mass), "field_name")  # a row per field
         return known.select("field_name", "shape", "n", F.struct("i", "j", p.alias("p"), "value").alias("arc")).groupBy("field_name", "shape", "n").agg(F.collect_list("arc").alias("arcs"))
 
