@@ -39,7 +39,7 @@ VILLAGE = {"p", "pos", "poselok", "s", "selo", "der", "derevnya"}
 HOUSE = {"d", "dom", "no", "n", "vl", "vladenie"}
 BLOCK = {"k", "korp", "korpus"}
 BUILDING = {"s", "str", "stroenie"}
-INNER = {"of", "ofis", "pom", "pomeshchenie", "etazh", "et", "podezd", "pod", "kv", "kvartira", "komnata", "kom", "pav", "pavilon", "vkhod", "tts", "tk", "trts", "lit", "litera", "sektsiya"}
+INNER = {"of", "ofis", "pom", "pomeshchenie", "pomeschenie", "etazh", "et", "podezd", "pod", "kv", "kvartira", "komnata", "kom", "pav", "pavilon", "vkhod", "tts", "tk", "trts", "lit", "litera", "sektsiya"}
 ORDINALS = {"perv": 1, "vtor": 2, "tret": 3, "chetvert": 4, "pyat": 5, "shest": 6, "sedm": 7, "vosm": 8, "devyat": 9, "desyat": 10}
 
 _ORD_WORD = re.compile(r"(perv|vtor|tret|chetvert|pyat|shest|sedm|vosm|devyat|desyat)(?:aya|yy|oy|oe|iy|ya|e|ye|ee)$")
