@@ -43,7 +43,8 @@ def boundary_table(text: str, ends: np.ndarray, overlap: int, base: int = 0) ->
     at_start = np.concatenate(([0], ends))  # character before token i; negative within one
     out = []
     for c, rx in enumerate(_NATURAL):
-        place = np.fromiter((m.end() for m in rx.finditer(text)), dtype=np.int64)
+        found = [m.span() for m in rx.finditer(text)]
+        place = np.array([e for _, e in found] + [b for b, _ in found if c < 2], dtype=np.int64)
         i = np.searchsorted(chars, place, side="right") - 1
         fits = (i >= 0) & (len(chars) > 0)
         place, i = place[fits], i[fits]
@@ -114,13 +115,18 @@ def nearest_pieces(text: str, ends: np.ndarray, limit: int, overlap: int) -> lis
             line = 0
             p = text.rfind("\n", c0, c1)
             while p >= 0 and not cut:  # line ends backwards, until one that follows an empty line
-                if not line:
-                    line = tokens_at(p + 1, low, top)
                 q = p
                 while q > 0 and text[q - 1] in " \t\r":
                     q -= 1
-                if q > 0 and text[q - 1] == "\n":
-                    cut = tokens_at(p + 1, low, top)
+                empty = q > 0 and text[q - 1] == "\n"
+                if empty or not line:
+                    here = tokens_at(p + 1, low, top)
+                    if not here:  # to some tokenizers white space belongs to what follows it
+                        while q > 0 and text[q - 1] in " \t\r\n":
+                            q -= 1
+                        here = tokens_at(q, low, top)
+                    line = line or here
+                    cut = here if empty else 0
                 p = text.rfind("\n", c0, p)
             cut = cut or line
             for rx in _NATURAL[2:]:

@@ -12,6 +12,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -114,6 +115,23 @@ class UnitTable:
         return np.where(rel >= 0, rel + before, rel - before)
 
 
+@lru_cache(maxsize=1)
+def _odd_numeral_search():
+    import regex
+
+    return regex.compile(r"(?![0-9])\p{N}").search
+
+
+def odd_numeral(text: str) -> bool:
+    """Whether a text has a numeral that is no ASCII digit. The answer for the last text is kept, as engines ask in turn."""
+    if odd_numeral.last[0] is not text:
+        odd_numeral.last = text, _odd_numeral_search()(text) is not None
+    return odd_numeral.last[1]
+
+
+odd_numeral.last = None, False
+
+
 class Engine:
     """Encodes units. A text that is ``special`` to an engine is cut by the engine itself."""
 
@@ -167,19 +185,19 @@ class ByteBpe(Engine):
         if not hasattr(self, "_native"):
             import regex
 
-            self._native = regex.compile(self.pattern).findall, regex.compile(r"(?![0-9])\p{N}").search
+            self._native = regex.compile(self.pattern).findall
             self._known: dict[str, tuple[list[int], list[int]]] = {}
         return self._native
 
     def special(self, text: str) -> bool:
         """Numerals other than ASCII digits join a run of digits, where the coarse cut would part them."""
-        return not text.isascii() and self._compiled()[1](text) is not None
+        return not text.isascii() and odd_numeral(text)
 
     def cut(self, text: str) -> list[str]:
-        return self._compiled()[0](text)
+        return self._compiled()(text)
 
     def encode_units(self, units: list[str]) -> Iterable[tuple[list[int], list[int]]]:
-        split = self._compiled()[0]
+        split = self._compiled()
         if len(self._known) > CACHE_UNITS:
             self._known.clear()
         known = self._known
