@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
-from placeloom.operators import geometry, merge, proximity, quality, reconcile, report
+from placeloom.operators import geometry, merge, nesting, proximity, quality, reconcile, report, verdicts
 from placeloom.plans.tables import table
 
 FIELDS = ("title", "address", "phone", "website", "categories", "opening_hours", "email")
@@ -466,6 +466,100 @@ def _(s, d):
     return f.select("final_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n"))
 
 
+# verdicts by record and organisation
+
+_VERDICTS = f"""WITH {RINGS}, k AS (SELECT *, {KEY} AS key FROM raw_places), pts AS (SELECT raw_id AS id, {LAT} AS lat, {LON} AS lon FROM k WHERE key IS NOT NULL AND latitude <> 0 AND longitude <> 0),
+ hit AS (SELECT p.id, e.region FROM pts p JOIN edges e ON (e.ay > p.lat) <> (e.by_ > p.lat) AND p.lon < (e.bx - e.ax) * (p.lat - e.ay) / (e.by_ - e.ay) + e.ax GROUP BY ALL HAVING count(*) % 2 = 1),
+ inside AS (SELECT id, any_value(district_name) AS found FROM (SELECT id, min(region) AS region FROM hit GROUP BY 1) h JOIN districts d ON d.district_id = h.region GROUP BY 1),
+ r AS (SELECT raw_id, key, unnest(CASE WHEN len({RECS}) = 0 THEN [NULL] ELSE {RECS} END) AS r FROM k WHERE key IS NOT NULL),
+ v AS (SELECT r.raw_id, r.key, coalesce(r.r.d, '') AS asked, i.found, CASE WHEN p.id IS NULL THEN 'NO_COORDINATES' WHEN i.found IS NULL THEN 'OUTSIDE' WHEN coalesce(r.r.d, '') = '' THEN 'NO_DISTRICT' WHEN {norm('r.r.d')} = {norm('i.found')} THEN 'MATCH' ELSE 'REASSIGNED' END AS verdict
+  FROM r LEFT JOIN inside i ON i.id = r.raw_id LEFT JOIN (SELECT DISTINCT id FROM pts) p ON p.id = r.raw_id)"""
+
+
+def _verdicts(s, d):
+    return verdicts.record_verdicts(merge.keyed(_raw(s, d)), "raw_id", table(s, d, "districts"))
+
+
+@query("ref_F4_record_verdicts", f"{_VERDICTS} SELECT raw_id, asked, found, verdict FROM v")
+def _(s, d):
+    return _verdicts(s, d).select("raw_id", "asked", "found", "verdict")
+
+
+@query("ref_A8_rollup", f"{_VERDICTS} SELECT key, count(*) AS n, bool_or(verdict = 'MATCH') AS any_match, bool_and(verdict = 'OUTSIDE') AS every_outside, array_to_string(list_sort(list_distinct(list(verdict))), ' | ') AS verdicts FROM v GROUP BY 1")
+def _(s, d):
+    return verdicts.roll_up(_verdicts(s, d))
+
+
+@query("ref_A9_A22_verdict_counts", f"{_VERDICTS}, u AS (SELECT key, array_to_string(list_sort(list_distinct(list(verdict))), ' | ') AS verdicts FROM v GROUP BY 1) SELECT verdicts, count(*) AS organisations FROM u GROUP BY 1")
+def _(s, d):
+    return verdicts.verdict_counts(verdicts.roll_up(_verdicts(s, d)))
+
+
+# extraction, lookups and views of the map
+
+
+@query("ref_S6_S7_P9_X1_entities")
+def _(s, d):
+    return nesting.flatten_payloads(table(s, d, "search_payloads"), "places")
+
+
+@query("ref_F3_district_in_text", "SELECT raw_id, coalesce(CASE " + " ".join(f"WHEN contains({norm('address')}, (SELECT {norm('district_name')} FROM districts WHERE district_id = {i})) THEN {i}" for i in range(1, 13)) + " END, 0) AS named FROM raw_places")
+def _(s, d):
+    names = table(s, d, "districts").select("district_id", T.normalize(F.col("district_name")).alias("dn"))
+    raw = _raw(s, d).select("raw_id", T.normalize(F.col("address")).alias("a"))
+    listed = names.agg(F.array_sort(F.collect_list(F.struct("district_id", "dn"))).alias("ds"))  # as many entries as districts
+    hit = F.filter("ds", lambda x: F.col("a").contains(x["dn"]))
+    return raw.crossJoin(F.broadcast(listed)).select("raw_id", F.coalesce(F.get(hit, F.lit(0))["district_id"].cast("int"), F.lit(0)).alias("named"))
+
+
+@query("ref_P20_recapitalise")
+def _(s, d):
+    return _final(s, d).select("final_id", T.title_case_after(F.col("title")).alias("name"))
+
+
+@query("ref_P23_P24_district_view", f"WITH {RINGS}, b AS (SELECT region, min(ax) AS x0, min(ay) AS y0, max(ax) AS x1, max(ay) AS y1 FROM edges GROUP BY 1) SELECT region, CAST(floor((x0 + x1) / 2 * 1000000 + 0.5) AS BIGINT) AS lon_e6, CAST(least(16, greatest(11, floor(least(log2(360.0 / (x1 - x0)), log2(170.0 / (y1 - y0)))))) AS BIGINT) AS zoom FROM b")
+def _(s, d):
+    b = geometry.bounds(table(s, d, "districts"))
+    return b.select("region", F.floor((F.col("x0") + F.col("x1")) / 2 * 1000000 + 0.5).alias("lon_e6"), T.zoom_of(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("long").alias("zoom"))
+
+
+@query("ref_P28_group_labels", f"SELECT final_id, coalesce(nullif(array_to_string(list_filter([CASE WHEN {norm('categories')} LIKE '%кафе%' OR {norm('categories')} LIKE '%ресторан%' THEN 'food' END, CASE WHEN {norm('categories')} LIKE '%магазин%' THEN 'retail' END], lambda x: x IS NOT NULL), ' / '), ''), '—') AS label FROM final_filtered")
+def _(s, d):
+    g = T.groups_of_rubrics(F.col("categories"), {"food": ["кафе", "ресторан"], "retail": ["магазин"]})
+    return _final(s, d).select("final_id", F.coalesce(T.filled(F.array_join(g, " / ")), F.lit("—")).alias("label"))
+
+
+@query("ref_P30_P31_free_text_address", "SELECT raw_id, regexp_extract(lower(address), '(?:^|[ ,;])([а-яё-]+ (?:улица|проспект|проезд|переулок|шоссе|бульвар|набережная))', 1) AS street, substr(regexp_extract(address, '(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)', 1), 1, 5) AS post FROM raw_places WHERE address IS NOT NULL")
+def _(s, d):
+    a = F.lower("address")
+    return _raw(s, d).filter("address is not null").select("raw_id", F.regexp_extract(a, "(?:^|[ ,;])([а-яё-]+ (?:улица|проспект|проезд|переулок|шоссе|бульвар|набережная))", 1).alias("street"), F.substring(F.regexp_extract("address", "(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)", 1), 1, 5).alias("post"))
+
+
+@query("ref_J14_J19_lookup", "SELECT f.final_id, d.district_id FROM final_filtered f LEFT JOIN districts d ON d.district_name = trim(f.detected_district)")
+def _(s, d):
+    names = table(s, d, "districts").select("district_id", "district_name")
+    return _final(s, d).join(F.broadcast(names), F.trim("detected_district") == F.col("district_name"), "left").select("final_id", "district_id")
+
+
+@query("ref_J20_exists_similar", f"WITH s AS (SELECT final_id, {_STEMS} AS stems FROM final_filtered WHERE title IS NOT NULL), o AS (SELECT osm_id, {_STEMS} AS stems FROM (SELECT osm_id, tags['name'] AS title FROM osm_places) WHERE title IS NOT NULL) SELECT osm_id FROM o WHERE EXISTS (SELECT 1 FROM s WHERE list_has_any(o.stems, s.stems) AND len(list_intersect(o.stems, s.stems)) / greatest(1, least(len(o.stems), len(s.stems))) >= 0.8)")
+def _(s, d):
+    stems = lambda df, i, t: df.filter(F.col(t).isNotNull()).select(F.col(i).alias("id"), T.name_key(F.col(t), STOP).alias("stems"))
+    best = reconcile.best_names(stems(_tagged(s, d), "osm_id", "name"), stems(_final(s, d), "final_id", "title"), 0.8)
+    return best.select(F.col("id_a").alias("osm_id"))
+
+
+@query("ref_A11_run_metadata", "SELECT export_batch_status AS status, count(*) AS n_rows, max(export_queries_total) AS total, max(export_queries_completed) AS completed, coalesce(array_to_string(list_sort(list_distinct(list(export_warnings) FILTER (WHERE coalesce(export_warnings, '') <> ''))), ' | '), '') AS warnings FROM raw_places GROUP BY 1")
+def _(s, d):
+    w = F.array_join(F.array_sort(F.collect_set(T.filled(F.col("export_warnings")))), " | ")
+    return _raw(s, d).groupBy(F.col("export_batch_status").alias("status")).agg(F.count("*").alias("n_rows"), F.max("export_queries_total").alias("total"), F.max("export_queries_completed").alias("completed"), w.alias("warnings"))
+
+
+@query("ref_C8_first_pending", "SELECT min(query_id) AS query_id FROM query_list q WHERE NOT EXISTS (SELECT 1 FROM raw_places r WHERE r.source_query = q.query_text AND r.export_batch_status = 'COMPLETED')")
+def _(s, d):
+    done = _raw(s, d).filter("export_batch_status = 'COMPLETED'").select(F.col("source_query").alias("query_text")).distinct()
+    return table(s, d, "query_list").join(done, "query_text", "left_anti").agg(F.min("query_id").alias("query_id"))
+
+
 # event streams
 
 
