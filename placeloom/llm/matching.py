@@ -24,7 +24,7 @@ from placeloom.session import cut_lineage
 # Words for kinds of firms and their legal forms, transliterated; they do not tell firms apart.
 GENERIC = set(
     "kafe restoran bar pab bistro stolovaya kofeynya pekarnya konditerskaya pitstseriya supermarket magazin minimarket market produkty gastronom lavka fabrika tsekh kombinat zavod "
-    "proizvodstvo chasovnya khram tserkov sobor monastyr mechet sinagoga obshchina prikhod molitvennyy ooo oao ao zao ip pao nko ro i no g gorod".split()
+    "proizvodstvo chasovnya khram tserkov sobor monastyr mechet sinagoga obshchina prikhod obitel skit podvore molitvennyy khlebozavod molokozavod myasokombinat universam rynok bulochnaya chaykhana zakusochnaya traktir ooo oao ao zao ip pao nko ro i no g gorod".split()
 )
 #: MinHash rows of each word of a title and of a street.
 TITLE_ROWS, STREET_ROWS = 3, 2
@@ -32,7 +32,7 @@ TITLE_ROWS, STREET_ROWS = 3, 2
 CELL = 0.002
 #: Labelled pairs that the classifier is fitted on, at most.
 TRAIN_ROWS = 100_000
-FEATURES = ("bias", "contain", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
+FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
 
 PREPARED = "id bigint, tokens array<string>, numbers array<string>, street array<string>, kind string, ordinal int, number string, lat double, lon double, title_rows array<bigint>, street_rows array<bigint>"
 
@@ -40,7 +40,7 @@ PREPARED = "id bigint, tokens array<string>, numbers array<string>, street array
 def core_tokens(title: str | None) -> tuple[list[str], list[str]]:
     """The words of a title that tell firms apart, in signs and sorted, and its numbers."""
     t = to_latin(title or "")
-    t = re.sub(r"\bna ([a-z]+oy|[a-z]+om)\b", " ", t)
+    t = re.sub(r"\bna ([a-z]+oy|[a-z]+om)\b|\bmolitvennyy dom\b", " ", t)
     words = re.findall(r"[a-z]+|\d+", t)
     tokens = sorted({signs(w) for w in words if not w.isdigit() and w not in GENERIC})
     return tokens or sorted({signs(w) for w in words if not w.isdigit() and w != "no"}), sorted({w.lstrip("0") or "0" for w in words if w.isdigit()})
@@ -130,6 +130,9 @@ def _compare(f, o, lat_a, lon_a, lat_b, lon_b) -> tuple[float, ...]:
     """(contain, jaccard, exact, number conflict, metres or NaN, address: 1 same, -1 other, 0 unknown)."""
     ta, na, sa, ka, oa, ha = f
     tb, nb, sb, kb, ob, hb = o
+    # the town or street that a title names beside the firm is in the addresses
+    place = (*sa, *sb)
+    ta, tb = ([x for x in t if not any(_same(x, w) for w in place)] or t for t in (ta, tb))
     short, long_ = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
     hit = _overlap(short, long_)
     size = lambda ws: sum(map(len, ws))
@@ -177,7 +180,7 @@ def _design(p: pd.DataFrame, known: np.ndarray) -> np.ndarray:
     near = np.where(lost, 0.0, np.minimum(np.nan_to_num(m), 200.0) / 50.0)
     far = np.where(lost, 0.0, np.maximum(0.0, np.minimum(np.nan_to_num(m), 1000.0) - 60.0) / 50.0)
     return np.column_stack(
-        [np.ones(len(p)), p["contain"], p["jaccard"], p["exact"], p["conflict"], near, far, lost, np.log1p(p["rivals"]), address == 1, address == -1, address == 0]
+        [np.ones(len(p)), p["contain"], (p["contain"] < 0.75) | (p["conflict"] > 0), p["jaccard"], p["exact"], p["conflict"], near, far, lost, np.log1p(p["rivals"]), address == 1, address == -1, address == 0]
     ).astype(float)
 
 
@@ -218,7 +221,8 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     the smaller id. Empty tables give an empty table.
 
     Weak labels: pairs of one address whose titles contain one another are positive; pairs of
-    different addresses, or of titles with little in common, are negative. For half of the labelled
+    different addresses, or whose titles lack more than a quarter of one another or differ in a number,
+    are negative. For half of the labelled
     pairs the address is hidden, so title, distance and number of rivals are learned by themselves.
     The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash; all pairs are scored.
     """
@@ -230,7 +234,7 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     seen = compared(pairs, a, b)
     rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.count("*") - 1).alias("rivals"))
     seen = cut_lineage(seen).join(rivals, "id_b", "left").fillna({"rivals": 0})
-    label = F.when((F.col("address") == 1) & (F.col("contain") > 0.99) & (F.col("conflict") == 0), 1).when((F.col("address") == -1) | (F.col("contain") < 0.4), 0)
+    label = F.when((F.col("address") == 1) & (F.col("contain") > 0.99) & (F.col("conflict") == 0), 1).when((F.col("address") == -1) | (F.col("contain") < 0.75) | (F.col("conflict") == 1), 0)
     labelled = seen.withColumn("label", label).filter("label is not null").withColumn("draw", F.xxhash64("id_a", "id_b", F.lit(7)))
     total = labelled.count()
     if not total:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.llm.encoding import count_tokens
@@ -136,7 +136,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_
 def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_source, weight, max_repeats, available_tokens, mixed_tokens, share): target and actual share of each source."""
     got = mix.groupBy("doc_source").agg(F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
-    all_ = mix.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total"))
-    out = targets.select("doc_source", "weight", "max_repeats").join(got, "doc_source", "left").crossJoin(F.broadcast(all_))  # one row
+    got = got.withColumn("total", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))))  # a row per source
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    out = targets.select("doc_source", "weight", "max_repeats").join(got, "doc_source", "left")
     return out.select("doc_source", "weight", "max_repeats", zero("available_tokens").alias("available_tokens"), zero("mixed_tokens").alias("mixed_tokens"), F.coalesce(zero("mixed_tokens") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("share"))
