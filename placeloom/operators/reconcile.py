@@ -32,14 +32,19 @@ def nearest(left: DataFrame, right: DataFrame, within_m: float) -> DataFrame:
 def best_names(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
     """(id_a, id_b, score): for each row of ``left`` the row of ``right`` whose name stems overlap most, ties by id.
 
-    Both have id and stems. Pairs are those that share a stem, so nothing else can score above 0;
-    the score is the overlap coefficient, counted from the shared stems.
+    Both have id and stems, sorted. Rows of equal stems have equal answers, so only distinct names are
+    compared: a chain is one name on either side however many branches it has. Pairs are those that
+    share a stem, as nothing else can score above 0; the score is the overlap coefficient.
     """
-    a = left.select(F.col("id").alias("id_a"), F.size("stems").alias("na"), F.explode("stems").alias("s"))
-    b = right.select(F.col("id").alias("id_b"), F.size("stems").alias("nb"), F.explode("stems").alias("s"))
-    shared = a.join(b, "s").groupBy("id_a", "id_b", "na", "nb").agg(F.count("*").alias("k"))
-    scored = shared.select("id_a", "id_b", (F.col("k") / F.greatest(F.lit(1), F.least("na", "nb"))).alias("score")).filter(F.col("score") >= at_least)
-    return scored.groupBy("id_a").agg(F.min_by(F.struct("id_b", "score"), F.struct(-F.col("score"), "id_b")).alias("m")).select("id_a", "m.id_b", "m.score")
+    key = F.array_join("stems", " ")
+    names = left.select(key.alias("ka"), "stems").filter(F.size("stems") > 0).distinct()
+    a = names.select("ka", F.size("stems").alias("na"), F.explode("stems").alias("s"))
+    kinds = right.filter(F.size("stems") > 0).groupBy(key.alias("kb"), "stems").agg(F.min("id").alias("id_b"))
+    b = kinds.select("id_b", F.size("stems").alias("nb"), F.explode("stems").alias("s"))
+    shared = a.join(b, "s").groupBy("ka", "id_b", "na", "nb").agg(F.count("*").alias("k"))
+    scored = shared.select("ka", "id_b", (F.col("k") / F.greatest(F.lit(1), F.least("na", "nb"))).alias("score")).filter(F.col("score") >= at_least)
+    best = scored.groupBy("ka").agg(F.min_by(F.struct("id_b", "score"), F.struct(-F.col("score"), "id_b")).alias("m"))
+    return left.select(F.col("id").alias("id_a"), key.alias("ka")).join(best, "ka").select("id_a", "m.id_b", "m.score")
 
 
 def geocode(rows: DataFrame, index: DataFrame) -> DataFrame:

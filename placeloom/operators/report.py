@@ -107,10 +107,10 @@ def numbered_rows(df: DataFrame, sheet: str, order: Sequence[str]) -> DataFrame:
 
 def district_numbers(known: DataFrame, names: DataFrame) -> DataFrame:
     """(name, no): numbers already given are kept, new names get the next ones in order of name."""
-    top = known.agg(F.coalesce(F.max("no"), F.lit(0)).alias("top"))
+    top = known.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0]
     fresh = names.select("name").distinct().join(known.select("name"), "name", "left_anti")
     w = Window.orderBy("name")  # names of districts: a short list
-    new = fresh.crossJoin(F.broadcast(top)).select("name", (F.col("top") + F.row_number().over(w)).cast("int").alias("no"))
+    new = fresh.select("name", (F.lit(top) + F.row_number().over(w)).cast("int").alias("no"))
     return known.select("name", F.col("no").cast("int").alias("no")).unionByName(new)
 
 

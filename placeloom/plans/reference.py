@@ -505,11 +505,8 @@ def _(s, d):
 
 @query("ref_F3_district_in_text", "SELECT raw_id, coalesce(CASE " + " ".join(f"WHEN contains({norm('address')}, (SELECT {norm('district_name')} FROM districts WHERE district_id = {i})) THEN {i}" for i in range(1, 13)) + " END, 0) AS named FROM raw_places")
 def _(s, d):
-    names = table(s, d, "districts").select("district_id", T.normalize(F.col("district_name")).alias("dn"))
-    raw = _raw(s, d).select("raw_id", T.normalize(F.col("address")).alias("a"))
-    listed = names.agg(F.array_sort(F.collect_list(F.struct("district_id", "dn"))).alias("ds"))  # as many entries as districts
-    hit = F.filter("ds", lambda x: F.col("a").contains(x["dn"]))
-    return raw.crossJoin(F.broadcast(listed)).select("raw_id", F.coalesce(F.get(hit, F.lit(0))["district_id"].cast("int"), F.lit(0)).alias("named"))
+    names = table(s, d, "districts").select("district_id", T.normalize(F.col("district_name")).alias("n")).limit(1000).collect()  # a fixed list
+    return _raw(s, d).select("raw_id", F.coalesce(T.first_contained(F.col("address"), sorted((r.district_id, r.n) for r in names)), F.lit(0)).alias("named"))
 
 
 @query("ref_P20_recapitalise")
