@@ -88,20 +88,21 @@ def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prio
 
     Ties go to the smallest value. Null or blank values make no claim. The pairs of sources of one
     field are at most the square of its number of sources, never of its rows. All tables are
-    joined by shuffle; the statistics by source are as many rows as sources.
+    joined by shuffle, with fields and values as hashes; the statistics by source are as many rows as sources.
     """
-    claims = cut_lineage(claims)
+    texts = claims.withColumns({"o": F.unhex(F.md5(F.concat_ws("\x1f", "object", "field_name"))), "v": F.xxhash64("value")})
+    claims = cut_lineage(texts.select("o", F.xxhash64("source").alias("source"), "v"))
     accuracy = claims.select("source").distinct().withColumn("accuracy", F.lit(0.8))
     n = F.lit(float(false_values))
 
     def chances_of_copying(rated: DataFrame) -> DataFrame:
         """(source, other, p_copy) of each pair of sources. ``rated`` has the posterior of each claim, null at first:
         then only agreement counts, which independent sources reach less often than copies."""
-        right = rated.select("object", "field_name", F.col("source").alias("other"), F.col("value").alias("w"))
-        same = F.col("value") == F.col("w")
+        right = rated.select("o", F.col("source").alias("other"), F.col("v").alias("w"))
+        same = F.col("v") == F.col("w")
         total = lambda v: F.sum(F.coalesce(v, F.lit(0.0)))
         pair = (
-            rated.join(right, ["object", "field_name"])
+            rated.join(right, ["o"])
             .filter("source > other")
             .groupBy("source", "other")
             .agg(
@@ -126,26 +127,28 @@ def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prio
         return cut_lineage(pair.select("source", "other", (1 / (1 + F.exp(F.least(F.lit(500.0), odds)))).alias("p_copy")))
 
     copying = chances_of_copying(claims.withColumn("posterior", F.lit(None).cast("double")))
-    other = claims.select("object", "field_name", "value", F.col("source").alias("other"))
+    other = claims.select("o", "v", F.col("source").alias("other"))
     for step in range(rounds):
         # among those who claim a value, a source keeps the part of its vote that it did not copy
         kept = (
-            claims.join(other, ["object", "field_name", "value"])
+            claims.join(other, ["o", "v"])
             .filter("source > other")
             .join(copying, ["source", "other"])
-            .groupBy("object", "field_name", "value", "source")
+            .groupBy("o", "v", "source")
             .agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.lit(copy_rate) * F.col("p_copy"))))).alias("own"))
         )
-        voted = claims.join(accuracy, "source").join(kept, ["object", "field_name", "value", "source"], "left")
+        voted = claims.join(accuracy, "source").join(kept, ["o", "v", "source"], "left")
         score = F.log(n * F.col("accuracy") / (1 - F.col("accuracy")))
-        votes = voted.groupBy("object", "field_name", "value").agg(F.sum(score * F.coalesce("own", F.lit(1.0))).alias("votes"))
-        most = votes.groupBy("object", "field_name").agg(F.max("votes").alias("most"))
-        shifted = votes.join(most, ["object", "field_name"]).withColumn("e", F.exp(F.col("votes") - F.col("most")))
-        mass = shifted.groupBy("object", "field_name").agg((F.sum("e") + F.exp(-F.first("most"))).alias("mass"))  # the last term: no one is right
-        belief = cut_lineage(shifted.join(mass, ["object", "field_name"]).select("object", "field_name", "value", "votes", (F.col("e") / F.col("mass")).alias("posterior")))
+        votes = voted.groupBy("o", "v").agg(F.sum(score * F.coalesce("own", F.lit(1.0))).alias("votes"))
+        most = votes.groupBy("o").agg(F.max("votes").alias("most"))
+        shifted = votes.join(most, ["o"]).withColumn("e", F.exp(F.col("votes") - F.col("most")))
+        mass = shifted.groupBy("o").agg((F.sum("e") + F.exp(-F.first("most"))).alias("mass"))  # the last term: no one is right
+        belief = cut_lineage(shifted.join(mass, ["o"]).select("o", "v", "votes", (F.col("e") / F.col("mass")).alias("posterior")))
         if step < rounds - 1:
-            rated = claims.join(belief, ["object", "field_name", "value"])
+            rated = claims.join(belief, ["o", "v"])
             accuracy = cut_lineage(rated.groupBy("source").agg(F.avg("posterior").alias("a")).select("source", F.least(F.lit(0.99), F.greatest(F.lit(0.05), "a")).alias("accuracy")))
             copying = chances_of_copying(rated)
-    best = belief.groupBy("object", "field_name").agg(F.min_by(F.struct("value", "posterior", "votes"), F.struct((-F.col("posterior")).alias("p"), "value")).alias("b"))
+    top = belief.groupBy("o").agg(F.max("posterior").alias("posterior"))
+    tied = belief.join(top, ["o", "posterior"]).join(texts.select("o", "v", "object", "field_name", "value").distinct(), ["o", "v"])
+    best = tied.groupBy("object", "field_name").agg(F.min_by(F.struct("value", "posterior", "votes"), "value").alias("b"))
     return best.select("object", "field_name", "b.value", "b.posterior", "b.votes")
