@@ -76,6 +76,14 @@ def claims_of(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "place_i
     )
 
 
+#: Rows of a table by source or pair of sources up to which it is broadcast; beyond, it is joined by shuffle.
+SMALL_ROWS = 200_000
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prior_copy: float = 0.1, copy_rate: float = 0.8) -> DataFrame:
     """(object, field_name, value, posterior, votes): the value of maximum posterior of each field.
 
@@ -111,8 +119,8 @@ def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prio
                 total(F.when(same, 1 - F.col("posterior"))).alias("same_false"),
                 total(F.when(~same, F.lit(1.0))).alias("differ"),
             )
-            .join(accuracy.withColumnRenamed("accuracy", "a1"), "source")
-            .join(accuracy.select(F.col("source").alias("other"), F.col("accuracy").alias("a2")), "other")
+            .join(_if_small(accuracy.withColumnRenamed("accuracy", "a1")), "source")
+            .join(_if_small(accuracy.select(F.col("source").alias("other"), F.col("accuracy").alias("a2"))), "other")
         )
         p_true = F.col("a1") * F.col("a2")
         p_false = (1 - F.col("a1")) * (1 - F.col("a2")) / n
@@ -124,7 +132,8 @@ def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prio
             + F.col("differ") * F.log(F.lit(1 / (1 - copy_rate)))
             + F.log(F.lit((1 - prior_copy) / prior_copy))
         )
-        return cut_lineage(pair.select("source", "other", (1 / (1 + F.exp(F.least(F.lit(500.0), odds)))).alias("p_copy")))
+        chance = pair.select("source", "other", (1 / (1 + F.exp(F.least(F.lit(500.0), odds)))).alias("p_copy"))
+        return cut_lineage(chance.filter("p_copy > 1e-6"))  # less changes no vote
 
     copying = chances_of_copying(claims.withColumn("posterior", F.lit(None).cast("double")))
     other = claims.select("o", "v", F.col("source").alias("other"))
@@ -133,11 +142,11 @@ def fuse_claims(claims: DataFrame, rounds: int = 3, false_values: int = 20, prio
         kept = (
             claims.join(other, ["o", "v"])
             .filter("source > other")
-            .join(copying, ["source", "other"])
+            .join(_if_small(copying), ["source", "other"])
             .groupBy("o", "v", "source")
             .agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.lit(copy_rate) * F.col("p_copy"))))).alias("own"))
         )
-        voted = claims.join(accuracy, "source").join(kept, ["o", "v", "source"], "left")
+        voted = claims.join(_if_small(accuracy), "source").join(kept, ["o", "v", "source"], "left")
         score = F.log(n * F.col("accuracy") / (1 - F.col("accuracy")))
         votes = voted.groupBy("o", "v").agg(F.sum(score * F.coalesce("own", F.lit(1.0))).alias("votes"))
         most = votes.groupBy("o").agg(F.max("votes").alias("most"))
