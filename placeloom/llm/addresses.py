@@ -57,9 +57,12 @@ def corrected_words(words: DataFrame) -> DataFrame:
 
     n is how often the word is written anywhere; the block only limits where its spelling is sought.
     Spellings meet where they have a deletion in common; each key passes on only its most frequent
-    spelling, so no group gives all its pairs. An edit is a letter more, less, other or swapped.
+    spelling, so no group gives all its pairs. An edit is a letter more, less, other or swapped. The
+    sign T stands for ц and for тс, so slips in either are sought.
     """
-    keyed = words.filter(F.length("word") >= 5).withColumn("key", F.explode(deletions(F.col("word"))))
+    word = F.col("word")
+    both = F.when(word.contains("T"), F.array_union(deletions(word), deletions(F.replace(word, F.lit("T"), F.lit("ts"))))).otherwise(deletions(word))
+    keyed = words.filter(F.length("word") >= 5).withColumn("key", F.explode(both))
     top = keyed.groupBy("block", "key").agg(F.max(F.struct("n", "word")).alias("top"))
     near = keyed.join(top, ["block", "key"]).filter("top.word <> word").groupBy("block", "word", "n").agg(F.max("top").alias("top"))
     return near.filter((F.col("top.n") >= RATIO * F.col("n")) | ((F.col("n") <= RARE) & (F.col("top.n") >= F.col("n")))).select("block", "word", F.col("top.word").alias("right"))
