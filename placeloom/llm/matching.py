@@ -1,6 +1,7 @@
 """Matching two tables of places that share no identifier.
 
-Titles and streets are reduced to MinHash rows; candidates agree in a row of the title
+Titles and streets are reduced to MinHash rows, words of titles also to their deletions, in
+which words one slip apart always meet; candidates agree in a row or deletion of the title
 together with a map cell or with a house number and a row of the street. Pairs get
 similarity features, a logistic classifier learns from weak labels which pairs are one
 firm, its scores are calibrated on held-out labels, and each object keeps its likeliest place.
@@ -28,13 +29,17 @@ GENERIC = set(
 )
 #: MinHash rows of each word of a title and of a street.
 TITLE_ROWS, STREET_ROWS = 3, 2
+#: Signs from which a word of a title is keyed by its first and last AFFIX signs; up to there, by its deletions.
+LONG_WORD, AFFIX = 24, 10
 #: Side of a map cell in degrees of latitude (about 220 m); objects look into the four cells nearest to them.
 CELL = 0.002
+#: Signs of the endings that words may differ in.
+VOWELS = "aeiouyA"
 #: Labelled pairs that the classifier is fitted on, at most.
 TRAIN_ROWS = 100_000
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
 
-PREPARED = "id bigint, tokens array<string>, numbers array<string>, street array<string>, kind string, ordinal int, number string, lat double, lon double, title_rows array<bigint>, street_rows array<bigint>"
+PREPARED = "id bigint, tokens array<string>, numbers array<string>, street array<string>, kind string, ordinal int, number string, lat double, lon double, title_rows array<bigint>, title_words array<bigint>, street_rows array<bigint>"
 
 
 def core_tokens(title: str | None) -> tuple[list[str], list[str]]:
@@ -55,6 +60,28 @@ def minhash(shingles: set[str], rows: int) -> list[int]:
     return [min(xxhash.xxh3_64_intdigest(s, seed=r) for s in shingles) - (1 << 63) for r in range(rows)] if shingles else []
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text, seed=TITLE_ROWS) - (1 << 63)
+
+
+def slip_keys(word: str) -> set[int]:
+    """Keys of which two words have one in common whenever ``_same`` takes them for one word, if they differ.
+
+    A slip leaves two words a deletion in common; of a long word it leaves the beginning or the end.
+    """
+    keys = {f"s{word.rstrip(VOWELS)}"} if len(word) >= 5 else set()
+    if 3 < len(word) <= LONG_WORD:
+        keys |= {f"d{word}", *(f"d{word[:i]}{word[i + 1 :]}" for i in range(len(word)))}
+    if len(word) >= LONG_WORD:
+        keys |= {f"b{word[:AFFIX]}", f"e{word[-AFFIX:]}"}
+    return {_hash(k) for k in keys}
+
+
+def title_keys(tokens: list[str]) -> list[tuple[int, int]]:
+    """(key, word): MinHash rows, whose word is 0, and slip keys of a title's words. Equal words agree in all rows."""
+    return sorted({(h, 0) for w in tokens for h in minhash(_grams([w]), TITLE_ROWS)} | {(h, _hash(w)) for w in tokens for h in slip_keys(w)})
+
+
 def prepare(df: DataFrame) -> DataFrame:
     """From (id, title, address, lat, lon) the attributes that pairs are compared by."""
 
@@ -63,6 +90,7 @@ def prepare(df: DataFrame) -> DataFrame:
             out = []
             for i, title, address, lat, lon in zip(pdf["id"], pdf["title"], pdf["address"], pdf["lat"], pdf["lon"]):
                 tokens, numbers = core_tokens(title)
+                keys = title_keys(tokens)
                 p = parse(address)
                 street = [w for w in p.words if len(w) > 3] if p and p.house else []
                 ok = not (pd.isna(lat) or pd.isna(lon) or lat == 0 or lon == 0)
@@ -79,7 +107,8 @@ def prepare(df: DataFrame) -> DataFrame:
                         "number": p.number if street else "",
                         "lat": lat if ok else None,
                         "lon": lon if ok else None,
-                        "title_rows": sorted({h for w in tokens for h in minhash(_grams([w]), TITLE_ROWS)}),
+                        "title_rows": [k for k, _ in keys],
+                        "title_words": [w for _, w in keys],
                         "street_rows": [h for w in street for h in minhash(_grams([w]), STREET_ROWS)],
                     }
                 )
@@ -101,19 +130,26 @@ def placed(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _keys(rows: DataFrame, probes: bool) -> DataFrame:
-    """(key, id): what candidates agree in."""
+    """(key, word, id): what candidates agree in, and the word of the title where that is a slip key."""
     steps = [0.0] if not probes else [-0.5, 0.5]
     cell = lambda c, scale, d: F.floor(F.col(c) / scale + d)
     near = F.array(*[F.struct(cell("lat", CELL, a).alias("y"), cell("lon", 2 * CELL, b).alias("x")) for a in steps for b in steps])
-    here = rows.filter("lat is not null").select("id", F.explode("title_rows").alias("t"), near.alias("cells")).select("id", "t", F.explode("cells").alias("c")).select("id", F.xxhash64(F.lit("c"), "t", "c.y", "c.x").alias("key"))
-    there = rows.filter("number <> ''").select("id", "number", F.explode("title_rows").alias("t"), "street_rows").select("id", "t", "number", F.explode("street_rows").alias("s")).select("id", F.xxhash64(F.lit("a"), "t", "number", "s").alias("key"))
+    title = F.explode(F.arrays_zip("title_rows", "title_words")).alias("t")
+    here = rows.filter("lat is not null").select("id", title, near.alias("cells")).select("id", "t", F.explode("cells").alias("c")).select("id", F.xxhash64(F.lit("c"), "t.title_rows", "c.y", "c.x").alias("key"), F.col("t.title_words").alias("word"))
+    there = rows.filter("number <> ''").select("id", "number", title, "street_rows").select("id", "t", "number", F.explode("street_rows").alias("s")).select("id", F.xxhash64(F.lit("a"), "t.title_rows", "number", "s").alias("key"), F.col("t.title_words").alias("word"))
     return here.unionByName(there)
 
 
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b): pairs of prepared rows that agree in a key; equal words meet in MinHash rows alone."""
+    ka, kb = (_keys(df, probes).withColumnsRenamed({"id": f"id_{s}", "word": f"word_{s}"}) for df, probes, s in ((a, False, "a"), (b, True, "b")))
+    return ka.join(kb, "key").filter("word_a = 0 or word_a <> word_b").select("id_a", "id_b").distinct()
+
+
 def _same(a: str, b: str) -> bool:
     if a == b or (len(a) > 3 and len(b) > 3 and _near(a, b)):
         return True
-    return len(a) >= 5 and len(b) >= 5 and a.rstrip("aeiouyA") == b.rstrip("aeiouyA")
+    return len(a) >= 5 and len(b) >= 5 and a.rstrip(VOWELS) == b.rstrip(VOWELS)
 
 
 def _overlap(a, b) -> int:
@@ -229,11 +265,9 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     a0, b0 = cut_lineage(prepare(left)), cut_lineage(prepare(right))
     a, b = cut_lineage(placed(a0, b0)), placed(b0, a0)
     b = cut_lineage(b)
-    ka, kb = _keys(a, False).withColumnRenamed("id", "id_a"), _keys(b, True).withColumnRenamed("id", "id_b")
-    pairs = ka.join(kb, "key").select("id_a", "id_b").distinct()
-    seen = compared(pairs, a, b)
+    seen = cut_lineage(compared(candidates(a, b), a, b))
     rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.count("*") - 1).alias("rivals"))
-    seen = cut_lineage(seen).join(rivals, "id_b", "left").fillna({"rivals": 0})
+    seen = seen.join(rivals, "id_b", "left").fillna({"rivals": 0})
     label = F.when((F.col("address") == 1) & (F.col("contain") > 0.99) & (F.col("conflict") == 0), 1).when((F.col("address") == -1) | (F.col("contain") < 0.75) | (F.col("conflict") == 1), 0)
     labelled = seen.withColumn("label", label).filter("label is not null").withColumn("draw", F.xxhash64("id_a", "id_b", F.lit(7)))
     total = labelled.count()

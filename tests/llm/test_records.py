@@ -147,3 +147,22 @@ def test_matching_of_empty_tables(spark):
     schema = "id long, title string, address string, lat double, lon double"
     empty = spark.createDataFrame([], schema)
     assert matching.match_places(empty, empty).count() == 0
+
+
+def test_titles_of_one_word_with_a_slip_are_candidates(spark):
+    r = random.Random(11)
+    letters = "бвгдклмнпрстаеиоу"
+    left, right = [], []
+    for i in range(300):
+        w = "".join(r.choice(letters) for _ in range(r.choice([4, 5, 6, 7, 8, 23, 24, 25, 40])))
+        k = r.randrange(len(w) - 1)
+        slipped = r.choice([w[:k] + r.choice(letters) + w[k + 1 :], w[:k] + r.choice(letters) + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[: k + 1] + w[k + 2 :] if len(w) > 4 else w, w[:-1] + "ое" if len(w) > 5 else w])
+        lat = 55 + i * 0.01
+        at = (None, None) if i % 3 == 0 else (lat, 37.0)
+        left.append((i, f"Кафе «{w}»", f"Город, Лесная улица, {i + 1}", *at))
+        right.append((1000 + i, slipped, f"Лесная улица, д. {i + 1}", *at))
+    schema = "id long, title string, address string, lat double, lon double"
+    a, b = (matching.prepare(spark.createDataFrame(x, schema)) for x in (left, right))
+    got = {(x.id_a, x.id_b) for x in matching.candidates(a, b).collect()}
+    alike = {(i, 1000 + i) for i in range(300) if any(matching._same(x, y) or x == y for x in matching.core_tokens(left[i][1])[0] for y in matching.core_tokens(right[i][1])[0])}
+    assert len(alike) >= 250 and alike <= got, (len(alike), sorted(alike - got)[:5])
