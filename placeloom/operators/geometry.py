@@ -11,18 +11,19 @@ POINTS = "array<array<array<array<double>>>>"
 
 
 def polygons(districts: DataFrame, id_col: str = "district_id", geojson: str = "geojson") -> DataFrame:
-    """(id, rings): all rings of each region as arrays of [x, y]; text that is no polygon has none."""
+    """(region, parts): the parts of each region as arrays of rings of [x, y]; text that is no polygon has none."""
     kind = F.get_json_object(geojson, "$.type")
     coords = F.get_json_object(geojson, "$.coordinates")
     multi = F.when(kind == "MultiPolygon", F.from_json(coords, POINTS)).when(kind == "Polygon", F.array(F.from_json(coords, "array<array<array<double>>>")))
-    return districts.select(F.col(id_col).alias("region"), F.coalesce(F.flatten(multi), F.array().cast("array<array<array<double>>>")).alias("rings"))
+    return districts.select(F.col(id_col).alias("region"), F.coalesce(multi, F.array().cast(POINTS)).alias("parts"))
 
 
 def edges(districts: DataFrame, id_col: str = "district_id", geojson: str = "geojson") -> DataFrame:
-    """(region, ring, ax, ay, bx, by): the edges of every ring, without those of no length."""
-    rings = polygons(districts, id_col, geojson).select("region", F.posexplode("rings").alias("ring", "pts"))
-    pairs = rings.select("region", "ring", F.explode(F.arrays_zip(F.expr("slice(pts, 1, size(pts) - 1)").alias("a"), F.expr("slice(pts, 2, size(pts) - 1)").alias("b"))).alias("e"))
-    return pairs.select("region", "ring", F.col("e.a")[0].alias("ax"), F.col("e.a")[1].alias("ay"), F.col("e.b")[0].alias("bx"), F.col("e.b")[1].alias("by")).filter("ax <> bx or ay <> by")
+    """(region, part, ring, ax, ay, bx, by): the edges of every ring of every part, without those of no length."""
+    parts = polygons(districts, id_col, geojson).select("region", F.posexplode("parts").alias("part", "rings"))
+    rings = parts.select("region", "part", F.posexplode("rings").alias("ring", "pts"))
+    pairs = rings.select("region", "part", "ring", F.explode(F.arrays_zip(F.expr("slice(pts, 1, size(pts) - 1)").alias("a"), F.expr("slice(pts, 2, size(pts) - 1)").alias("b"))).alias("e"))
+    return pairs.select("region", "part", "ring", F.col("e.a")[0].alias("ax"), F.col("e.a")[1].alias("ay"), F.col("e.b")[0].alias("bx"), F.col("e.b")[1].alias("by")).filter("ax <> bx or ay <> by")
 
 
 def bounds(districts: DataFrame) -> DataFrame:
@@ -31,14 +32,14 @@ def bounds(districts: DataFrame) -> DataFrame:
 
 
 def areas(districts: DataFrame) -> DataFrame:
-    """(region, km2): shoelace area, the outer ring less the openings, with degrees scaled at the mean latitude."""
-    rings = edges(districts).groupBy("region", "ring").agg(F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("deg2"), F.avg("ay").alias("lat"), F.max("ay").alias("top"))
+    """(region, km2): shoelace area, the outer ring of every part less its openings, with degrees scaled at the mean latitude."""
+    rings = edges(districts).groupBy("region", "part", "ring").agg(F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("deg2"), F.avg("ay").alias("lat"), F.max("ay").alias("top"))
     solid = F.when(ring_is_outer(), F.col("deg2")).otherwise(-F.col("deg2"))
     return rings.groupBy("region").agg(F.round(F.sum(solid * 111.32 * 111.32 * F.cos(F.radians("lat"))), 6).alias("km2"))
 
 
 def ring_is_outer() -> Column:
-    """The first ring of a region is outer; so far as this table goes, later rings of a Polygon are openings."""
+    """The first ring of each part is outer, later ones are its openings."""
     return F.col("ring") == 0
 
 

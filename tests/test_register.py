@@ -1,3 +1,4 @@
+import math
 import os
 
 import duckdb
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
-from placeloom.operators import merge, quality, reconcile, report
+from placeloom.operators import geometry, merge, quality, reconcile, report
 from placeloom.plans import reference
 from placeloom.sources import files
 from placeloom.streaming import ingest
@@ -125,3 +126,12 @@ def test_stream_of_captures_equals_one_batch(spark, tmp_path):
     got = sorted(map(tuple, ingest.merged_state(spark, str(tmp_path / "state"), last, ("title", "phone")).collect()), key=str)
     want = merge.merge_records(merge.keyed(df), ("title", "phone"), "raw_id", records=None).select("key", "title", "phone", "n_rows")
     assert got == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_areas_add_parts_and_subtract_openings(spark):
+    square = lambda x, y, side: f"[[{x},{y}],[{x + side},{y}],[{x + side},{y + side}],[{x},{y + side}],[{x},{y}]]"
+    shapes = [(1, f'{{"type":"MultiPolygon","coordinates":[[{square(0, 0, 4)},{square(1, 1, 1)}],[{square(10, 0, 4)},{square(11, 1, 2)}]]}}'), (2, f'{{"type":"Polygon","coordinates":[{square(0, 0, 4)},{square(1, 1, 1)}]}}'), (3, f'{{"type":"MultiPolygon","coordinates":[[{square(0, 0, 4)}],[{square(10, 0, 2)}]]}}'), (4, "none")]
+    got = {r.region: r.km2 for r in geometry.areas(spark.createDataFrame(shapes, "district_id int, geojson string")).collect()}
+    km2 = lambda side, y: side * side * 111.32**2 * math.cos(math.radians(y + side / 2))
+    want = {1: 2 * km2(4, 0) - km2(1, 1) - km2(2, 1), 2: km2(4, 0) - km2(1, 1), 3: km2(4, 0) + km2(2, 0)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 * want[k] for k in want), (got, want)
