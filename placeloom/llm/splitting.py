@@ -27,8 +27,16 @@ STRIDE = 16
 #: Rows that a table of limits may have; it goes to the driver.
 MAX_LIMITS = 1_000
 
-# natural boundaries, the best first: after an empty line, after a line, after a sentence, before white space
-_NATURAL = (re.compile(r"\n[ \t\r]*\n+"), re.compile(r"\n"), re.compile(r"[.!?…]+[\"»”)\]]*(?=\s)"), re.compile(r"(?<=\S)(?=\s)"))
+# natural boundaries, the best first: after an empty line, after a line, after a sentence, before white space,
+# and where white space is lost, after a sentence and after a clause
+_NATURAL = (
+    re.compile(r"\n[ \t\r]*\n+"),
+    re.compile(r"\n"),
+    re.compile(r"[.!?…]+[\"»”)\]]*(?=\s)"),
+    re.compile(r"(?<=\S)(?=\s)"),
+    re.compile(r"[.!?…。！？]+[\"»”)\]]*(?=[^\s\d.!?…。！？\"»”)\]])"),
+    re.compile(r"[,;:，；：、][\"»”)\]]*(?=[^\s\d,;:，；：、\"»”)\]])"),
+)
 _SAFE = re.compile(r"(?<=[^\s▁])(?=[\n ])")
 
 
@@ -64,15 +72,16 @@ def choose_pieces(tables: list[tuple[list[int], list[int], list[int]]], n_tokens
     """(first token, token after the last, first character, character after the last) of consecutive pieces.
 
     Each piece ends at the last boundary of the best class in the second half of what the limit
-    allows; of the next class if there is none; the next piece starts ``overlap`` tokens before.
+    allows; of the next class if there is none; in the first half if there is none of any natural
+    class; at the last token otherwise. The next piece starts ``overlap`` tokens before.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
     pieces, start, char = [], 0, 0
     while n_tokens - start > limit:
         top, cut = start + limit, None
-        for low in (start + max(limit // 2, overlap), start + overlap):
-            for counts, ends, begins in tables:
+        for low, classes in ((start + max(limit // 2, overlap), tables[:-1]), (start + overlap, tables)):
+            for counts, ends, begins in classes:
                 k = bisect_right(counts, top) - 1
                 if k >= 0 and counts[k] > low:
                     cut = (counts[k], ends[k], begins[k])
@@ -133,13 +142,13 @@ def nearest_pieces(text: str, ends: np.ndarray, limit: int, overlap: int) -> lis
                 for m in () if cut else reversed(list(rx.finditer(text, c0, min(len(text), c1 + 1)))):
                     if cut := tokens_at(m.end(), low, top):
                         break
-            k = top
-            while not cut and k > low:
-                if ends[k - 1] >= 0 and (not overlap or ends[k - overlap - 1] >= 0):
-                    cut = k
-                k -= 1
             if cut:
                 break
+        k = top
+        while not cut and k > start + overlap:
+            if ends[k - 1] >= 0 and (not overlap or ends[k - overlap - 1] >= 0):
+                cut = k
+            k -= 1
         if not cut:
             raise ValueError("no token of this text ends between two characters within the limit")
         pieces.append((start, cut, char, int(ends[cut - 1])))

@@ -166,6 +166,25 @@ def test_boundaries_are_natural_where_possible():
         splitting.nearest_pieces(text, ends, 10, 10)
 
 
+def test_words_are_cut_only_where_no_boundary_is():
+    eng = engine("byte_bpe_50k")
+    glued = "".join(f"Этадверьнепришёлнаэтаже{i}?Никтоещёищетключи,наверное,взаперти!Стоит3.50рубля." for i in range(60))
+    early = "Two words. " + "неразрывно" * 12 + "\n" + "ъэщцй" * 400
+    for text, ok in ((glued, lambda p: p[-1] in ".!?"), ("".join(f"слово{i},дело;" for i in range(300)), lambda p: p[-1] in ",;")):
+        flat, _ = UNITS.number([coarse_cut(text)])
+        ends = eng.table().token_ends(flat)
+        near = splitting.nearest_pieces(text, ends, 150, 10)
+        tables = [tuple(c.tolist() for c in t) for t in splitting.boundary_table(text, ends, 10)]
+        assert splitting.choose_pieces(tables, len(ends), len(text), 150, 10) == near
+        assert len(near) > 5 and all(ok(text[c0:c1]) and not text[c1].isdigit() for _, _, c0, c1 in near[:-1])
+    flat, _ = UNITS.number([coarse_cut(early)])
+    ends = eng.table().token_ends(flat)
+    limit = int(2.5 * int(((ends >= 0) & (ends <= early.index("\n"))).sum()))
+    near = splitting.nearest_pieces(early, ends, limit, 2)
+    tables = [tuple(c.tolist() for c in t) for t in splitting.boundary_table(early, ends, 2)]
+    assert near[0][3] in (early.index("\n"), early.index("\n") + 1) and splitting.choose_pieces(tables, len(ends), len(early), limit, 2)[0] == near[0]
+
+
 def test_special_is_only_for_unusual_numerals():
     eng = engine("byte_bpe_50k")
     assert isinstance(eng, ByteBpe) and eng.special("1²") and not eng.special("12 слов")
