@@ -19,6 +19,8 @@ from placeloom.session import cut_lineage, shuffle_width
 
 #: Sources that a table of targets may have; its rows go to the driver.
 MAX_SOURCES = 10_000
+#: Documents of a source that are rounded one after another, about; a larger source is cut into buckets by hash of the id.
+BUCKET_DOCS = 10_000
 
 
 def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -97,8 +99,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_
     """(doc_id, doc_source, n_tokens, copies): how often each document occurs in the mix, never above its source's cap.
 
     Every document has a row. Null and empty texts, null sources and sources without a target get 0
-    copies. Documents of one source are one group only in sums; copies are rounded in fixed hash
-    buckets of the ids, so a source of any size is spread and a repeated run gives the same mix.
+    copies. Copies are rounded in hash buckets of about ``BUCKET_DOCS`` documents of a source, a smaller
+    source being one bucket; what a bucket misses is at most about one of its smallest documents. So a
+    source of any size is spread, and the mix does not depend on the number of partitions.
     """
     sized = cut_lineage(count_tokens(docs, id_col, text_col, tokenizer, folder, keep=(source_col,)).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("doc_source"), "n_tokens"))
     rules = read_targets(targets)
@@ -110,26 +113,30 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_
     mean = {s: stats[s][1] / stats[s][0] for s in goals}
 
     def run(batches):
-        carry: dict[str, float] = {}
+        carry: dict[tuple[str, int], float] = {}
         for b in batches:
             copies = []
-            for s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for s, n, bucket in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if s not in rates or not n:
                     copies.append(0)
                     continue
                 a, w = rates[s]
                 r = min(float(caps[s]), float(np.exp(min(50.0, a + w * n / mean[s]))))
                 k = int(r + 1e-9)
-                left = carry.get(s, 0.0) + (r - k) * n
+                left = carry.get((s, bucket), 0.0) + (r - k) * n
                 if left >= n / 2 and k < caps[s]:
                     k += 1
                     left -= n
-                carry[s] = left
+                carry[s, bucket] = left
                 copies.append(k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copies, pa.int32())], names=["doc_id", "doc_source", "n_tokens", "copies"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(copies, pa.int32())], names=["doc_id", "doc_source", "n_tokens", "copies"])
 
     kind = sized.schema["doc_id"].dataType.simpleString()
-    spread = sized.repartition(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions(F.desc("n_tokens"), "doc_id")
+    spark = docs.sparkSession
+    parts = spark.createDataFrame([(s, -(-stats[s][0] // BUCKET_DOCS)) for s in sorted(goals)], "doc_source string, parts long")
+    rest = F.lit(shuffle_width(spark)).cast("long")  # of documents that get no copies
+    bucket = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", rest)).alias("bucket")
+    spread = sized.join(F.broadcast(parts), "doc_source", "left").select("doc_id", "doc_source", "n_tokens", bucket).repartition(shuffle_width(spark), "doc_source", "bucket").sortWithinPartitions(F.desc("n_tokens"), "doc_id")
     return spread.mapInArrow(run, f"doc_id {kind}, doc_source string, n_tokens bigint, copies int")
 
 

@@ -103,6 +103,20 @@ def test_mix_of_a_given_size_caps_small_sources(spark):
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0
 
 
+def test_small_sources_meet_their_weight_on_many_partitions(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "s") for i in range(10)] + [(i, "a b c d", "t") for i in range(10, 210)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("s", 0.04, 3), ("t", 0.96, 3)], "doc_source string, weight double, max_repeats int")
+    seen, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("64", "3"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            seen.append(sorted(map(tuple, mixing.mix_sources(docs, targets, total=400).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    tokens = {s: sum(n * k for _, source, n, k in seen[0] if source == s) for s in "st"}
+    assert seen[0] == seen[1] and abs(tokens["s"] - 16) <= 4 and abs(tokens["t"] - 384) <= 4, tokens
+
+
 def check_pieces(text, rows, name, limit, overlap):
     """The pieces of one text cover it, keep the limit and share the overlap, in tokens of the whole text."""
     eng = engine(name)
