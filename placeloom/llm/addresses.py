@@ -21,6 +21,8 @@ from placeloom.session import cut_lineage
 
 #: A spelling is a slip when a neighbouring one occurs so many times as often, or it occurs at most RARE times itself.
 RATIO, RARE = 4, 2
+#: A spelling of fewer than SHORT signs, or next to one, is a slip only in a locality or postcode, where it is rare and the other occurs so many times as often.
+SHORT, SHORT_RATIO = 5, 8
 #: Records of one building that one task pairs.
 GROUP_ROWS = 2_000
 
@@ -58,14 +60,16 @@ def corrected_words(words: DataFrame) -> DataFrame:
     n is how often the word is written anywhere; the block only limits where its spelling is sought.
     Spellings meet where they have a deletion in common; each key passes on only its most frequent
     spelling, so no group gives all its pairs. An edit is a letter more, less, other or swapped. The
-    sign T stands for ц and for тс, so slips in either are sought.
+    sign T stands for ц and for тс, so slips in either are sought. Words of three and four signs pass on
+    theirs beside those of long words and yield to them; words of one or two signs are not sought.
     """
     word = F.col("word")
     both = F.when(word.contains("T"), F.array_union(deletions(word), deletions(F.replace(word, F.lit("T"), F.lit("ts"))))).otherwise(deletions(word))
-    keyed = words.filter(F.length("word") >= 5).withColumn("key", F.explode(both))
-    top = keyed.groupBy("block", "key").agg(F.max(F.struct("n", "word")).alias("top"))
-    near = keyed.join(top, ["block", "key"]).filter("top.word <> word").groupBy("block", "word", "n").agg(F.max("top").alias("top"))
-    return near.filter((F.col("top.n") >= RATIO * F.col("n")) | ((F.col("n") <= RARE) & (F.col("top.n") >= F.col("n")))).select("block", "word", F.col("top.word").alias("right"))
+    keyed = words.filter(F.length("word") >= 3).withColumn("short", F.length("word") < SHORT).withColumn("key", F.explode(both))
+    top = keyed.groupBy("block", "key", F.col("short").alias("top_short")).agg(F.max(F.struct("n", "word")).alias("top"))
+    near = keyed.join(top, ["block", "key"]).filter("top.word <> word").withColumn("long", ~(F.col("short") | F.col("top_short")))
+    slip = F.when(F.col("long"), (F.col("top.n") >= RATIO * F.col("n")) | ((F.col("n") <= RARE) & (F.col("top.n") >= F.col("n")))).otherwise((F.col("block") != "*") & (F.col("n") <= RARE) & (F.col("top.n") >= SHORT_RATIO * F.col("n")))
+    return near.filter(slip).groupBy("block", "word").agg(F.max(F.struct("long", "top.n", "top.word")).alias("top")).select("block", "word", F.col("top.word").alias("right"))
 
 
 def resolved_skeletons(parsed: DataFrame) -> DataFrame:

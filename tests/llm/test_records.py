@@ -106,6 +106,13 @@ def test_buildings_are_told_apart_and_together(spark, clash):
     assert addresses.same_building(df.limit(0)).count() == 0
 
 
+def test_slips_of_short_words_are_corrected_in_their_postcode(spark):
+    rows = [(i, f"000010, г. Вельск, ул. Гать, д. {60 + i}") for i in range(10)] + [(100 + i, f"000020, г. Вельск, ул. Лесновская, д. {60 + i}") for i in range(15)]
+    rows += [(200, "000010, г. Вельск, ул. Гтаь, д. 60"), (201, "000010, г. Вельск, ул. Гатт, д. 61"), (202, "000030, пос. Выселки, ул. Гатл, д. 5"), (203, "000030, пос. Выселки, ул. Гатл, д. 5")]
+    got = {(r.addr_id_a, r.addr_id_b) for r in addresses.same_building(spark.createDataFrame(rows, "addr_id long, address string")).collect()}
+    assert got == {(0, 200), (1, 201), (202, 203)}
+
+
 def test_parts_of_one_address():
     p = parse("000030, № 26-Б к. 1, ул. 3-я Зочтученская, (оф. 60), ТЦ «Короб», пав. 2")
     assert (p.number, p.kind, p.ordinal, p.postcode) == ("26b|1|", "ulitsa", 3, "000030")
