@@ -155,15 +155,24 @@ class Engine:
         return t.ids[t.gather(flat)].tolist()
 
 
-def numbered(texts: list[str], engines: list["Engine"]) -> Iterator[tuple[list[int], list["Engine"], np.ndarray, np.ndarray]]:
-    """(which texts, for which engines, their unit numbers, units a text): plain texts once for all engines."""
+def numbered(texts: list[str], engines: list["Engine"], first: list[bool] | None = None) -> Iterator[tuple[list[int], list["Engine"], np.ndarray, np.ndarray]]:
+    """(which texts, for which engines, their unit numbers, units a text): plain texts once for all engines.
+
+    ``first`` says which texts are no later ranges of another: only those begin as a text does.
+    """
+
+    def inner(units: list[str], i: int) -> list[str]:
+        if first is not None and not first[i] and units and units[0].startswith(MARK):
+            units[0] = units[0][1:]
+        return units
+
     plain, other = [], []
     for i, t in enumerate(texts):
         (other if any(e.special(t) for e in engines) else plain).append(i)
     if plain:
-        yield (plain, engines, *UNITS.number([coarse_cut(texts[i]) for i in plain]))
+        yield (plain, engines, *UNITS.number([inner(coarse_cut(texts[i]), i) for i in plain]))
     for e in engines if other else ():
-        yield (other, [e], *UNITS.number([e.cut(texts[i]) if e.special(texts[i]) else coarse_cut(texts[i]) for i in other]))
+        yield (other, [e], *UNITS.number([inner(e.cut(texts[i]) if e.special(texts[i]) else coarse_cut(texts[i]), i) for i in other]))
 
 
 class ByteBpe(Engine):

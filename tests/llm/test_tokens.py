@@ -137,66 +137,97 @@ def check_pieces(text, rows, name, limit, overlap):
             assert end == len(ends)
 
 
-@pytest.mark.parametrize("span", [(1_000_000, 20_000), (3_000, 500), (700, 3)])
-def test_pieces_cover_texts_within_limits_in_all_ways_of_reading(spark, clash, span):
-    docs = clash(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
-    limits = spark.createDataFrame([("byte_bpe_50k", 300, 40), ("word_bpe_49k", 128, 12), ("piece_bpe_32k", 500, 0), ("byte_bpe_multi_50k", 64, 8)], "tokenizer string, max_tokens int, overlap_tokens int")
+LIMITS = [("byte_bpe_50k", 300, 40), ("word_bpe_49k", 128, 12), ("piece_bpe_32k", 500, 0), ("byte_bpe_multi_50k", 64, 8)]
+LIMIT_COLUMNS = "tokenizer string, max_tokens int, overlap_tokens int"
+
+
+def pieces_by_text(df):
     got = {}
-    for r in splitting.split_oversized(docs, limits, range_chars=span[0], halo=span[1]).collect():
+    for r in df.collect():
         got.setdefault((r.doc_id, r.tokenizer), []).append(r)
+    return got
+
+
+@pytest.fixture(scope="module")
+def whole_pieces(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    return sorted(map(str, splitting.split_oversized(docs, spark.createDataFrame(LIMITS, LIMIT_COLUMNS), range_bytes=2_000_000).collect()))
+
+
+@pytest.mark.parametrize("span", [50_000, 2_000, 150])
+def test_pieces_do_not_depend_on_the_ranges(spark, clash, span, whole_pieces):
+    docs = clash(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    limits = spark.createDataFrame(LIMITS, LIMIT_COLUMNS)
+    rows = splitting.split_oversized(docs, limits, range_bytes=span)
+    got = pieces_by_text(rows)
+    assert sorted(str(r) for v in got.values() for r in v) == whole_pieces
     texts_ = {r.doc_id: r.text for r in docs.collect()}
-    want = {(i, l.tokenizer) for i, t in texts_.items() for l in limits.collect() if t and len(engine(l.tokenizer).encode(t)) > l.max_tokens}
-    assert set(got) == want
-    rule = {l.tokenizer: (l.max_tokens, l.overlap_tokens) for l in limits.collect()}
-    for (i, name), rows in got.items():
-        check_pieces(texts_[i], rows, name, *rule[name])
+    assert set(got) == {(i, n) for i, t in texts_.items() for n, m, _ in LIMITS if t and len(engine(n).encode(t)) > m}
+    rule = {n: (m, o) for n, m, o in LIMITS}
+    for (i, name), v in got.items():
+        check_pieces(texts_[i], v, name, *rule[name])
+
+
+def test_very_long_texts_are_cut_alike_by_all_ranges(spark):
+    line = "00:01:02,760 --> 00:01:04,298\r\nHe said: well, it is 5.50 a piece! And then…  \n\n \t\nГде 12ключей№7?Никто;не знает."
+    plain = "".join(f"{i}\n{line[i % 50 :]}" for i in range(12_000))
+    gaps = "".join("x" * (i % 7) + "слово" * 1_200 + "ab" * 20 + (" " if i % 3 else "\u00a0\n") for i in range(180))
+    docs = spark.createDataFrame([(1, plain), (2, gaps), (1, plain), (None, gaps)], "doc_id long, text string")
+    limits = spark.createDataFrame([("byte_bpe_50k", 100, 10), ("piece_bpe_32k", 100, 10)], LIMIT_COLUMNS)
+    assert len(plain) > 1_000_000 and len(gaps) > 1_000_000
+    seen = [pieces_by_text(splitting.split_oversized(docs, limits, range_bytes=n)) for n in (20_000, 300_000, 8_000_000)]
+    one, two, three = (sorted(str(r) for v in s.values() for r in v) for s in seen)
+    assert one == two == three
+    for (i, name), v in seen[0].items():
+        if i == 2:
+            check_pieces(gaps, v, name, 100, 10)
+        if i == 1:
+            check_pieces(plain, v[::2] if [r.piece_no for r in v[:2]] == [1, 1] else v[: len(v) // 2], name, 100, 10)
+    assert {k[0] for k in seen[0]} == {1, 2, None}
 
 
 def test_pieces_of_odd_texts(spark):
-    rows = [(1, None), (2, ""), (3, "x" * 5000), (3, "x" * 5000), (4, "\U0001f600" * 300), (5, "слово " * 400), (6, "слово" * 500)]
-    limits = spark.createDataFrame([("byte_bpe_50k", 100, 10), ("piece_bpe_32k", 64, 5), (None, 5, 1), ("word_bpe_49k", None, 1)], "tokenizer string, max_tokens int, overlap_tokens int")
-    for chars, halo in ((1_000_000, 20_000), (600, 100)):
-        got = {}
-        for r in splitting.split_oversized(spark.createDataFrame(rows, "doc_id long, text string"), limits, range_chars=chars, halo=halo).collect():
-            got.setdefault((r.doc_id, r.tokenizer), []).append(r)
+    rows = [(1, None), (2, ""), (3, "x" * 5000), (3, "x" * 5000), (4, "\U0001f600" * 300), (5, "слово " * 400), (6, "слово" * 500), (7, " " * 900), (8, "\n" * 900 + "a1" * 300)]
+    limits = spark.createDataFrame([("byte_bpe_50k", 100, 10), ("piece_bpe_32k", 64, 5), (None, 5, 1), ("word_bpe_49k", None, 1)], LIMIT_COLUMNS)
+    seen = []
+    for span in (1_000_000, 600, 100):
+        got = pieces_by_text(splitting.split_oversized(spark.createDataFrame(rows, "doc_id long, text string"), limits, range_bytes=span))
         assert {k[0] for k in got} >= {3, 4, 5, 6}
         assert all(x.piece_text for v in got.values() for x in v)
         for (i, name), v in got.items():
             if i != 3:
                 check_pieces(dict(rows)[i], v, name, *{"byte_bpe_50k": (100, 10), "piece_bpe_32k": (64, 5)}[name])
         assert len(got[(3, "byte_bpe_50k")]) == 2 * len({r.piece_no for r in got[(3, "byte_bpe_50k")]})
+        seen.append(sorted(str(r) for v in got.values() for r in v))
+    assert seen[0] == seen[1] == seen[2]
+    with pytest.raises(ValueError):
+        splitting.split_oversized(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("byte_bpe_50k", 10, 10)], LIMIT_COLUMNS))
+
+
+def cut(text, name, limit, overlap):
+    """(first character, character behind the last) of the pieces of a text."""
+    eng = engine(name)
+    [(_, _, _, ends, kinds)] = splitting._tables([text], [""], [True], {name: eng})
+    return [(c0, c1) for _, _, c0, c1 in splitting.Cutter(limit, overlap).feed(ends, kinds, len(text))]
 
 
 def test_boundaries_are_natural_where_possible():
     text = "\n\n".join(f"{i}\nA line of words here. And another one, longer." for i in range(60))
-    eng = engine("byte_bpe_50k")
-    flat, _ = UNITS.number([coarse_cut(text)])
-    ends = eng.table().token_ends(flat)
-    near = splitting.nearest_pieces(text, ends, 100, 10)
-    assert all(text[c1 - 2 : c1] == "\n\n" for _, _, _, c1 in near[:-1])
-    tables = [tuple(c.tolist() for c in t) for t in splitting.boundary_table(text, ends, 10)]
-    assert splitting.choose_pieces(tables, len(ends), len(text), 100, 10) == near
-    with pytest.raises(ValueError):
-        splitting.nearest_pieces(text, ends, 10, 10)
+    near = cut(text, "byte_bpe_50k", 100, 10)
+    assert len(near) > 5 and all(text[c1 - 2 : c1] == "\n\n" for _, c1 in near[:-1])
+    classes = splitting.boundary_classes('a. b!" c\nd \n\t\n e?F,g 1.5')
+    want = {2: "SENTENCE", 6: "SENTENCE", 8: "LINE", 9: "LINE", 10: "EMPTY_LINE", 12: "LINE", 14: "EMPTY_LINE", 17: "GLUED_SENTENCE", 19: "GLUED_CLAUSE", 20: "WORD"}
+    assert {i: c for i, c in enumerate(classes.tolist()) if c != splitting.TOKEN} == {i: getattr(splitting, v) for i, v in want.items()}
 
 
 def test_words_are_cut_only_where_no_boundary_is():
-    eng = engine("byte_bpe_50k")
     glued = "".join(f"Этадверьнепришёлнаэтаже{i}?Никтоещёищетключи,наверное,взаперти!Стоит3.50рубля." for i in range(60))
-    early = "Two words. " + "неразрывно" * 12 + "\n" + "ъэщцй" * 400
     for text, ok in ((glued, lambda p: p[-1] in ".!?"), ("".join(f"слово{i},дело;" for i in range(300)), lambda p: p[-1] in ",;")):
-        flat, _ = UNITS.number([coarse_cut(text)])
-        ends = eng.table().token_ends(flat)
-        near = splitting.nearest_pieces(text, ends, 150, 10)
-        tables = [tuple(c.tolist() for c in t) for t in splitting.boundary_table(text, ends, 10)]
-        assert splitting.choose_pieces(tables, len(ends), len(text), 150, 10) == near
-        assert len(near) > 5 and all(ok(text[c0:c1]) and not text[c1].isdigit() for _, _, c0, c1 in near[:-1])
-    flat, _ = UNITS.number([coarse_cut(early)])
-    ends = eng.table().token_ends(flat)
-    limit = int(2.5 * int(((ends >= 0) & (ends <= early.index("\n"))).sum()))
-    near = splitting.nearest_pieces(early, ends, limit, 2)
-    tables = [tuple(c.tolist() for c in t) for t in splitting.boundary_table(early, ends, 2)]
-    assert near[0][3] in (early.index("\n"), early.index("\n") + 1) and splitting.choose_pieces(tables, len(ends), len(early), limit, 2)[0] == near[0]
+        near = cut(text, "byte_bpe_50k", 150, 10)
+        assert len(near) > 5 and all(ok(text[c0:c1]) and not text[c1].isdigit() for c0, c1 in near[:-1])
+    early = "Two words. " + "неразрывно" * 12 + "\n" + "ъэщцй" * 400
+    limit = int(2.5 * len(engine("byte_bpe_50k").encode(early[: early.index("\n")])))
+    assert cut(early, "byte_bpe_50k", limit, 2)[0][1] in (early.index("\n"), early.index("\n") + 1)
 
 
 def test_special_is_only_for_unusual_numerals():
