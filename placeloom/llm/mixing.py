@@ -1,15 +1,17 @@
 """Mixing sources to target shares of tokens.
 
 Rates of documents come from entropy balancing: among all rates that meet the token target
-of each source and keep its mean document length, those closest (in relative entropy) to
-taking every document once. The dual is convex with two multipliers a source; Newton's
-method needs five sums a source and step, which the executors add up. Rates are then
-rounded to copies, the largest documents first, with the error carried on to smaller ones.
+of each source, those closest (in relative entropy) to taking every document once. They are
+tilted exponentially, rate = exp(tilt * tokens), up to the cap. The dual is convex with one
+multiplier a source; Newton's method needs two sums a source and step, which the executors
+add up over counts of documents by size. Rates are then rounded to copies, the largest
+documents first, with the error carried on to smaller ones.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,37 +64,40 @@ def token_goals(available: dict[str, int], targets: dict[str, tuple[float, int]]
     return goals
 
 
-def solve_rates(sizes: DataFrame, goals: dict[str, float], stats: dict[str, tuple[int, int]], caps: dict[str, int], steps: int = 40) -> dict[str, tuple[float, float]]:
-    """(a, b) of each source so that rate = min(cap, exp(a + b * tokens / mean)) meets its goal.
+def solve_rates(sizes: DataFrame, goals: dict[str, float], stats: dict[str, tuple[int, int]], caps: dict[str, int], steps: int = 60) -> dict[str, float]:
+    """The tilt b of each source so that rate = min(cap, exp(b * tokens / mean)) gives its goal of tokens.
 
-    ``sizes`` has doc_source and n_tokens; ``stats`` the number of documents and of tokens by source.
+    ``sizes`` has doc_source, n_tokens and their count ``n``; ``stats`` the number of documents and of
+    tokens by source. The tilt is infinite where all documents must be taken as often as allowed. Newton
+    steps on the logarithm of the tokens, halved into the bracket found so far where they leave it; a
+    source that has not met its goal after ``steps`` of them is an error.
     """
     spark = sizes.sparkSession
     mean = {s: stats[s][1] / stats[s][0] for s in goals}
-    want = {s: np.array([goals[s] / mean[s], goals[s] / mean[s]]) for s in goals}  # documents, and tokens in means
-    at = {s: np.zeros(2) for s in goals}
-    open_ = {s for s in goals if goals[s] < caps[s] * stats[s][1] * (1 - 1e-9)}
-    for s in set(goals) - open_:
-        at[s] = np.array([np.log(caps[s]), 0.0])  # all documents as often as allowed
+    out = {s: float("inf") for s in goals if goals[s] >= caps[s] * stats[s][1] * (1 - 1e-9)}
+    at = {s: 0.0 for s in goals if s not in out}
+    low, high = dict.fromkeys(at, -float("inf")), dict.fromkeys(at, float("inf"))
     for _ in range(steps):
-        if not open_:
-            break
-        table = spark.createDataFrame([(s, float(at[s][0]), float(at[s][1]), mean[s], float(caps[s])) for s in sorted(open_)], "doc_source string, a double, b double, mean double, cap double")
+        if not at:
+            return out
+        table = spark.createDataFrame([(s, b, mean[s], float(caps[s])) for s, b in sorted(at.items())], "doc_source string, b double, mean double, cap double")
         z = F.col("n_tokens") / F.col("mean")
-        e = F.exp(F.least(F.lit(50.0), F.col("a") + F.col("b") * z))
-        free = F.when(e < F.col("cap"), e).otherwise(F.lit(0.0))
-        r = F.least(e, F.col("cap"))
-        sums = sizes.join(F.broadcast(table), "doc_source").groupBy("doc_source").agg(F.sum(r).alias("r0"), F.sum(r * z).alias("r1"), F.sum(free).alias("h0"), F.sum(free * z).alias("h1"), F.sum(free * z * z).alias("h2")).collect()
-        for x in sums:
-            s = x.doc_source
-            gap = np.array([x.r0, x.r1]) - want[s]
-            if np.abs(gap).max() <= 1e-7 * max(1.0, want[s].max()):
-                open_.discard(s)
+        e = F.exp(F.least(F.lit(50.0), F.col("b") * z))
+        taken = F.sum(F.col("n") * F.least(e, F.col("cap")) * z).alias("taken")
+        slope = F.sum(F.col("n") * F.when(e < F.col("cap"), e).otherwise(F.lit(0.0)) * z * z).alias("slope")
+        for x in sizes.join(F.broadcast(table), "doc_source").groupBy("doc_source").agg(taken, slope).collect():
+            s, b = x.doc_source, at[x.doc_source]
+            want = goals[s] / mean[s]
+            if abs(x.taken - want) <= 1e-9 * want:
+                out[s] = at.pop(s)
                 continue
-            hess = np.array([[x.h0, x.h1], [x.h1, x.h2]]) + 1e-9 * np.eye(2) * max(1.0, x.h0)
-            step = np.linalg.solve(hess, gap)
-            at[s] = at[s] - step * min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
-    return {s: (float(v[0]), float(v[1])) for s, v in at.items()}
+            (low if x.taken < want else high)[s] = b
+            step = math.log(x.taken / want) * x.taken / x.slope if x.taken > 0 and x.slope > 0 else math.copysign(1.0, x.taken - want)
+            new = b - step
+            if not low[s] < new < high[s]:
+                new = (low[s] + high[s]) / 2 if math.isfinite(low[s]) and math.isfinite(high[s]) else b - math.copysign(min(abs(step), 1 + abs(b)), step)
+            at[s] = new
+    raise RuntimeError(f"no rates after {steps} steps for {sorted(at)}")
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str | None = None, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -106,10 +111,11 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_
     sized = cut_lineage(count_tokens(docs, id_col, text_col, tokenizer, folder, keep=(source_col,)).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("doc_source"), "n_tokens"))
     rules = read_targets(targets)
     used = sized.filter((F.col("n_tokens") > 0) & F.col("doc_source").isin(list(rules)))
-    stats = {r.doc_source: (r.n, r.t) for r in used.groupBy("doc_source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    counted = cut_lineage(used.groupBy("doc_source", "n_tokens").agg(F.count("*").alias("n")))
+    stats = {r.doc_source: (r.n, r.t) for r in counted.groupBy("doc_source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect()}
     goals = token_goals({s: t for s, (_, t) in stats.items()}, rules, total)
     caps = {s: c for s, (_, c) in rules.items()}
-    rates = solve_rates(used, goals, stats, caps)
+    rates = solve_rates(counted, goals, stats, caps)
     mean = {s: stats[s][1] / stats[s][0] for s in goals}
 
     def run(batches):
@@ -120,8 +126,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_
                 if s not in rates or not n:
                     copies.append(0)
                     continue
-                a, w = rates[s]
-                r = min(float(caps[s]), float(np.exp(min(50.0, a + w * n / mean[s]))))
+                r = min(float(caps[s]), math.exp(min(50.0, rates[s] * n / mean[s])))
                 k = int(r + 1e-9)
                 left = carry.get((s, bucket), 0.0) + (r - k) * n
                 if left >= n / 2 and k < caps[s]:

@@ -89,6 +89,11 @@ def test_mix_meets_targets_and_caps(spark, clash):
     shares = mixing.mix_shares(mix, targets).collect()
     assert abs(sum(r.share for r in shares) - 1) < 1e-9
     assert all(abs(r.share - r.weight) < 0.01 for r in shares), shares
+    # the largest mix of these shares: some source gives all it may, and the others their part of it
+    most = {r.doc_source: r.available_tokens * r.max_repeats / r.weight for r in shares}
+    full = min(most, key=most.get)
+    assert all(r.copies == caps[full] for r in rows if r.doc_source == full and r.n_tokens)
+    assert all(abs(r.mixed_tokens - most[full] * r.weight) < 0.01 * most[full] for r in shares)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs, targets).collect()))
 
 
@@ -103,6 +108,25 @@ def test_mix_of_a_given_size_caps_small_sources(spark):
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0
 
 
+def test_rates_are_tilted_by_size_and_fail_openly(spark):
+    sizes = {"s": [1, 2, 3, 40], "t": [5] * 9 + [100], "full": [7, 8]}
+    rows = [(k, n, 1) for k, v in sizes.items() for n in v]
+    table = spark.createDataFrame(rows, "doc_source string, n_tokens long, n long").groupBy("doc_source", "n_tokens").agg(F.sum("n").alias("n"))
+    stats = {k: (len(v), sum(v)) for k, v in sizes.items()}
+    caps = {"s": 4, "t": 3, "full": 2}
+    for goals in ({"s": 90.0, "t": 20.0, "full": 30.0}, {"s": 0.01, "t": 430.0, "full": 15.0}):
+        rates = mixing.solve_rates(table, goals, stats, caps)
+        for k, v in sizes.items():
+            mean = sum(v) / len(v)
+            each = [min(caps[k], 2.718281828459045 ** min(50, rates[k] * n / mean)) for n in v]
+            assert abs(sum(r * n for r, n in zip(each, v)) - goals[k]) < 1e-6 * goals[k], (k, rates)
+            assert rates[k] != 0 or goals[k] == sum(v)
+        assert goals["s"] < 46 or rates["s"] > 0
+        assert rates["full"] == (float("inf") if goals["full"] == 30 else rates["full"])
+    with pytest.raises(RuntimeError):
+        mixing.solve_rates(table, {"s": 90.0}, stats, caps, steps=1)
+
+
 def test_small_sources_meet_their_weight_on_many_partitions(spark):
     docs = spark.createDataFrame([(i, "a b c d", "s") for i in range(10)] + [(i, "a b c d", "t") for i in range(10, 210)], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("s", 0.04, 3), ("t", 0.96, 3)], "doc_source string, weight double, max_repeats int")
