@@ -26,6 +26,8 @@ from placeloom.session import shuffle_width
 
 #: Bytes of a range, about; a text of more is spread over the workers range by range.
 RANGE_BYTES = 65_536
+#: Characters whose tables are made at a time by a worker.
+SLICE_CHARS = 2_000_000
 #: Rows that a table of limits may have; it goes to the driver.
 MAX_LIMITS = 1_000
 #: Tokens that one character may have, at most; so many are looked at beyond the limit.
@@ -177,24 +179,21 @@ _PIECE_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.
 _PIECE_NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
 
-def _tables(texts: list[str], halos: list[str], first: list[bool], engines: dict) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(which texts, engine, token offsets, token ends, classes of the ends) of ranges; ends count from the range's start."""
+def _tables(texts: list[str], halos: list[str], first: list[bool], engines: dict) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(which texts, engine, token offsets, token ends, classes of the ends, starts of the texts) of ranges.
+
+    Ends count from the start of the first text, each having its halo and a sign behind it.
+    """
     names = {id(e): n for n, e in engines.items()}
     for which, own, flat, sizes in numbered(texts, list(engines.values()), first):
-        joined = "\0".join(texts[i] + halos[i] for i in which)
-        classes = boundary_classes(joined)
-        lengths = np.array([len(texts[i]) for i in which], dtype=np.int64)
-        base = np.concatenate(([0], np.cumsum([len(texts[i]) + len(halos[i]) + 1 for i in which])))[:-1]
-        before = np.cumsum(lengths) - lengths
+        classes = boundary_classes("\0".join(texts[i] + halos[i] for i in which))
+        behind = np.array([len(halos[i]) + 1 for i in which], dtype=np.int64)
+        starts = np.cumsum([0, *(len(texts[i]) for i in which)])[:-1] + np.cumsum(behind) - behind
+        shift = np.repeat(np.cumsum(behind) - behind, sizes)
         for e in own:
             table = e.table()
-            offsets = token_offsets(table, flat, sizes)
-            ends = table.token_ends(flat)
-            done = np.where(ends >= 0, ends, -1 - ends)
-            text_of = np.repeat(np.arange(len(which)), np.diff(offsets))
-            done -= before[text_of]
-            kinds = classes[done + base[text_of]]
-            yield which, names[id(e)], offsets, np.where(ends >= 0, done, -1 - done), kinds
+            ends = table.token_ends(flat, shift)
+            yield which, names[id(e)], token_offsets(table, flat, sizes), ends, classes[np.abs(ends)], starts
 
 
 def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -226,10 +225,10 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
         engines = {n: engine(n, folder) for n in names}
         for b in batches:
             texts = b.column(1).to_pylist()
-            for x, y in text_slices(texts):
+            for x, y in text_slices(texts, SLICE_CHARS):
                 part = texts[x:y]
                 found, rows = [], [[] for _ in _PIECE_TYPES]
-                for which, name, offsets, ends, kinds in _tables(part, [""] * len(part), [True] * len(part), engines):
+                for which, name, offsets, ends, kinds, starts in _tables(part, [""] * len(part), [True] * len(part), engines):
                     for own, limit, overlap in rules:
                         if own != name:
                             continue
@@ -237,14 +236,14 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
                         marks, odds = np.where(barred, NONE, kinds).tobytes(), odd.tobytes()
                         for j in np.flatnonzero(np.diff(offsets) > limit).tolist():
                             a, z, i = int(offsets[j]), int(offsets[j + 1]), which[j]
-                            text, start, no = part[i], a, 0
+                            text, base, start, no = part[i], int(starts[j]), a, 0
                             while True:
                                 last = z - start <= limit
                                 cut, following = (z, z) if last else next_cut(marks, odds, start, start + limit, limit, overlap)
                                 cut, following = min(cut, z), min(following, z)
                                 no += 1
-                                c0 = int(ends[start - 1]) if start > a else 0
-                                c1 = len(text) if cut == z else int(ends[cut - 1])
+                                c0 = int(ends[start - 1]) - base if start > a else 0
+                                c1 = len(text) if cut == z else int(ends[cut - 1]) - base
                                 found.append(x + i)
                                 for col, v in zip(rows, (name, no, cut - start, c0, c1, text[c0:c1])):
                                     col.append(v)
@@ -279,11 +278,12 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id",
             both = [(s[:n].decode(), s[n:].decode()) for s, n in raw]
             texts, halos = [t for t, _ in both], [h for _, h in both]
             steps, kinds = ([[b""] * len(names) for _ in texts] for _ in range(2))
-            for x, y in text_slices(texts):
-                for which, name, offsets, ends, classes in _tables(texts[x:y], halos[x:y], [k == 0 for k in b.column("k").to_pylist()[x:y]], engines):
+            for x, y in text_slices(texts, SLICE_CHARS):
+                for which, name, offsets, ends, classes, starts in _tables(texts[x:y], halos[x:y], [k == 0 for k in b.column("k").to_pylist()[x:y]], engines):
                     e = names.index(name)
                     for j, i in enumerate(which):
                         own = ends[offsets[j] : offsets[j + 1]]
+                        own = np.where(own >= 0, own - starts[j], own + starts[j])
                         steps[x + i][e] = pack_ends(own)
                         kinds[x + i][e] = classes[offsets[j] : offsets[j + 1]].tobytes()
             binaries = pa.list_(pa.binary())

@@ -55,7 +55,7 @@ class Units:
         self.code.update(zip(fresh, range(len(self.text), len(self.text) + len(fresh))))
         self.text += fresh
         sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        return np.fromiter(map(self.code.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum())), sizes
+        return np.fromiter(map(self.code.__getitem__, chain.from_iterable(cut)), dtype=np.int32, count=int(sizes.sum())), sizes
 
 
 UNITS = Units()
@@ -88,7 +88,7 @@ class UnitTable:
         if self.age != UNITS.age:
             self.age, self.done, self.used = UNITS.age, 0, 0
             self.ids, self.ends = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
-            self.start, self.count, self.chars = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+            self.start, self.count, self.chars = (np.zeros(1 << 14, dtype=np.int32) for _ in range(3))
         fresh = UNITS.text[self.done :]
         if fresh:
             self.start, self.count, self.chars = (self._room(x, self.done + len(fresh)) for x in (self.start, self.count, self.chars))
@@ -105,38 +105,65 @@ class UnitTable:
     def gather(self, flat: np.ndarray) -> np.ndarray:
         """Positions in the flat arrays of all tokens of the numbered units."""
         n = self.count[flat]
-        first = np.repeat(self.start[flat] - (np.cumsum(n) - n), n)
-        return first + np.arange(len(first), dtype=np.int64)
+        first = np.repeat(self.start[flat] - (np.cumsum(n, dtype=np.int32) - n), n)
+        first += np.arange(len(first), dtype=np.int32)
+        return first
 
-    def token_ends(self, flat: np.ndarray) -> np.ndarray:
-        """The character after each token of a text, -1 - that within a character."""
-        before = np.repeat(np.cumsum(self.chars[flat]) - self.chars[flat], self.count[flat])
-        rel = self.ends[self.gather(flat)].astype(np.int64)
-        return np.where(rel >= 0, rel + before, rel - before)
+    def token_ends(self, flat: np.ndarray, shift: np.ndarray | None = None) -> np.ndarray:
+        """The character after each token of the texts one after another, -1 - that within a character.
+
+        ``shift`` is added to the characters of each unit.
+        """
+        before = np.cumsum(self.chars[flat], dtype=np.int64) - self.chars[flat]
+        if shift is not None:
+            before += shift
+        before = np.repeat(before, self.count[flat])
+        rel = self.ends[self.gather(flat)]
+        odd = rel < 0
+        if odd.any():
+            np.negative(before, out=before, where=odd)
+        before += rel
+        return before
+
+
+#: What makes a text special to an engine.
+ODD_NUMERAL, ODD_SPACE = 1, 2
 
 
 @lru_cache(maxsize=1)
-def _odd_numeral_search():
+def _oddities() -> np.ndarray:
+    """Of each code point whether it is a numeral but no ASCII digit, and white space but no space or line feed, or ▁."""
     import regex
 
-    return regex.compile(r"(?![0-9])\p{N}").search
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for bit, pattern in ((ODD_NUMERAL, r"(?![0-9])\p{N}"), (ODD_SPACE, r"[^\S \n]|▁")):
+        out[[ord(c) for c in (regex if bit == ODD_NUMERAL else re).findall(pattern, every)]] |= bit
+    return out
 
 
-def odd_numeral(text: str) -> bool:
-    """Whether a text has a numeral that is no ASCII digit. The answer for the last text is kept, as engines ask in turn."""
-    if odd_numeral.last[0] is not text:
-        odd_numeral.last = text, _odd_numeral_search()(text) is not None
-    return odd_numeral.last[1]
+def oddities(texts: list[str]) -> list[int]:
+    """The oddities in each text, all texts at once."""
+    if all(map(str.isascii, texts)):
+        return [ODD_SPACE * bool(_ODD_ASCII(t)) for t in texts]
+    flags = _oddities()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    at = np.flatnonzero(flags)
+    out = np.zeros(len(texts), dtype=np.uint8)
+    np.bitwise_or.at(out, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))).searchsorted(at, "right"), flags[at])
+    return out.tolist()
 
 
-odd_numeral.last = None, False
+_ODD_ASCII = re.compile(r"[^\S \n]").search
 
 
 class Engine:
-    """Encodes units. A text that is ``special`` to an engine is cut by the engine itself."""
+    """Encodes units. A text that is ``special`` to an engine, for an oddity in it, is cut by the engine itself."""
+
+    #: Oddities at which the coarse cut would part what the engine keeps together.
+    odd = 0
 
     def special(self, text: str) -> bool:
-        return False
+        return bool(self.odd and text and oddities([text])[0] & self.odd)
 
     def cut(self, text: str) -> list[str]:
         return coarse_cut(text)
@@ -166,13 +193,15 @@ def numbered(texts: list[str], engines: list["Engine"], first: list[bool] | None
             units[0] = units[0][1:]
         return units
 
-    plain, other = [], []
-    for i, t in enumerate(texts):
-        (other if any(e.special(t) for e in engines) else plain).append(i)
+    bits, mask = oddities(texts), 0
+    for e in engines:
+        mask |= e.odd
+    plain = [i for i, b in enumerate(bits) if not b & mask]
+    other = [i for i, b in enumerate(bits) if b & mask]
     if plain:
         yield (plain, engines, *UNITS.number([inner(coarse_cut(texts[i]), i) for i in plain]))
     for e in engines if other else ():
-        yield (other, [e], *UNITS.number([inner(e.cut(texts[i]) if e.special(texts[i]) else coarse_cut(texts[i]), i) for i in other]))
+        yield (other, [e], *UNITS.number([inner(e.cut(texts[i]) if bits[i] & e.odd else coarse_cut(texts[i]), i) for i in other]))
 
 
 class ByteBpe(Engine):
@@ -182,6 +211,8 @@ class ByteBpe(Engine):
     The others are merged: bytes in a linked list, adjacent pairs in a heap by rank.
     """
 
+    odd = ODD_NUMERAL  # joins a run of digits
+
     def __init__(self, path: str, pattern: str = BYTE_PATTERN):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
@@ -198,10 +229,6 @@ class ByteBpe(Engine):
             self._known: dict[str, tuple[list[int], list[int]]] = {}
         return self._native
 
-    def special(self, text: str) -> bool:
-        """Numerals other than ASCII digits join a run of digits, where the coarse cut would part them."""
-        return not text.isascii() and odd_numeral(text)
-
     def cut(self, text: str) -> list[str]:
         return self._compiled()(text)
 
@@ -307,6 +334,8 @@ class PieceBpe(Engine):
     so ` word` and short runs of digits are units; ▁ stands for a space.
     """
 
+    odd = ODD_SPACE  # may join what stands before it; ▁ is a space to the model
+
     def __init__(self, path: str):
         self.path = path
 
@@ -320,12 +349,6 @@ class PieceBpe(Engine):
 
     _cut = staticmethod(re.compile(r"\n|[ ▁]*[^ ▁\n0-9]+|[ ▁]*[0-9]+|[ ▁]+").findall)
 
-    _odd = staticmethod(re.compile(r"[^\S \n]|▁").search)
-
-    def special(self, text: str) -> bool:
-        """White space but space and line feed may join what stands before it; ▁ is a space to the model."""
-        return self._odd(text) is not None
-
     def cut(self, text: str) -> list[str]:
         units = self._cut(text)
         if units:

@@ -231,7 +231,7 @@ def test_pieces_of_odd_texts(spark):
 def cut(text, name, limit, overlap):
     """(first character, character behind the last) of the pieces of a text."""
     eng = engine(name)
-    [(_, _, _, ends, kinds)] = splitting._tables([text], [""], [True], {name: eng})
+    [(_, _, _, ends, kinds, _)] = splitting._tables([text], [""], [True], {name: eng})
     return [(c0, c1) for _, _, c0, c1 in splitting.Cutter(limit, overlap).feed(ends, kinds, len(text))]
 
 
