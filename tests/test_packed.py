@@ -86,8 +86,21 @@ def test_values_learned_from_quotes_are_kept_whole_without_them(spark):
     assert got(spark.createDataFrame(rows, SCHEMA))[(99, "categories")] == ["кафе", "бар, паб"]
 
 
+def test_a_value_learned_whole_may_have_any_number_of_pieces(spark):
+    for known in (299, 5):
+        rows = [(i, '"a, b, c, d, e, f"', None) for i in range(known)] + [(900, "a, b, c, d, e, f", None), (901, "x; y; a; b", None), (902, "g, h; i", None)]
+        out = got(spark.createDataFrame(rows, SCHEMA))
+        assert out[(900, "categories")] == ["a, b, c, d, e, f"]
+        assert out[(901, "categories")] == ["x", "y", "a", "b"] and out[(902, "categories")] == ["g", "h", "i"]
+    often = [(i, "кафе, бар", None) for i in range(40)] + [(50, '"кафе, бар"', None)]
+    assert got(spark.createDataFrame(often, SCHEMA))[(7, "categories")] == ["кафе", "бар"]
+
+
 def test_empty_table_repeats_and_long_cells(spark):
     assert packed.split_values(spark.createDataFrame([], SCHEMA), "final_id", ("phone",)).count() == 0
     many = ",".join(f"слово{i}" for i in range(2000))
     df = spark.createDataFrame([(1, many, None), (1, "a;b", None), (1, "a;b", None)], SCHEMA)
     assert packed.split_values(df, "final_id", ("categories",)).count() == 2004
+    long_ = ", ".join(f"часть{i}" for i in range(300))
+    df = spark.createDataFrame([(i, f'"{long_}"', None) for i in range(9)] + [(20, f"x; {long_}", None)], SCHEMA)
+    assert got(df, ("categories",))[(20, "categories")] == ["x", long_]
