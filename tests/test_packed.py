@@ -101,6 +101,6 @@ def test_empty_table_repeats_and_long_cells(spark):
     many = ",".join(f"слово{i}" for i in range(2000))
     df = spark.createDataFrame([(1, many, None), (1, "a;b", None), (1, "a;b", None)], SCHEMA)
     assert packed.split_values(df, "final_id", ("categories",)).count() == 2004
-    long_ = ", ".join(f"часть{i}" for i in range(300))
+    long_ = ", ".join(f"часть{chr(1072 + i // 20)}{chr(1072 + i % 20)}" for i in range(300))
     df = spark.createDataFrame([(i, f'"{long_}"', None) for i in range(9)] + [(20, f"x; {long_}", None)], SCHEMA)
     assert got(df, ("categories",))[(20, "categories")] == ["x", long_]
