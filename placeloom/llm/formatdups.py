@@ -2,9 +2,9 @@
 
 Canonical content is one byte string per row. Rows are radix-partitioned on those
 bytes: a bucket that holds too many rows is split by its next bytes, again and again,
-until every bucket fits or holds one content only. Buckets are then read in byte
-order by a trie of which only the rightmost spine is live, so counting needs memory
-for one path, whatever the size of a group.
+until every bucket fits or holds one content only. The rows of a bucket are then counted
+in a trie of the bytes behind the bucket's own, whose terminals hold the first id of a
+content and its number of copies.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from placeloom.session import cut_lineage, shuffle_width
 
 #: Rows of a bucket that one task sorts and counts.
 BUCKET_ROWS = 100_000
+#: Bytes of a trie's edge.
+EDGE = 8
 #: Bytes by which an oversized bucket is split at a time, after what all its rows share.
 STRIDE = 3
 
@@ -90,11 +92,11 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 class RadixPlan:
     """The splits found: ``inner`` has, for the prefix of a bucket that was split, the length of its
-    children's prefixes; ``uniform``, for a large content, the smallest id of its rows."""
+    children's prefixes; ``uniform``, for a large content, the smallest id of its rows and how many they are."""
 
     def __init__(self, stride: int = STRIDE) -> None:
         self.inner: dict[bytes, int] = {b"": stride}
-        self.uniform: dict[bytes, int] = {}
+        self.uniform: dict[bytes, tuple[int, int]] = {}
 
     def bucket(self, key: bytes) -> bytes:
         """The prefix of the leaf that holds ``key``; a key that ends at an inner prefix is a leaf itself."""
@@ -147,73 +149,106 @@ def radix_plan(keys: DataFrame, capacity: int = BUCKET_ROWS, stride: int = STRID
         for r in found:
             lo, hi = bytes(r["lo"]), bytes(r["hi"])
             if lo == hi:
-                plan.uniform[lo] = r["first"]
+                plan.uniform[lo] = (r["first"], r["n"])
             else:
                 plan.inner[bytes(r["bucket"])] = common_prefix(lo, hi) + stride
                 level.add(bytes(r["bucket"]))
     return plan
 
 
-class SpineTrie:
-    """A trie fed in byte order: only the path to the last key is live.
+class BucketTrie:
+    """A trie of byte strings whose terminals count copies and keep the smallest row id.
 
-    A node holds the bytes to its depth; the last one is terminal and counts copies.
+    A node is a dict from the next ``EDGE`` bytes to a node; what is left of a key leads to its terminal.
     """
 
     def __init__(self) -> None:
-        self.path: list[tuple[int, bytes]] = []
-        self.last: bytes | None = None
-        self.first_id = 0
-        self.copies = 0
-
-    def add(self, key: bytes, row_id: int) -> int:
-        """Count one row; returns the first id of its content."""
-        if key == self.last:
-            self.copies += 1
-            return self.first_id
-        shared = common_prefix(key, self.last) if self.last is not None else 0
-        while self.path and self.path[-1][0] > shared:
-            self.path.pop()
-        self.path.append((len(key), key[shared:]))
-        self.last, self.first_id, self.copies = key, row_id, 1
-        return row_id
-
-
-def format_duplicates(df: DataFrame, id_col: str = "raw_id", title: str = "title", address: str = "address", phone: str = "phone", capacity: int = BUCKET_ROWS) -> DataFrame:
-    """(first_id, row_id): each row but the first of its content, with the first (smallest id).
-
-    Two rows have the same content when title, address and phone agree in canonical form.
-    Blank equals blank, so rows blank in all three are copies of one another. Rows without
-    an id are left out; a repeated row (same id and content) is given as often as the table has it. Other columns are not read. A content with more rows than ``capacity`` is
-    found by the radix splits with its first id, so its rows need no shuffle and stay spread.
-    """
+        self.root: dict = {}
+        self.terminals: list[list[int]] = []
+
+    def add(self, key: bytes, at: int, row_id: int) -> list[int]:
+        """Count a row whose key is read from byte ``at`` on; returns its terminal, [first id, copies]."""
+        node, n = self.root, len(key)
+        while n - at > EDGE:
+            step = key[at : at + EDGE]
+            child = node.get(step)
+            if child is None:
+                child = node[step] = {}
+            node, at = child, at + EDGE
+        last = (key[at:],)  # a tuple, so that it is no edge to a node
+        end = node.get(last)
+        if end is None:
+            end = node[last] = [row_id, 0]
+            self.terminals.append(end)
+        elif row_id < end[0]:
+            end[0] = row_id
+        end[1] += 1
+        return end
+
+
+def _counted(df: DataFrame, id_col: str, title: str, address: str, phone: str, capacity: int) -> tuple[RadixPlan, DataFrame, DataFrame]:
+    """The plan; (first_id, row_id) of the rows of large contents; (id, key, bucket) of the others, bucket by bucket."""
     keys = cut_lineage(canonical_rows(df, id_col, title, address, phone))
     plan = radix_plan(keys, capacity)
 
     def assign(batches):
-        inner, uniform = plan.inner, plan.uniform
+        uniform = plan.uniform
         for b in batches:
             ids, ks = b.column(0), b.column(1).to_pylist()
-            firsts = [uniform.get(k) for k in ks]
+            firsts = [uniform[k][0] if k in uniform else None for k in ks]
             buckets = [plan.bucket(k) if f is None else None for k, f in zip(ks, firsts)]
             yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(firsts, pa.int64()), pa.array(buckets, pa.binary())], names=["id", "key", "hot", "bucket"])
 
     tagged = keys.mapInArrow(assign, "id bigint, key binary, hot bigint, bucket binary")
     hot = tagged.filter("hot is not null").select(F.col("hot").alias("first_id"), F.col("id").alias("row_id"))
+    cold = tagged.filter("hot is null").select("id", "key", "bucket").repartition(shuffle_width(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return plan, hot, cold
 
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        trie = SpineTrie()
-        for b in batches:
-            ids, ks = b.column(0).to_pylist(), b.column(1).to_pylist()
-            firsts = [trie.add(k, i) for k, i in zip(ks, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), b.column(0)], names=["first_id", "row_id"])
-
-    cold = (
-        tagged.filter("hot is null")
-        .select("id", "key", "bucket")
-        .repartition(shuffle_width(df.sparkSession), "bucket")
-        .sortWithinPartitions("key", "id")
-        .select("id", "key")
-        .mapInArrow(count, "first_id bigint, row_id bigint")
-    )
-    return hot.unionByName(cold).filter("first_id < row_id")
+
+def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[int]], list[int], list[list[int]]]]:
+    """(terminals, row ids, terminal of each row) of the buckets one after another; a bucket's rows fit in memory."""
+    bucket, trie, ids, ends = None, BucketTrie(), [], []
+    for b in batches:
+        for i, k, at in zip(*(b.column(c).to_pylist() for c in ("id", "key", "bucket"))):
+            if at != bucket:
+                if ids:
+                    yield trie.terminals, ids, ends
+                bucket, trie, ids, ends = at, BucketTrie(), [], []
+            ids.append(i)
+            ends.append(trie.add(k, len(at), i))
+    if ids:
+        yield trie.terminals, ids, ends
+
+
+def format_duplicates(df: DataFrame, id_col: str = "raw_id", title: str = "title", address: str = "address", phone: str = "phone", capacity: int = BUCKET_ROWS) -> DataFrame:
+    """(first_id, row_id): each row but the first of its content, with the first (smallest id).
+
+    Two rows have the same content when title, address and phone agree in canonical form.
+    Blank equals blank, so rows blank in all three are copies of one another. Rows without
+    an id are left out; a repeated row (same id and content) is given as often as the table has
+    it. Other columns are not read. A content with more rows than ``capacity`` is found by the
+    radix splits with its first id, so its rows need no shuffle and stay spread.
+    """
+    _, hot, cold = _counted(df, id_col, title, address, phone, capacity)
+
+    def rows(batches):
+        for _, ids, ends in _tries(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], pa.int64()), pa.array(ids, pa.int64())], names=["first_id", "row_id"])
+
+    return hot.unionByName(cold.mapInArrow(rows, "first_id bigint, row_id bigint")).filter("first_id < row_id")
+
+
+def format_counts(df: DataFrame, id_col: str = "raw_id", title: str = "title", address: str = "address", phone: str = "phone", capacity: int = BUCKET_ROWS) -> DataFrame:
+    """(first_id, copies): one row for each distinct content, its first (smallest) id and how many rows have it.
+
+    Contents are those of ``format_duplicates``. The copies add up to the rows that have an id.
+    """
+    plan, _, cold = _counted(df, id_col, title, address, phone, capacity)
+    pair = "first_id bigint, copies bigint"
+
+    def terminals(batches):
+        for ends, _, _ in _tries(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["first_id", "copies"])
+
+    large = df.sparkSession.createDataFrame(list(plan.uniform.values()), pair)  # at most rows / capacity
+    return large.unionByName(cold.mapInArrow(terminals, pair))

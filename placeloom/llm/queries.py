@@ -15,6 +15,7 @@ def queries():
         "p3_found": lambda s, d: matched(s, d).select("final_id", "osm_id"),
         "p3_scored": lambda s, d: matched(s, d),
         "p5_found": lambda s, d: formatdups.format_duplicates(_t(s, d, "raw_places")).selectExpr("first_id as first_raw_id", "row_id as raw_id"),
+        "p5_counts": lambda s, d: formatdups.format_counts(_t(s, d, "raw_places")).withColumnRenamed("first_id", "first_raw_id"),
         "p6_found": lambda s, d: survivor.trusted_survivors(_t(s, d, "raw_places")),
         "p6_fused": lambda s, d: fused(s, d),
         "p8_ids": lambda s, d: encoding.encode_texts(_t(s, d, "documents"), "doc_id", "text"),

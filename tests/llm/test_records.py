@@ -47,9 +47,27 @@ def test_format_duplicates_of_the_test_table(spark):
     assert formatdups.format_duplicates(df.limit(0)).count() == 0
 
 
-def test_spine_trie_counts_in_byte_order():
-    t = formatdups.SpineTrie()
-    assert [t.add(k, i) for i, k in enumerate([b"", b"a", b"a", b"ab", b"b"])] == [0, 1, 1, 3, 4]
+@pytest.mark.parametrize("capacity", [2, 100_000])
+def test_format_counts_add_up(spark, clash, capacity):
+    rows = [(9, "а б", "x, y", "8 1"), (3, "АБ", "y|x", "7-1"), (4, None, "", "—"), (7, "", " ", None), (8, "АБ", "y|x", "7-1"), (5, "z", None, None), (None, "z", None, None)]
+    df = clash(spark.createDataFrame(rows, RAW))
+    assert sorted(map(tuple, formatdups.format_counts(df, capacity=capacity).collect())) == [(3, 3), (4, 2), (5, 1)]
+    assert formatdups.format_counts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["p5_found", "p5_counts"])
+def test_duplicates_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW raw_places AS SELECT * FROM '/root/testdata/sf0.01/raw_places.parquet'")
+    got = queries.queries()[name](spark, "/root/testdata/sf0.01")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql.oracle_sql()[name]})").fetchall())
+
+
+def test_bucket_tries_count_at_terminals():
+    t = formatdups.BucketTrie()
+    keys = [b"", b"abcdefgh", b"abcdefghi", b"abcdefgh", b"abcdefghabcdefgh", b"abcdefghabcdefghx", b"", b"abcdefgh"]
+    ends = [t.add(k, 0, 10 - i) for i, k in enumerate(keys)]
+    assert [tuple(e) for e in ends] == [(4, 2), (3, 3), (8, 1), (3, 3), (6, 1), (5, 1), (4, 2), (3, 3)] and len(t.terminals) == 5
 
 
 def test_survivors_equal_their_sql(spark):
