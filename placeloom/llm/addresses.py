@@ -2,10 +2,10 @@
 
 Records are parsed one by one, then resolved as *skeletons* (everything but the numbers),
 of which there are far fewer: street tokens meet their correct spelling in an index of
-deletion neighbourhoods inside blocks of locality and postcode, localities and streets are
-learned from the records that name them in full, and a skeleton that leaves something out
-is assigned the street that fits it best. Numbers of house, block and building are hard
-vetoes: they must be equal.
+deletion neighbourhoods inside blocks of locality, postcode and neighbouring localities,
+localities and streets are learned from the records that name them in full, and a skeleton
+that leaves something out is assigned the street that fits it best. Numbers of house, block
+and building are hard vetoes: they must be equal.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from placeloom.session import cut_lineage
 RATIO, RARE = 4, 2
 #: A spelling of fewer than SHORT signs, or next to one, is a slip only in a locality or postcode, where it is rare and the other occurs so many times as often.
 SHORT, SHORT_RATIO = 5, 8
+#: Figures of a postcode that neighbouring localities share.
+AREA_FIGURES = 3
 #: Records of one building that one task pairs.
 GROUP_ROWS = 2_000
 
@@ -74,61 +76,104 @@ def corrected_words(words: DataFrame) -> DataFrame:
 
 def resolved_skeletons(parsed: DataFrame) -> DataFrame:
     """(skeleton, street): the street each skeleton denotes, as locality, kind, ordinal and stem."""
-    schema = "words array<string>, beside array<boolean>, kind string, ordinal int, postcode string, localities array<string>"
+    schema = "words array<string>, beside array<boolean>, kind string, ordinal int, postcode string, localities array<struct<mark:string,at:int,len:int>>"
     kinds = parsed.groupBy("skeleton").agg(F.count("*").alias("n"))
+    place = pa.struct([("mark", pa.string()), ("at", pa.int32()), ("len", pa.int32())])
 
     def opened(batches):
         for b in batches:
             rows = [json.loads(s) for s in b.column(0).to_pylist()]
-            cols = list(zip(*rows)) if rows else [[] for _ in range(6)]
-            types = [pa.list_(pa.string()), pa.list_(pa.bool_()), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types))], names=["skeleton", "n", "words", "beside", "kind", "ordinal", "postcode", "localities"])
+            cols = [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+            cols[5] = [[dict(zip(("mark", "at", "len"), x)) for x in ls] for ls in cols[5]]
+            types = [pa.list_(pa.string()), pa.list_(pa.bool_()), pa.string(), pa.int32(), pa.string(), pa.list_(place)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["skeleton", "n", "words", "beside", "kind", "ordinal", "postcode", "localities"])
 
     sk = cut_lineage(kinds.mapInArrow(opened, f"skeleton string, n bigint, {schema}").withColumn("sid", F.xxhash64("skeleton")))
-
-    # localities as the records name them, and the blocks of each skeleton
-    towns = sk.select("n", F.explode("localities").alias("loc")).groupBy(F.substring("loc", 3, 200).alias("name")).agg(F.sum("n").alias("seen"), F.max(F.expr("loc like 'v:%'")).alias("village"))
-
-    # spelling: of each word in the block of its locality, of its postcode, and among all neighbours
-    each = sk.select("sid", "n", "postcode", F.expr("coalesce(substring(try_element_at(localities, -1), 3), '')").alias("said"), F.posexplode(F.arrays_zip("words", "beside")).alias("pos", "w")).select("sid", "n", "pos", F.col("w.words").alias("word"), F.col("w.beside").alias("road"), F.filter(F.array(F.concat(F.lit("l:"), "said"), F.concat(F.lit("p:"), "postcode"), F.lit("*")), lambda b: ~b.isin("l:", "p:", "p:000000")).alias("blocks"))
+    posted = F.when(~F.col("postcode").isin("", "000000"), F.col("postcode"))
+    last = F.try_element_at("localities", F.lit(-1))
+    said = F.array_join(F.slice("words", last["at"] + 1, last["len"]), " ")
+
+    # the area of a locality: the first figures of most of its postcodes; localities of one area are neighbours
+    named = sk.select("sid", "n", "words", F.nullif(said, F.lit("")).alias("said"), posted.alias("postcode"))
+    areas = named.filter("said is not null and postcode is not null").groupBy("said", F.substring("postcode", 1, AREA_FIGURES).alias("area")).agg(F.sum("n").alias("n")).groupBy("said").agg(F.max_by("area", F.struct("n", "area")).alias("said_area"))
+    placed = named.join(areas, "said", "left").withColumn("area", F.coalesce(F.substring("postcode", 1, AREA_FIGURES), "said_area"))
+
+    # spelling: of each word in the block of its locality, of its postcode, and of the neighbouring localities; records of no known area seek everywhere
+    near = F.array(F.concat(F.lit("l:"), "said"), F.concat(F.lit("p:"), "postcode"), F.coalesce(F.concat(F.lit("n:"), "area"), F.lit("*")))
+    each = placed.select("sid", "n", F.filter(near, F.isnotnull).alias("blocks"), F.posexplode("words").alias("pos", "word"))
     seen = each.groupBy("word").agg(F.sum("n").alias("n"))
-    counted = each.select("word", F.explode("blocks").alias("block")).distinct().join(seen, "word")
+    counted = each.select("word", F.explode(F.array_union("blocks", F.array(F.lit("*")))).alias("block")).distinct().join(seen, "word")
     slips = cut_lineage(corrected_words(counted))
     order = F.when(F.col("block").startswith("l:"), 0).when(F.col("block").startswith("p:"), 1).otherwise(2)
-    fixes = each.select("sid", "pos", "word", F.explode("blocks").alias("block")).join(slips, ["block", "word"]).groupBy("sid", "pos").agg(F.min_by("right", order).alias("right"))
-    right = each.join(fixes, ["sid", "pos"], "left").select("sid", "pos", F.coalesce("right", "word").alias("word"), "road")
-    clean = right.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "road"))).alias("ws"))
-    clean = cut_lineage(sk.select("sid", "skeleton", "n", "kind", "ordinal", "postcode").join(clean, "sid"))
-
-    # runs of one to three words that are localities
-    grams = clean.select("sid", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: i + k - 1 <= F.size("ws")), lambda i: F.struct(i.alias("at"), k.alias("len"), F.array_join(F.transform(F.slice("ws", i, k), lambda w: w["word"]), " ").alias("name")))))).alias("g")).select("sid", "g.*")
-    hits = grams.join(towns.filter("seen >= 2"), "name")
-    place = hits.groupBy("sid").agg(F.max(F.struct("village", "len", "seen", "name")).alias("best"), F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("len")), lambda k: F.col("at") + k - 1))).alias("taken"))
-    rest = clean.join(place, "sid", "left").select("sid", "skeleton", "n", "kind", "ordinal", "postcode", F.coalesce("best.name", F.lit("")).alias("town"), F.posexplode(F.expr("filter(transform(ws, (w, i) -> struct(i + 1 as at, w.word as word, w.road as road)), x -> not array_contains(coalesce(taken, array()), x.at))")).alias("k", "w"))
+    fixes = each.select("sid", "pos", "word", F.explode("blocks").alias("block")).join(slips, ["block", "word"]).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", order.alias("order"), "right"))).alias("fixes"))  # a few a word
+    right = F.expr("transform(arrays_zip(words, beside), (w, i) -> struct(i as pos, coalesce(try_element_at(filter(fixes, f -> f.pos = i), 1).right, w.words) as word, w.beside as road))")
+    clean = cut_lineage(sk.join(fixes, "sid", "left").select("sid", "skeleton", "n", "kind", "ordinal", "postcode", "localities", right.alias("ws")))
+
+    # localities as the records name them, in right spelling; runs of one to three words that are localities
+    words = lambda at, n: F.array_join(F.transform(F.slice("ws", at, n), lambda w: w["word"]), " ")
+    said_names = clean.select("n", "ws", F.explode("localities").alias("l")).select("n", words(F.col("l.at") + 1, F.col("l.len")).alias("name"), (F.col("l.mark") == "v").alias("v"))
+    as_roads = clean.select("n", F.explode("ws").alias("w")).filter("w.road").groupBy(F.col("w.word").alias("name")).agg(F.sum("n").alias("as_road"))
+    towns = said_names.groupBy("name").agg(F.sum("n").alias("seen"), F.max("v").alias("village")).join(as_roads, "name", "left")
+    towns = towns.filter("seen >= 2 or coalesce(as_road, 0) <= 2").select("name", "seen", "village")  # what is a street more often is no locality for being called one once
+    grams = clean.select("sid", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: i + k - 1 <= F.size("ws")), lambda i: F.struct(i.alias("at"), k.alias("len"), words(i, k).alias("name")))))).alias("g")).select("sid", "g.*")
+    hits = grams.join(towns, "name")
+    place_of = hits.groupBy("sid").agg(F.max(F.struct("village", "len", "seen", "name")).alias("best"), F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("len")), lambda k: F.col("at") + k - 1))).alias("taken"))
+    rest = clean.join(place_of, "sid", "left").select("sid", "skeleton", "n", "kind", "ordinal", "postcode", F.coalesce("best.name", F.lit("")).alias("town"), F.posexplode(F.expr("filter(ws, w -> not array_contains(coalesce(taken, array()), w.pos + 1))")).alias("k", "w"))
     rest = rest.select("sid", "skeleton", "n", "kind", "ordinal", "postcode", "town", "k", F.col("w.word").alias("word"), F.col("w.road").alias("road"))
 
-    # the street word: the one that stands beside a kind or ordinal most often in the whole data
+    # the street word: the one that stands beside a kind or ordinal most often in the whole data; other words that mostly stand there belong to the name
     roads = rest.groupBy("word").agg(F.sum(F.when(F.col("road"), F.col("n")).otherwise(0)).alias("as_road"), F.sum("n").alias("in_all"))
     pick = rest.join(roads, "word").withColumn("weight", F.col("as_road") / F.col("in_all"))
-    best = pick.groupBy("sid").agg(F.max_by("word", F.struct(F.col("road") & (F.col("weight") > 0.2), F.col("as_road"), -F.col("k"))).alias("word"), F.first("skeleton").alias("skeleton"), F.first("n").alias("n"), F.first("kind").alias("kind"), F.first("ordinal").alias("ordinal"), F.first("postcode").alias("postcode"), F.first("town").alias("town"))
+    more = F.collect_set(F.when(F.col("road") & (F.col("weight") > 0.5) & (F.col("in_all") > RARE), F.col("word"))).alias("more")
+    kept = ("skeleton", "n", "kind", "ordinal", "postcode", "town")
+    best = pick.groupBy("sid").agg(F.max_by("word", F.struct(F.col("road") & (F.col("weight") > 0.2), F.col("as_road"), -F.col("k"))).alias("word"), more, *[F.first(c).alias(c) for c in kept])
 
     def stems(batches):
         for b in batches:
             ws = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stem_of(w) for w in ws], pa.string()), pa.array([gender_of(w) for w in ws], pa.string()), *b.columns[2:]], names=["sid", "stem", "gender", *b.schema.names[2:]])
+            names = ["+".join(sorted({stem_of(x) for x in (w, *m)})) for w, m in zip(ws, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array([gender_of(w) for w in ws], pa.string()), *b.columns[3:]], names=["sid", "stem", "gender", *kept])
+
+    street = cut_lineage(best.select("sid", "word", "more", *kept).mapInArrow(stems, "sid bigint, stem string, gender string, skeleton string, n bigint, kind string, ordinal int, postcode string, town string"))
+
+    # streets named in full; what is left out is assigned at least cost: a kind of another gender, then the postcode, then how often the street is named.
+    # The best street of a name is found for each kind, with and without the postcode, so no skeleton meets all streets of its name.
+    full = street.filter("town <> '' and kind <> ''").groupBy("stem", "ordinal", F.col("town").alias("t"), F.col("kind").alias("k"), "postcode").agg(F.sum("n").alias("posted"))
+    total = full.groupBy("stem", "ordinal", "t", "k").agg(F.sum("posted").alias("support"))
+    posts = full.filter("postcode not in ('', '000000')").join(total, ["stem", "ordinal", "t", "k"])
+    rank = lambda p: F.struct((-p).alias("posted"), (-F.col("support")).alias("support"), "t", "k")
+    none = F.lit(0).cast("long")
+    anywhere = total.groupBy("stem", "ordinal", "k").agg(F.min(rank(none)).alias("c"))
+    by_post = posts.groupBy("stem", "ordinal", "k", "postcode").agg(F.min(rank(F.col("posted"))).alias("c"))
+    asked = street.filter("town = '' or kind = ''").groupBy("stem", "ordinal", "town", "kind", "gender", "postcode").agg(F.lit(1).alias("one")).drop("one")
+    no_town = asked.filter("town = ''")
+    fits = (F.col("kind") == "") | (F.col("kind") == F.col("k"))
+    ask = ["stem", "ordinal", "town", "kind", "gender", "postcode"]
+    found = no_town.join(anywhere, ["stem", "ordinal"]).filter(fits).select(*ask, "c")
+    found = found.unionByName(no_town.join(by_post, ["stem", "ordinal", "postcode"]).filter(fits).select(*ask, "c"))
+    in_town = asked.filter("town <> ''").join(total.withColumnRenamed("t", "town"), ["stem", "ordinal", "town"]).join(posts.select("stem", "ordinal", F.col("t").alias("town"), "k", "postcode", "posted"), ["stem", "ordinal", "town", "k", "postcode"], "left")
+    found = found.unionByName(in_town.withColumn("t", F.col("town")).select(*ask, rank(F.coalesce("posted", none)).alias("c")))
+    gender = F.create_map(*[F.lit(x) for kv in GENDER.items() for x in kv])
+    cost = F.when((F.col("kind") == "") & (F.col("gender") != "") & (gender[F.col("c.k")] != F.col("gender")), 1).otherwise(0)
+    top = found.groupBy(*ask).agg(F.min_by("c", F.struct(cost, "c")).alias("c"))
+    done = street.join(top, ask, "left")
+    return done.select("skeleton", F.concat_ws("|", F.coalesce("c.t", "town"), F.coalesce("c.k", "kind"), F.col("ordinal").cast("string"), "stem").alias("street"))
 
-    street = cut_lineage(best.select("sid", "word", "skeleton", "n", "kind", "ordinal", "postcode", "town").mapInArrow(stems, "sid bigint, stem string, gender string, skeleton string, n bigint, kind string, ordinal int, postcode string, town string"))
 
-    # streets named in full, and for the rest the assignment of least cost
-    full = street.filter("town <> '' and kind <> ''").groupBy("stem", "ordinal", F.col("town").alias("t"), F.col("kind").alias("k")).agg(F.sum("n").alias("support"))
-    posts = street.filter("town <> '' and kind <> '' and postcode not in ('', '000000')").groupBy("stem", "ordinal", F.col("town").alias("t"), F.col("kind").alias("k"), "postcode").agg(F.sum("n").alias("posted"))
-    partial = street.filter("town = '' or kind = ''")
-    gender = F.create_map(*[F.lit(x) for kv in GENDER.items() for x in kv])
-    cand = partial.join(full, ["stem", "ordinal"]).filter("(town = '' or town = t) and (kind = '' or kind = k)").join(posts, ["stem", "ordinal", "t", "k", "postcode"], "left")
-    cost = F.when((F.col("kind") == "") & (F.col("gender") != "") & (gender[F.col("k")] != F.col("gender")), 1).otherwise(0)
-    top = cand.groupBy("sid").agg(F.min_by(F.struct("t", "k"), F.struct(cost, -F.coalesce("posted", F.lit(0)), -F.col("support"), F.col("t"), F.col("k"))).alias("c"))
-    done = street.join(top, "sid", "left").select("skeleton", F.concat_ws("|", F.coalesce("c.t", "town"), F.coalesce("c.k", "kind"), F.col("ordinal").cast("string"), "stem").alias("street"))
-    return done
+def buildings(df: DataFrame, id_col: str = "addr_id", address: str = "address") -> DataFrame:
+    """(id, building): the building that each record denotes. Records that name no house are left out."""
+    parsed = cut_lineage(parsed_records(df, id_col, address))
+    return cut_lineage(parsed.join(resolved_skeletons(parsed), "skeleton").select("id", F.concat_ws("#", "street", "number").alias("building")))
+
+
+def building_classes(df: DataFrame, id_col: str = "addr_id", address: str = "address") -> DataFrame:
+    """(addr_id, class_id, links): for each record that names a house, the smallest id of its building and how many other records denote it.
+
+    What a building is, is said in ``same_building``; a repeated row is a record of its own here.
+    """
+    rows = buildings(df, id_col, address)
+    size = rows.groupBy("building").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("links"))
+    return rows.join(size, "building").select(F.col("id").alias("addr_id"), "class_id", "links")
 
 
 def same_building(df: DataFrame, id_col: str = "addr_id", address: str = "address", group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -139,9 +184,7 @@ def same_building(df: DataFrame, id_col: str = "addr_id", address: str = "addres
     Other columns are not read. Buildings of more than ``group_rows`` records are paired by several
     tasks: one side keeps one salt of several, the other is repeated for each.
     """
-    parsed = cut_lineage(parsed_records(df, id_col, address))
-    streets = resolved_skeletons(parsed)
-    keyed = cut_lineage(parsed.join(streets, "skeleton").select("id", F.concat_ws("#", "street", "number").alias("building")))
+    keyed = buildings(df, id_col, address)
     size = keyed.groupBy("building").agg(F.count("*").alias("n")).filter("n > 1").select("building", F.ceil(F.col("n") / group_rows).cast("int").alias("salts"))
     rows = keyed.join(size, "building")
     a = rows.select("building", F.col("id").alias("addr_id_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))

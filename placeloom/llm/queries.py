@@ -12,6 +12,7 @@ def _t(spark, folder, name):
 def queries():
     return {
         "p1_found": lambda s, d: addresses.same_building(_t(s, d, "address_records")),
+        "p1_classes": lambda s, d: addresses.building_classes(_t(s, d, "address_records")),
         "p3_found": lambda s, d: matched(s, d).select("final_id", "osm_id"),
         "p3_scored": lambda s, d: matched(s, d),
         "p5_found": lambda s, d: formatdups.format_duplicates(_t(s, d, "raw_places")).selectExpr("first_id as first_raw_id", "row_id as raw_id"),

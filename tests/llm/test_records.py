@@ -138,6 +138,42 @@ def test_parts_of_one_address():
     assert parse("ПЕРЕУЛОК ЛУЦРУГНЫЙ, ДОМ 10, , СТР.3, ПОМ.37").number == "10||3"
 
 
+@pytest.mark.parametrize(
+    "address, number, kind, ordinal, words",
+    [
+        ("Ленина, 5/7", "5/7||", "", 0, ["lenina"]),
+        ("ул. Ленина 05-7", "5-7||", "ulitsa", 0, ["lenina"]),
+        ("Ленина, 57 б", "57b||", "", 0, ["lenina"]),
+        ("Ленина 5а/7к2", "5a/7|2|", "", 0, ["lenina"]),
+        ("8 Марта, д. 1", "1||", "", 8, ["marta"]),
+        ("ул. 8 Марта 15", "15||", "ulitsa", 8, ["marta"]),
+        ("восьмого марта ул., 15", "15||", "ulitsa", 8, ["marta"]),
+        ("ул. 1 Мая", "||", "ulitsa", 1, ["maA"]),
+        ("улица 50 лет Октября, 12к2", "12|2|", "ulitsa", 50, ["oktAbrA"]),
+        ("1905 года ул., дом 3", "3||", "ulitsa", 1905, ["goda"]),
+        ("26 Бакинских Комиссаров ул., 5", "5||", "ulitsa", 26, ["bakinskiH", "komissarov"]),
+        ("12 Ленина ул.", "12||", "ulitsa", 0, ["lenina"]),
+        ("ул. Ленина 5, дом 7", "7||", "ulitsa", 0, ["lenina"]),
+        ("стр. 3, д. 5, пр-т Мира", "5||3", "prospekt", 0, ["mira"]),
+    ],
+)
+def test_components_of_least_cost(address, number, kind, ordinal, words):
+    p = parse(address)
+    assert (p.number, p.kind, p.ordinal, p.words) == (number, kind, ordinal, words)
+
+
+def test_numbers_are_vetoes_and_names_are_whole(spark, clash):
+    rows = [(1, "г. Вельск, ул. Ленина, 5"), (2, "г. Вельск, ул. Ленина, 5/7"), (3, "г. Вельск, ул. Ленина, 5/9"), (4, "г. Вельск, ул. Ленина, 57"), (5, "г. Вельск, ул. Ленина, 5-7"), (6, "Ленина ул. 5/7, г. Вельск")]
+    rows += [(10, "г. Вельск, 8 Марта, д. 1"), (11, "г. Вельск, 8 Марта, д. 3"), (12, "г. Вельск, ул. 8 Марта, 1"), (13, "г. Вельск, ул. 3 Марта, 1")]
+    rows += [(20 + i, f"г. Вельск, ул. Карла {n}, д. {h}") for i, (n, h) in enumerate((n, h) for n in ("Маркса", "Либкнехта") for h in (1, 2, 3, 4))]
+    rows += [(40, "п. Дальний, ул. Ленина, 5"), (41, "Ленина, 5, п. Дальний")]
+    df = clash(spark.createDataFrame(rows, "addr_id long, address string"))
+    assert {(r.addr_id_a, r.addr_id_b) for r in addresses.same_building(df).collect()} == {(2, 6), (10, 12), (40, 41)}
+    got = {r.addr_id: (r.class_id, r.links) for r in addresses.building_classes(df).collect()}
+    assert len(got) == len(rows) and got[6] == (2, 1) and got[41] == (40, 1) and got[1] == (1, 0)
+    assert addresses.building_classes(df.limit(0)).count() == 0
+
+
 def planted(seed):
     r = random.Random(seed)
     left, right, truth = [], [], set()
