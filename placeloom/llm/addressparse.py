@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 # Transliteration of the Cyrillic alphabet.
 LATIN = {
@@ -73,6 +74,7 @@ def to_latin(text: str) -> str:
     return "".join(LATIN.get(c, c) for c in t)
 
 
+@lru_cache(maxsize=1 << 16)
 def signs(word: str) -> str:
     """A Latin word with one sign per Cyrillic letter, so that one slip of the pen is one edit."""
     return _GROUP.sub(lambda m: SIGNS[m[0]], word)
@@ -81,6 +83,7 @@ def signs(word: str) -> str:
 _ORD_FORMS = [(signs(w + e), n) for w, es, n in (("perv", "aya yy oe", 1), ("vtor", "aya oy oe", 2), ("tret", "ya iy e", 3), ("chetvert", "aya yy oe", 4), ("pyat", "aya yy oe", 5), ("shest", "aya oy oe", 6), ("sedm", "aya oy oe", 7), ("vosm", "aya oy oe", 8)) for e in es.split()]
 
 
+@lru_cache(maxsize=1 << 16)
 def ordinal_of(word: str) -> int:
     """The number that a Latin word such as ``vtoraya`` means, one slip allowed; 0 for other words."""
     m = _ORD_WORD.match(word)
@@ -155,6 +158,7 @@ def _near(word: str, target: str) -> bool:
 _LONG = [(signs(w), k) for w, k in KIND_OF.items() if len(w) >= 5]
 
 
+@lru_cache(maxsize=1 << 16)
 def kind_of(word: str) -> str:
     k = KIND_OF.get(word, "")
     if not k and len(word) >= 4:

@@ -9,12 +9,13 @@ firm, its scores are calibrated on held-out labels, and each object keeps its li
 
 from __future__ import annotations
 
-import math
 import re
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,9 @@ from pyspark.sql import functions as F
 from placeloom.llm.addressparse import _near, parse, signs, to_latin
 from placeloom.session import cut_lineage
 
-# Words for kinds of firms and their legal forms, transliterated; they do not tell firms apart.
-GENERIC = set(
-    "kafe restoran bar pab bistro stolovaya kofeynya pekarnya konditerskaya pitstseriya supermarket magazin minimarket market produkty gastronom lavka fabrika tsekh kombinat zavod "
-    "proizvodstvo chasovnya khram tserkov sobor monastyr mechet sinagoga obshchina prikhod obitel skit podvore molitvennyy khlebozavod molokozavod myasokombinat universam rynok bulochnaya chaykhana zakusochnaya traktir ooo oao ao zao ip pao nko ro i no g gorod".split()
-)
+#: A word is general, as it names a kind of firm or a legal form and does not tell firms apart, if it stands outside the quotation
+#: marks of at least so many different titles, and in so large a share of the titles with quotation marks that have it.
+GENERAL_TITLES, GENERAL_SHARE = 3, 0.9
 #: MinHash rows of each word of a title and of a street.
 TITLE_ROWS, STREET_ROWS = 3, 2
 #: Signs from which a word of a title is keyed by its first and last AFFIX signs; up to there, by its deletions.
@@ -35,20 +34,26 @@ LONG_WORD, AFFIX = 24, 10
 CELL = 0.002
 #: Signs of the endings that words may differ in.
 VOWELS = "aeiouyA"
+#: Rows of one key that one task pairs.
+KEY_ROWS = 5_000
 #: Labelled pairs that the classifier is fitted on, at most.
 TRAIN_ROWS = 100_000
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
 
-PREPARED = "id bigint, tokens array<string>, numbers array<string>, street array<string>, kind string, ordinal int, number string, lat double, lon double, title_rows array<bigint>, title_words array<bigint>, street_rows array<bigint>"
+ROWS = "id bigint, title string, street array<string>, kind string, ordinal int, number string, lat double, lon double, street_rows array<bigint>"
+TITLES = "title string, tokens array<string>, numbers array<string>, title_rows array<bigint>, title_words array<bigint>"
+ATTRIBUTES = ("tokens", "numbers", "street", "kind", "ordinal", "number", "lat", "lon")
 
+_QUOTED = re.compile(r'[«"“„]([^«»"“”„]*)[»"”“]')
 
-def core_tokens(title: str | None) -> tuple[list[str], list[str]]:
-    """The words of a title that tell firms apart, in signs and sorted, and its numbers."""
-    t = to_latin(title or "")
-    t = re.sub(r"\bna ([a-z]+oy|[a-z]+om)\b|\bmolitvennyy dom\b", " ", t)
-    words = re.findall(r"[a-z]+|\d+", t)
-    tokens = sorted({signs(w) for w in words if not w.isdigit() and w not in GENERIC})
-    return tokens or sorted({signs(w) for w in words if not w.isdigit() and w != "no"}), sorted({w.lstrip("0") or "0" for w in words if w.isdigit()})
+
+def title_words(title: str | None) -> tuple[list[str], list[str], list[str]]:
+    """The words of a title in signs: all of them, those outside its quotation marks if it has such; and its numbers."""
+    t = title or ""
+    said = lambda x: re.sub(r"\bno (?=\d)|\bna ([a-z]+oy|[a-z]+om)\b", " ", to_latin(x))
+    words = lambda x: sorted({signs(w) for w in re.findall(r"[a-z]+", said(x)) if len(w) > 1})
+    numbers = sorted({w.lstrip("0") or "0" for w in re.findall(r"\d+", said(t))})
+    return words(t) or sorted({signs(w) for w in re.findall(r"[a-z]+", said(t))}), words(_QUOTED.sub(" ", t)) if _QUOTED.search(t) else [], numbers
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -82,39 +87,58 @@ def title_keys(tokens: list[str]) -> list[tuple[int, int]]:
     return sorted({(h, 0) for w in tokens for h in minhash(_grams([w]), TITLE_ROWS)} | {(h, _hash(w)) for w in tokens for h in slip_keys(w)})
 
 
-def prepare(df: DataFrame) -> DataFrame:
-    """From (id, title, address, lat, lon) the attributes that pairs are compared by."""
+def addressed(df: DataFrame) -> DataFrame:
+    """From (id, title, address, lat, lon) the address's components and the coordinates in order."""
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for i, title, address, lat, lon in zip(pdf["id"], pdf["title"], pdf["address"], pdf["lat"], pdf["lon"]):
-                tokens, numbers = core_tokens(title)
-                keys = title_keys(tokens)
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for i, title, address, lat, lon in zip(*(c.to_pylist() for c in b.columns)):
                 p = parse(address)
                 street = [w for w in p.words if len(w) > 3] if p and p.house else []
-                ok = not (pd.isna(lat) or pd.isna(lon) or lat == 0 or lon == 0)
+                ok = lat is not None and lon is not None and lat == lat and lon == lon and lat != 0 and lon != 0
                 if ok and 36 <= lat <= 39.5:
                     lat, lon = lon, lat
-                out.append(
-                    {
-                        "id": i,
-                        "tokens": tokens,
-                        "numbers": numbers,
-                        "street": street,
-                        "kind": p.kind if street else "",
-                        "ordinal": p.ordinal if street else 0,
-                        "number": p.number if street else "",
-                        "lat": lat if ok else None,
-                        "lon": lon if ok else None,
-                        "title_rows": [k for k, _ in keys],
-                        "title_words": [w for _, w in keys],
-                        "street_rows": [h for w in street for h in minhash(_grams([w]), STREET_ROWS)],
-                    }
-                )
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PREPARED.split(", ")])
-
-    return df.mapInPandas(run, PREPARED)
+                out.append((i, title, street, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in minhash(_grams([w]), STREET_ROWS)]))
+            types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)], names=[c.split()[0] for c in ROWS.split(", ")])
+
+    return df.select("id", "title", "address", F.col("lat").cast("double"), F.col("lon").cast("double")).mapInArrow(run, ROWS)
+
+
+def titled(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The words that tell firms apart, the numbers and the keys of each distinct title of both tables.
+
+    Which words do not tell firms apart is learned from the titles: those that stand outside quotation marks.
+    """
+
+    def cut(batches):
+        for b in batches:
+            found = [title_words(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.list_(pa.string())) for k in range(3))], names=["title", "words", "outside", "numbers"])
+
+    titles = left.select("title").unionByName(right.select("title")).filter("title is not null").distinct()
+    words = cut_lineage(titles.mapInArrow(cut, "title string, words array<string>, outside array<string>, numbers array<string>"))
+    each = words.select("title", F.explode("words").alias("word"), F.col("outside"), F.col("title").rlike(_QUOTED.pattern).alias("quoted"))
+    out = F.array_contains("outside", F.col("word"))
+    general = each.filter("quoted").groupBy("word").agg(F.count_if(out).alias("out"), F.count("*").alias("n")).filter((F.col("out") >= GENERAL_TITLES) & (F.col("out") >= GENERAL_SHARE * F.col("n"))).select("word", F.lit(True).alias("general"))
+    telling = each.join(general, "word", "left").filter("general is null").groupBy("title").agg(F.array_sort(F.collect_list("word")).alias("telling"))
+
+    def keyed(batches):
+        for b in batches:
+            keys = [title_keys(t) for t in b.column("tokens").to_pylist()]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([[k[j] for k in ks] for ks in keys], longs) for j in (0, 1))], names=[c.split()[0] for c in TITLES.split(", ")])
+
+    return words.join(telling, "title", "left").select("title", F.coalesce("telling", "words").alias("tokens"), "numbers").mapInArrow(keyed, TITLES)
+
+
+def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables, from (id, title, address, lat, lon), with the attributes that pairs are compared by."""
+    a, b = cut_lineage(addressed(left)), cut_lineage(addressed(right))
+    titles = cut_lineage(titled(a, b))
+    whole = lambda df: df.join(titles, "title", "left").drop("title").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
+    return whole(a), whole(b)
 
 
 def placed(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -140,10 +164,18 @@ def _keys(rows: DataFrame, probes: bool) -> DataFrame:
     return here.unionByName(there)
 
 
-def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id_a, id_b): pairs of prepared rows that agree in a key; equal words meet in MinHash rows alone."""
+def candidates(a: DataFrame, b: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(id_a, id_b): pairs of prepared rows that agree in a key; equal words meet in MinHash rows alone.
+
+    A key that more than ``key_rows`` rows of ``b`` have is spread by salt: those rows keep one each, rows of ``a`` go to all.
+    """
     ka, kb = (_keys(df, probes).withColumnsRenamed({"id": f"id_{s}", "word": f"word_{s}"}) for df, probes, s in ((a, False, "a"), (b, True, "b")))
-    return ka.join(kb, "key").filter("word_a = 0 or word_a <> word_b").select("id_a", "id_b").distinct()
+    kb = cut_lineage(kb)
+    hot = kb.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > key_rows).select("key", F.ceil(F.col("n") / key_rows).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    ka = ka.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    kb = kb.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id_b"), salts).cast("int")).drop("salts")
+    return ka.join(kb, ["key", "salt"]).filter("word_a = 0 or word_a <> word_b").select("id_a", "id_b").distinct()
 
 
 def _same(a: str, b: str) -> bool:
@@ -152,60 +184,110 @@ def _same(a: str, b: str) -> bool:
     return len(a) >= 5 and len(b) >= 5 and a.rstrip(VOWELS) == b.rstrip(VOWELS)
 
 
-def _overlap(a, b) -> int:
-    """Letters of the words of ``a`` that ``b`` has, a slip aside."""
-    return sum(len(x) for x in a if any(_same(x, y) for y in b))
+def _same_road(a: str, b: str) -> bool:
+    """Whether two street words are one, up to two slips in a long word."""
+    return _same(a, b) or (min(len(a), len(b)) >= 8 and SequenceMatcher(None, a, b, False).ratio() >= 0.8)
+
 
+class _Lists:
+    """A column of lists of words, flat: which row each word is in, its number, and where the rows start."""
 
-def _same_road(a, b) -> bool:
-    """Whether two lists of street words share one, up to two slips in a long word."""
-    return any(_same(x, y) or (min(len(x), len(y)) >= 8 and SequenceMatcher(None, x, y, False).ratio() >= 0.8) for x in a for y in b)
+    def __init__(self, row: np.ndarray, code: np.ndarray, rows: int):
+        self.row, self.code, self.size = row, code, np.bincount(row, minlength=rows)
+        self.start = np.cumsum(self.size) - self.size
 
+    def __getitem__(self, keep: np.ndarray) -> "_Lists":
+        return _Lists(self.row[keep], self.code[keep], len(self.size))
 
-def _compare(f, o, lat_a, lon_a, lat_b, lon_b) -> tuple[float, ...]:
-    """(contain, jaccard, exact, number conflict, metres or NaN, address: 1 same, -1 other, 0 unknown)."""
-    ta, na, sa, ka, oa, ha = f
-    tb, nb, sb, kb, ob, hb = o
+    def __add__(self, other: "_Lists") -> "_Lists":
+        row, code = np.concatenate((self.row, other.row)), np.concatenate((self.code, other.code))
+        order = np.argsort(row, kind="stable")
+        return _Lists(row[order], code[order], len(self.size))
+
+    def total(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=value, minlength=len(self.size))
+
+
+class _Words:
+    """The distinct words of a batch; pairs of them are compared once."""
+
+    def __init__(self, columns: list[pa.ListArray]):
+        flat = [c.flatten() for c in columns]
+        coded = pa.concat_arrays([f.cast(pa.string()) for f in flat]).dictionary_encode()
+        self.words: list[str] = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+        ends = np.cumsum([len(f) for f in flat])
+        self.lists = [_Lists(pc.list_parent_indices(c).to_numpy(zero_copy_only=False).astype(np.int64), codes[z - len(f) : z], len(c)) for c, f, z in zip(columns, flat, ends)]
+
+    def any_alike(self, a: _Lists, b: _Lists, alike) -> np.ndarray:
+        """For each word of ``a`` whether a word of the same row of ``b`` is like it."""
+        many = b.size[a.row]
+        left = np.repeat(np.arange(len(a.row)), many)
+        right = np.arange(len(left)) + np.repeat(b.start[a.row] - (np.cumsum(many) - many), many)
+        key, at = np.unique(a.code[left] * len(self.words) + b.code[right], return_inverse=True)
+        x, y = np.divmod(key, max(1, len(self.words)))
+        hit = np.fromiter((alike(self.words[i], self.words[j]) for i, j in zip(x.tolist(), y.tolist())), dtype=bool, count=len(key))
+        return np.bincount(left, weights=hit[at], minlength=len(a.row)) > 0
+
+
+def _equal(a: str, b: str) -> bool:
+    return a == b
+
+
+def compared_batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Per pair the letters in common by the shorter and by both titles, whether titles are equal, whether numbers differ, metres or NaN, and the address: 1 same, -1 other, 0 unknown."""
+    n = b.num_rows
+    col = b.column
+    w = _Words([_list(col(c)) for c in ("tokens_a", "tokens_b", "street_a", "street_b", "numbers_a", "numbers_b")])
+    ta, tb, sa, sb, na, nb = w.lists
     # the town or street that a title names beside the firm is in the addresses
-    place = (*sa, *sb)
-    ta, tb = ([x for x in t if not any(_same(x, w) for w in place)] or t for t in (ta, tb))
-    short, long_ = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
-    hit = _overlap(short, long_)
-    size = lambda ws: sum(map(len, ws))
-    contain = hit / max(1, size(short))
-    jaccard = hit / max(1, size(short) + size(long_) - hit)
-    exact = float(list(ta) == list(tb) and list(na) == list(nb))
-    conflict = float(bool(set(na) ^ set(nb)))
-    metres = math.hypot((lat_a - lat_b) * 111320, (lon_a - lon_b) * 111320 * math.cos(math.radians(lat_a)))
-    address = 0
-    if ha and hb:
-        same = _same_road(sa, sb) and ha == hb and oa == ob and (not ka or not kb or ka == kb)
-        address = 1 if same else -1
-    return contain, jaccard, exact, conflict, metres, address
+    place = sa + sb
+
+    def telling(t: _Lists) -> _Lists:
+        other = ~w.any_alike(t, place, _same)
+        some = t.total(other) > 0
+        return t[other | ~some[t.row]]
+
+    ta, tb = telling(ta), telling(tb)
+    size_a, size_b = ta.total(w.length[ta.code]), tb.total(w.length[tb.code])
+    hit_a = ta.total(w.length[ta.code] * w.any_alike(ta, tb, _same))
+    hit_b = tb.total(w.length[tb.code] * w.any_alike(tb, ta, _same))
+    short = ta.size <= tb.size
+    hit = np.where(short, hit_a, hit_b)
+    contain = hit / np.maximum(1, np.where(short, size_a, size_b))
+    jaccard = hit / np.maximum(1, size_a + size_b - hit)
+    same_set = lambda x, y: (x.size == y.size) & (x.total(w.any_alike(x, y, _equal)) == x.size)
+    conflict = ~same_set(na, nb)
+    exact = same_set(ta, tb) & ~conflict
+    f = lambda c: col(c).to_numpy(zero_copy_only=False).astype(float)
+    metres = np.hypot((f("lat_a") - f("lat_b")) * 111320, (f("lon_a") - f("lon_b")) * 111320 * np.cos(np.radians(f("lat_a"))))
+    text = lambda c: pc.fill_null(col(c), "")
+    is_ = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), dtype=bool)
+    known = is_(pc.and_(pc.not_equal(text("number_a"), ""), pc.not_equal(text("number_b"), "")))
+    kinds = is_(pc.or_(pc.or_(pc.equal(text("kind_a"), ""), pc.equal(text("kind_b"), "")), pc.equal(text("kind_a"), text("kind_b"))))
+    road = sa.total(w.any_alike(sa, sb, _same_road)) > 0
+    one = road & kinds & is_(pc.equal(text("number_a"), text("number_b"))) & is_(pc.equal(col("ordinal_a"), col("ordinal_b")))
+    address = np.where(known, np.where(one, 1, -1), 0).astype(np.int32)
+    assert len(contain) == n
+    return pa.RecordBatch.from_arrays([col("id_a"), col("id_b"), *(pa.array(np.asarray(x, dtype=float)) for x in (contain, jaccard, exact, conflict, metres)), pa.array(address)], names=["id_a", "id_b", "contain", "jaccard", "exact", "conflict", "metres", "address"])
+
+
+def _list(c: pa.Array) -> pa.ListArray:
+    return c.cast(pa.list_(pa.string()))
 
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id_a, id_b, contain, jaccard, exact, conflict, metres, address) of candidate pairs."""
-    cols = ("tokens", "numbers", "street", "kind", "ordinal", "number", "lat", "lon")
-    side = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
+    """(id_a, id_b, contain, jaccard, exact, conflict, metres, address) of candidate pairs, whole batches at once."""
+    side = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ATTRIBUTES])
     both = pairs.join(side(left, "a"), "id_a").join(side(right, "b"), "id_b")
 
-    def run(frames):
-        for p in frames:
-            lists = {c: p[c].tolist() for c in p.columns}
-            rows = [
-                (ia, ib, *_compare(fa, fb, *place))
-                for ia, ib, fa, fb, place in zip(
-                    lists["id_a"],
-                    lists["id_b"],
-                    zip(*(lists[f"{c}_a"] for c in cols[:6])),
-                    zip(*(lists[f"{c}_b"] for c in cols[:6])),
-                    zip(lists["lat_a"], lists["lon_a"], lists["lat_b"], lists["lon_b"]),
-                )
-            ]
-            yield pd.DataFrame(rows, columns=["id_a", "id_b", "contain", "jaccard", "exact", "conflict", "metres", "address"])
-
-    return both.mapInPandas(run, "id_a bigint, id_b bigint, contain double, jaccard double, exact double, conflict double, metres double, address int")
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield compared_batch(b)
+
+    return both.mapInArrow(run, "id_a bigint, id_b bigint, contain double, jaccard double, exact double, conflict double, metres double, address int")
 
 
 def _design(p: pd.DataFrame, known: np.ndarray) -> np.ndarray:
@@ -262,11 +344,11 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     pairs the address is hidden, so title, distance and number of rivals are learned by themselves.
     The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash; all pairs are scored.
     """
-    a0, b0 = cut_lineage(prepare(left)), cut_lineage(prepare(right))
-    a, b = cut_lineage(placed(a0, b0)), placed(b0, a0)
-    b = cut_lineage(b)
-    seen = cut_lineage(compared(candidates(a, b), a, b))
-    rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.count("*") - 1).alias("rivals"))
+    a0, b0 = map(cut_lineage, prepared(left, right))
+    a1, b1 = cut_lineage(alike_rows(placed(a0, b0))), cut_lineage(alike_rows(placed(b0, a0)))
+    a, b = (representatives(x) for x in (a1, b1))
+    seen = cut_lineage(compared(candidates(a, b), a, b).join(a.select(F.col("id").alias("id_a"), "copies"), "id_a"))
+    rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.sum("copies") - 1).alias("rivals"))
     seen = seen.join(rivals, "id_b", "left").fillna({"rivals": 0})
     label = F.when((F.col("address") == 1) & (F.col("contain") > 0.99) & (F.col("conflict") == 0), 1).when((F.col("address") == -1) | (F.col("contain") < 0.75) | (F.col("conflict") == 1), 0)
     labelled = seen.withColumn("label", label).filter("label is not null").withColumn("draw", F.xxhash64("id_a", "id_b", F.lit(7)))
@@ -293,7 +375,19 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
 
     scored = seen.mapInPandas(run, "id_a bigint, id_b bigint, score double, confidence double")
     best = scored.groupBy("id_b").agg(F.min_by(F.struct("id_a", "confidence"), F.struct((-F.col("score")).alias("s"), "id_a")).alias("m"))
-    return best.select("m.id_a", "id_b", "m.confidence").filter(F.col("confidence") >= threshold)
+    best = best.select("m.id_a", F.col("id_b").alias("rep"), "m.confidence").filter(F.col("confidence") >= threshold)
+    return best.join(b1.select("rep", F.col("id").alias("id_b")).distinct(), "rep").select("id_a", "id_b", "confidence")
+
+
+def alike_rows(rows: DataFrame) -> DataFrame:
+    """Rows with ``rep``, the smallest id of the rows with the same attributes: such rows are compared once."""
+    told = rows.withColumn("told", F.md5(F.to_json(F.struct(*ATTRIBUTES))))
+    return told.join(told.groupBy("told").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "told")
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """One row of each class of ``alike_rows``, with its number of copies."""
+    return rows.filter("id = rep").dropDuplicates(["id", "told"]).drop("told", "rep")
 
 
 def register_side(df: DataFrame) -> DataFrame:

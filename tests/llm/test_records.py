@@ -3,6 +3,7 @@ import unicodedata
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from placeloom.llm import addresses, formatdups, matching, queries, sql, survivor
 from placeloom.llm.addressparse import parse
@@ -204,6 +205,38 @@ def test_matching_finds_planted_firms(spark, clash):
     assert sum((r.id_a, r.id_b) in truth for r in sure) >= 0.95 * len(sure)
 
 
+def test_pairs_are_compared_as_one_by_one(spark):
+    left, right, _ = planted(9)
+    schema = "id long, title string, address string, lat double, lon double"
+    a, b = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left[:60], right[:60])))
+    pairs = a.select(F.col("id").alias("id_a")).join(b.select(F.col("id").alias("id_b")), F.lit(True))
+    rows = {s: {x.id: x for x in df.collect()} for s, df in (("a", a), ("b", b))}
+    got = matching.compared(pairs, a, b).collect()
+    assert len(got) == len(rows["a"]) * len(rows["b"])
+    same = matching._same
+    for r in got:
+        x, y = rows["a"][r.id_a], rows["b"][r.id_b]
+        place = [*x.street, *y.street]
+        s, t = ([w for w in v if not any(same(w, p) for p in place)] or v for v in (x.tokens, y.tokens))
+        short, long_ = (s, t) if len(s) <= len(t) else (t, s)
+        hit = sum(len(w) for w in short if any(same(w, v) for v in long_))
+        size = lambda ws: sum(map(len, ws))
+        assert abs(r.contain - hit / max(1, size(short))) < 1e-9 and abs(r.jaccard - hit / max(1, size(short) + size(long_) - hit)) < 1e-9
+        assert (r.exact, r.conflict) == (float(s == t and x.numbers == y.numbers), float(x.numbers != y.numbers))
+        road = any(matching._same_road(p, q) for p in x.street for q in y.street)
+        alike = road and x.number == y.number and x.ordinal == y.ordinal and (not x.kind or not y.kind or x.kind == y.kind)
+        assert r.address == (0 if not x.number or not y.number else 1 if alike else -1)
+
+
+def test_copies_of_rows_are_matched_as_their_representative(spark):
+    left, right, _ = planted(5)
+    schema = "id long, title string, address string, lat double, lon double"
+    run = lambda x, y: {(r.id_a, r.id_b) for r in matching.match_places(spark.createDataFrame(x, schema), spark.createDataFrame(y, schema)).collect()}
+    got = run(left, [*right, *((20_000 + r[0], *r[1:]) for r in right)])
+    assert {(a, b - 20_000) for a, b in got if b >= 20_000} == {(a, b) for a, b in got if b < 20_000}
+    assert len(got) > 300
+
+
 def test_matching_of_empty_tables(spark):
     schema = "id long, title string, address string, lat double, lon double"
     empty = spark.createDataFrame([], schema)
@@ -223,7 +256,10 @@ def test_titles_of_one_word_with_a_slip_are_candidates(spark):
         left.append((i, f"Кафе «{w}»", f"Город, Лесная улица, {i + 1}", *at))
         right.append((1000 + i, slipped, f"Лесная улица, д. {i + 1}", *at))
     schema = "id long, title string, address string, lat double, lon double"
-    a, b = (matching.prepare(spark.createDataFrame(x, schema)) for x in (left, right))
+    a, b = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left, right)))
     got = {(x.id_a, x.id_b) for x in matching.candidates(a, b).collect()}
-    alike = {(i, 1000 + i) for i in range(300) if any(matching._same(x, y) or x == y for x in matching.core_tokens(left[i][1])[0] for y in matching.core_tokens(right[i][1])[0])}
+    assert {(x.id_a, x.id_b) for x in matching.candidates(a, b, key_rows=1).collect()} == got
+    ta, tb = ({x.id: x.tokens for x in df.collect()} for df in (a, b))
+    assert not any("kafe" in t for t in ta.values())
+    alike = {(i, 1000 + i) for i in range(300) if any(matching._same(x, y) or x == y for x in ta[i] for y in tb[1000 + i])}
     assert len(alike) >= 250 and alike <= got, (len(alike), sorted(alike - got)[:5])
