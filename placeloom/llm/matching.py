@@ -34,8 +34,8 @@ LONG_WORD, AFFIX = 24, 10
 CELL = 0.002
 #: Signs of the endings that words may differ in.
 VOWELS = "aeiouyA"
-#: Rows of one key that one task pairs.
-KEY_ROWS = 5_000
+#: Rows of one spot that one task pairs.
+SPOT_ROWS = 5_000
 #: Labelled pairs that the classifier is fitted on, at most.
 TRAIN_ROWS = 100_000
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
@@ -153,29 +153,28 @@ def placed(rows: DataFrame, others: DataFrame) -> DataFrame:
     return out.withColumn("guessed", F.col("lat").isNull()).withColumn("lat", F.coalesce("lat", "mid_lat")).withColumn("lon", F.coalesce("lon", "mid_lon")).drop("mid_lat", "mid_lon")
 
 
-def _keys(rows: DataFrame, probes: bool) -> DataFrame:
-    """(key, word, id): what candidates agree in, and the word of the title where that is a slip key."""
+def _spots(rows: DataFrame, probes: bool) -> DataFrame:
+    """(spot, id, title_rows, title_words): where a row is to be met, by map cell and by house number and street."""
     steps = [0.0] if not probes else [-0.5, 0.5]
     cell = lambda c, scale, d: F.floor(F.col(c) / scale + d)
-    near = F.array(*[F.struct(cell("lat", CELL, a).alias("y"), cell("lon", 2 * CELL, b).alias("x")) for a in steps for b in steps])
-    title = F.explode(F.arrays_zip("title_rows", "title_words")).alias("t")
-    here = rows.filter("lat is not null").select("id", title, near.alias("cells")).select("id", "t", F.explode("cells").alias("c")).select("id", F.xxhash64(F.lit("c"), "t.title_rows", "c.y", "c.x").alias("key"), F.col("t.title_words").alias("word"))
-    there = rows.filter("number <> ''").select("id", "number", title, "street_rows").select("id", "t", "number", F.explode("street_rows").alias("s")).select("id", F.xxhash64(F.lit("a"), "t.title_rows", "number", "s").alias("key"), F.col("t.title_words").alias("word"))
+    near = F.array(*[F.xxhash64(F.lit("c"), cell("lat", CELL, a), cell("lon", 2 * CELL, b)) for a in steps for b in steps])
+    here = rows.filter("lat is not null").select(F.explode(near).alias("spot"), "id", "title_rows", "title_words")
+    there = rows.filter("number <> ''").select(F.explode(F.transform("street_rows", lambda s: F.xxhash64(F.lit("a"), "number", s))).alias("spot"), "id", "title_rows", "title_words")
     return here.unionByName(there)
 
 
-def candidates(a: DataFrame, b: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(id_a, id_b): pairs of prepared rows that agree in a key; equal words meet in MinHash rows alone.
+def candidates(a: DataFrame, b: DataFrame, spot_rows: int = SPOT_ROWS) -> DataFrame:
+    """(id_a, id_b): pairs of prepared rows that agree in a spot and a key of the title; equal words meet in MinHash rows alone.
 
-    A key that more than ``key_rows`` rows of ``b`` have is spread by salt: those rows keep one each, rows of ``a`` go to all.
+    A spot with more than ``spot_rows`` rows of ``b`` is spread by salt: those rows keep one each, rows of ``a`` go to all.
     """
-    ka, kb = (_keys(df, probes).withColumnsRenamed({"id": f"id_{s}", "word": f"word_{s}"}) for df, probes, s in ((a, False, "a"), (b, True, "b")))
-    kb = cut_lineage(kb)
-    hot = kb.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > key_rows).select("key", F.ceil(F.col("n") / key_rows).cast("int").alias("salts"))
+    sa, sb = _spots(a, False), _spots(b, True)
+    hot = sb.groupBy("spot").agg(F.count("*").alias("n")).filter(F.col("n") > spot_rows).select("spot", F.ceil(F.col("n") / spot_rows).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
-    ka = ka.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    kb = kb.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id_b"), salts).cast("int")).drop("salts")
-    return ka.join(kb, ["key", "salt"]).filter("word_a = 0 or word_a <> word_b").select("id_a", "id_b").distinct()
+    sa = sa.join(hot, "spot", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    sb = sb.join(hot, "spot", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    keyed = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), "spot", "salt", F.explode(F.arrays_zip("title_rows", "title_words")).alias("t")).select(f"id_{s}", F.xxhash64("spot", "salt", "t.title_rows").alias("key"), F.col("t.title_words").alias(f"word_{s}"))
+    return keyed(sa, "a").join(keyed(sb, "b"), "key").filter("word_a = 0 or word_a <> word_b").select("id_a", "id_b").distinct()
 
 
 def _same(a: str, b: str) -> bool:

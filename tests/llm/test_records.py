@@ -258,7 +258,7 @@ def test_titles_of_one_word_with_a_slip_are_candidates(spark):
     schema = "id long, title string, address string, lat double, lon double"
     a, b = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left, right)))
     got = {(x.id_a, x.id_b) for x in matching.candidates(a, b).collect()}
-    assert {(x.id_a, x.id_b) for x in matching.candidates(a, b, key_rows=1).collect()} == got
+    assert {(x.id_a, x.id_b) for x in matching.candidates(a, b, spot_rows=1).collect()} == got
     ta, tb = ({x.id: x.tokens for x in df.collect()} for df in (a, b))
     assert not any("kafe" in t for t in ta.values())
     alike = {(i, 1000 + i) for i in range(300) if any(matching._same(x, y) or x == y for x in ta[i] for y in tb[1000 + i])}
