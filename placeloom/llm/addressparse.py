@@ -59,19 +59,22 @@ _GROUP = re.compile("|".join(SIGNS))
 _ENDING = re.compile(r"(?:aA|AA|iy|yy|oy|oe|ee)$")
 
 
+_CYRILLIC, _LATIN_LETTER = re.compile("[а-я]"), re.compile("[a-z]")
+_TRANSLITERATED = str.maketrans(LATIN)
+
+
 def to_latin(text: str) -> str:
     """Lower case, compatibility forms resolved, look-alikes of a Cyrillic text read as Cyrillic, all transliterated."""
     t = unicodedata.normalize("NFKC", text.replace("№", " no ")).lower().replace("ё", "е")
     t = unicodedata.normalize("NFKC", t)
-    cyr = sum("а" <= c <= "я" for c in t)
-    lat = sum("a" <= c <= "z" for c in t.replace(" no ", " "))
-    if cyr:
+    if _CYRILLIC.search(t) and _LATIN_LETTER.search(t):
+        mostly = len(_CYRILLIC.findall(t)) > len(_LATIN_LETTER.findall(t.replace(" no ", " ")))
         words = re.split(r"([^a-zа-я]+)", t)
         for i, w in enumerate(words):
-            if w and w != "no" and any("a" <= c <= "z" for c in w) and (any("а" <= c <= "я" for c in w) or cyr > lat) and all(not ("a" <= c <= "z") or c in LOOKALIKE for c in w):
+            if w and w != "no" and _LATIN_LETTER.search(w) and (mostly or _CYRILLIC.search(w)) and all(not ("a" <= c <= "z") or c in LOOKALIKE for c in w):
                 words[i] = "".join(LOOKALIKE.get(c, c) for c in w)
         t = "".join(words)
-    return "".join(LATIN.get(c, c) for c in t)
+    return t.translate(_TRANSLITERATED)
 
 
 @lru_cache(maxsize=1 << 16)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ CELL = 0.002
 VOWELS = "aeiouyA"
 #: Rows of one spot that one task pairs.
 SPOT_ROWS = 5_000
+#: Hot spots up to which their table is broadcast.
+SMALL_ROWS = 100_000
 #: Labelled pairs that the classifier is fitted on, at most.
 TRAIN_ROWS = 100_000
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
@@ -65,6 +68,11 @@ def minhash(shingles: set[str], rows: int) -> list[int]:
     return [min(xxhash.xxh3_64_intdigest(s, seed=r) for s in shingles) - (1 << 63) for r in range(rows)] if shingles else []
 
 
+@lru_cache(maxsize=1 << 16)
+def street_rows(word: str) -> list[int]:
+    return minhash(_grams([word]), STREET_ROWS)
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=TITLE_ROWS) - (1 << 63)
 
@@ -82,9 +90,16 @@ def slip_keys(word: str) -> set[int]:
     return {_hash(k) for k in keys}
 
 
+@lru_cache(maxsize=1 << 16)
+def word_keys(word: str) -> tuple[tuple[int, int], ...]:
+    """(key, word): MinHash rows, whose word is 0, and slip keys of a word. Equal words agree in all rows."""
+    own = _hash(word)
+    return *((h, 0) for h in minhash(_grams([word]), TITLE_ROWS)), *((h, own) for h in slip_keys(word))
+
+
 def title_keys(tokens: list[str]) -> list[tuple[int, int]]:
-    """(key, word): MinHash rows, whose word is 0, and slip keys of a title's words. Equal words agree in all rows."""
-    return sorted({(h, 0) for w in tokens for h in minhash(_grams([w]), TITLE_ROWS)} | {(h, _hash(w)) for w in tokens for h in slip_keys(w)})
+    """The keys of a title's words."""
+    return sorted({k for w in tokens for k in word_keys(w)})
 
 
 def addressed(df: DataFrame) -> DataFrame:
@@ -99,7 +114,7 @@ def addressed(df: DataFrame) -> DataFrame:
                 ok = lat is not None and lon is not None and lat == lat and lon == lon and lat != 0 and lon != 0
                 if ok and 36 <= lat <= 39.5:
                     lat, lon = lon, lat
-                out.append((i, title, street, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in minhash(_grams([w]), STREET_ROWS)]))
+                out.append((i, title, street, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in street_rows(w)]))
             types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)], names=[c.split()[0] for c in ROWS.split(", ")])
 
@@ -133,12 +148,13 @@ def titled(left: DataFrame, right: DataFrame) -> DataFrame:
     return words.join(telling, "title", "left").select("title", F.coalesce("telling", "words").alias("tokens"), "numbers").mapInArrow(keyed, TITLES)
 
 
-def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables, from (id, title, address, lat, lon), with the attributes that pairs are compared by."""
+def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both tables, from (id, title, address, lat, lon), with the attributes that pairs are compared by; and the keys of each title."""
     a, b = cut_lineage(addressed(left)), cut_lineage(addressed(right))
     titles = cut_lineage(titled(a, b))
-    whole = lambda df: df.join(titles, "title", "left").drop("title").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
-    return whole(a), whole(b)
+    words = titles.select("title", "tokens", "numbers")
+    whole = lambda df: df.join(words, "title", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
+    return whole(a), whole(b), titles.select("title", "title_rows", "title_words")
 
 
 def placed(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -163,13 +179,15 @@ def _spots(rows: DataFrame, probes: bool) -> DataFrame:
     return here.unionByName(there)
 
 
-def candidates(a: DataFrame, b: DataFrame, spot_rows: int = SPOT_ROWS) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, titles: DataFrame, spot_rows: int = SPOT_ROWS) -> DataFrame:
     """(id_a, id_b): pairs of prepared rows that agree in a spot and a key of the title; equal words meet in MinHash rows alone.
 
     A spot with more than ``spot_rows`` rows of ``b`` is spread by salt: those rows keep one each, rows of ``a`` go to all.
     """
-    sa, sb = _spots(a, False), _spots(b, True)
-    hot = sb.groupBy("spot").agg(F.count("*").alias("n")).filter(F.col("n") > spot_rows).select("spot", F.ceil(F.col("n") / spot_rows).cast("int").alias("salts"))
+    sa, sb = _spots(a.join(titles, "title"), False), _spots(b.join(titles, "title"), True)
+    hot = _spots(b.withColumns({"title_rows": F.array(), "title_words": F.array()}), True).groupBy("spot").agg(F.count("*").alias("n")).filter(F.col("n") > spot_rows).select("spot", F.ceil(F.col("n") / spot_rows).cast("int").alias("salts"))
+    hot = cut_lineage(hot)
+    hot = F.broadcast(hot) if hot.count() <= SMALL_ROWS else hot
     salts = F.coalesce("salts", F.lit(1))
     sa = sa.join(hot, "spot", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     sb = sb.join(hot, "spot", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
@@ -343,10 +361,11 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     pairs the address is hidden, so title, distance and number of rivals are learned by themselves.
     The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash; all pairs are scored.
     """
-    a0, b0 = map(cut_lineage, prepared(left, right))
+    a0, b0, titles = prepared(left, right)
+    a0, b0 = cut_lineage(a0), cut_lineage(b0)
     a1, b1 = cut_lineage(alike_rows(placed(a0, b0))), cut_lineage(alike_rows(placed(b0, a0)))
     a, b = (representatives(x) for x in (a1, b1))
-    seen = cut_lineage(compared(candidates(a, b), a, b).join(a.select(F.col("id").alias("id_a"), "copies"), "id_a"))
+    seen = cut_lineage(compared(candidates(a, b, titles), a, b).join(a.select(F.col("id").alias("id_a"), "copies"), "id_a"))
     rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.sum("copies") - 1).alias("rivals"))
     seen = seen.join(rivals, "id_b", "left").fillna({"rivals": 0})
     label = F.when((F.col("address") == 1) & (F.col("contain") > 0.99) & (F.col("conflict") == 0), 1).when((F.col("address") == -1) | (F.col("contain") < 0.75) | (F.col("conflict") == 1), 0)
