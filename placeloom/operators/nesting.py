@@ -1,140 +1,176 @@
 """Deeply nested records as related flat tables.
 
-Payloads of changing layout are brought to one nested Arrow column (places with source
-records with runs with hits) by a walk over each document. From there on no row is
-touched: a list's offsets give the parent of every child, children are taken from the
-values buffer, and keys go down by a vectorised take.
+The documents of a batch are one table of nodes found in its Arrow buffer (``jsonnodes``).
+What is a place, a source record, a run or a hit is decided for all nodes at once by their
+keys and parents, and the chosen nodes become one nested Arrow column by counting children a
+parent. From there a list's offsets give the parent of every child, children are taken from
+the values buffer, and keys go down by a vectorised take. No row is parsed or walked.
 """
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIT = pa.struct([("page", pa.int64()), ("rank", pa.int64())])
-RUN = pa.struct([("at", pa.int64()), ("hits", pa.list_(HIT))])
-RECORD = pa.struct([(n, pa.string()) for n in ("district", "group", "category", "query")] + [("runs", pa.list_(RUN))])
-PLACE = pa.struct([("place_id", pa.string()), ("title", pa.string()), ("lon", pa.float64()), ("lat", pa.float64()), ("address", pa.string()), ("records", pa.list_(RECORD))])
-
-_ID = re.compile(r"[0-9]{5,}")
-_WORD = re.compile(r"[^\W_]")
-
-
-def _text(v) -> str | None:
-    if v is None or isinstance(v, str):
-        return v
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    return json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else str(v)
-
-
-def _whole(v) -> int | None:
-    if isinstance(v, bool) or not isinstance(v, (int, float, str)):
-        return None
-    try:
-        n = int(v)
-    except (ValueError, OverflowError):
-        return None
-    return n if -(2**63) <= n < 2**63 else None
-
-
-def _number(v) -> float | None:
-    if isinstance(v, bool):
-        return None
-    try:
-        x = float(v)
-    except (TypeError, ValueError, OverflowError):
-        return None
-    return x if abs(x) < float("inf") else None
-
-
-def _place_id(v) -> str | None:
-    if isinstance(v, bool) or not isinstance(v, (int, str)):
-        return None
-    s = str(v)
-    return s if _ID.fullmatch(s) else None
-
-
-def is_place(o: dict) -> bool:
-    """An id of five or more digits, a title with a letter or digit, at least two coordinates."""
-    if _place_id(o.get("id")) is None:
-        return False
-    title = o.get("title")
-    if not isinstance(title, str) or not _WORD.search(title):
-        return False
-    c = o.get("coordinates")
-    return isinstance(c, list) and sum(_number(x) is not None for x in c) >= 2
-
-
-def _looks_like_entity(o: dict) -> bool:
-    return "id" in o and ("title" in o or "coordinates" in o)
-
-
-def _records(v) -> Iterator[dict]:
-    """The source records in a value: a list, a single object, or either as JSON text."""
-    if isinstance(v, str):
-        try:
-            v = json.loads(v)
-        except (ValueError, RecursionError):
-            return
-    for x in v if isinstance(v, list) else [v]:
-        if isinstance(x, dict):
-            yield x
-
-
-def _own_records(place: dict) -> Iterator[dict]:
-    """The records kept for a place, at whatever depth, but not inside another entity in it."""
-    stack = [place]
-    while stack:
-        o = stack.pop()
-        if isinstance(o, dict):
-            if o is not place and _looks_like_entity(o):
-                continue
-            if "source_records" in o:
-                yield from _records(o["source_records"])
-            stack.extend(v for k, v in reversed(o.items()) if k != "source_records" and isinstance(v, (dict, list)))
-        else:
-            stack.extend(v for v in reversed(o) if isinstance(v, (dict, list)))
-
-
-def _items(v) -> list:
-    return v if isinstance(v, list) else [v] if isinstance(v, dict) else []
-
-
-def _record(r: dict) -> dict:
-    runs = [
-        {"at": _whole(x.get("at")), "hits": [{"page": _whole(h.get("page")), "rank": _whole(h.get("rank"))} for h in _items(x.get("hits")) if isinstance(h, dict)]}
-        for x in _items(r.get("runs"))
-        if isinstance(x, dict)
-    ]
-    return {**{n: _text(r.get(n)) for n in ("district", "group", "category", "query")}, "runs": runs}
-
-
-def places_in(payload: str | None) -> list[dict]:
-    """All places of a payload in document order; none where it is not complete JSON."""
-    if not payload:
-        return []
-    try:
-        root = json.loads(payload)
-    except (ValueError, RecursionError):
-        return []
-    out, stack = [], [root] if isinstance(root, (dict, list)) else []
-    while stack:
-        o = stack.pop()
-        if isinstance(o, dict):
-            if is_place(o):
-                xy = [x for x in map(_number, o["coordinates"]) if x is not None]
-                out.append({"place_id": _place_id(o["id"]), "title": o["title"], "lon": xy[0], "lat": xy[1], "address": _text(o.get("address")), "records": [_record(r) for r in _own_records(o)]})
-            stack.extend(v for v in reversed(o.values()) if isinstance(v, (dict, list)))
-        else:
-            stack.extend(v for v in reversed(o) if isinstance(v, (dict, list)))
-    return out
+from placeloom.operators.jsonnodes import ARRAY, OBJECT, SCALAR, STRING, Nodes
+
+FIELDS = ("id", "title", "coordinates", "address", "source_records", "district", "group", "category", "query", "runs", "at", "hits", "page", "rank")
+#: Bytes of documents that are taken apart at a time; a larger document is taken by itself.
+SLICE_BYTES = 8_000_000
+
+
+def _key(name: str) -> int:
+    return FIELDS.index(name)
+
+
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False)
+
+
+def _numbers(nodes: Nodes, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(finite number or NaN, whether it is one): of JSON numbers and of texts that are a number."""
+    texts = nodes.text(which)
+    plain = np.isin(nodes.kind[which], (STRING, SCALAR)) & (which >= 0)
+    good = plain & _matches(texts, r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$")
+    out = np.full(len(which), np.nan)
+    out[good] = np.array(texts.filter(pa.array(good)).to_pylist(), dtype=object).astype(float)
+    return out, good & np.isfinite(out)
+
+
+def _wholes(nodes: Nodes, which: np.ndarray) -> pa.Array:
+    """Whole numbers of nodes, null where there is none or it exceeds 64 bits; fractions of JSON numbers are cut off."""
+    if not len(nodes.kind):
+        return pa.nulls(len(which), pa.int64())
+    texts = pc.utf8_trim_whitespace(nodes.text(which))
+    kind = np.where(which >= 0, nodes.kind[which], -1)
+    whole = np.isin(kind, (STRING, SCALAR)) & _matches(texts, r"^[+-]?[0-9]{1,18}$")
+    fine = pc.replace_substring_regex(pc.if_else(pa.array(whole), texts, pa.scalar(None, pa.string())), r"^\+", "").cast(pa.int64())
+    rest = np.flatnonzero((kind == SCALAR) & ~whole & _matches(texts, r"^-?[0-9]"))
+    if not len(rest):
+        return fine
+    value, good = _numbers(nodes, which[rest])
+    good &= np.abs(value) < 2.0**63
+    cut = [int(v) if g else None for v, g in zip(value.tolist(), good.tolist())]
+    mask = np.zeros(len(which), dtype=bool)
+    mask[rest] = True
+    return pc.replace_with_mask(fine, pa.array(mask), pa.array(cut, pa.int64()))
+
+
+def _items(nodes: Nodes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``values``, node) of the objects in a value: itself, or the objects of a list, in order."""
+    some = np.flatnonzero(values >= 0)
+    owner = np.full(len(nodes.kind) + 1, -1, dtype=np.int64)
+    owner[values[some]] = some
+    listed = np.flatnonzero((nodes.kind == OBJECT) & (owner[nodes.parent] >= 0))
+    listed = listed[nodes.kind[nodes.parent[listed]] == ARRAY]
+    alone = some[nodes.kind[values[some]] == OBJECT]
+    at, node = np.concatenate((owner[nodes.parent[listed]], alone)), np.concatenate((listed, values[alone]))
+    order = np.lexsort((node, at))
+    return at[order], node[order]
+
+
+def _lists(parents: np.ndarray, many: int, values: pa.Array) -> pa.ListArray:
+    """A list for each of ``many`` parents of the values, which are sorted by parent."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(parents, minlength=many))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _record_structs(nodes: Nodes, records: np.ndarray) -> pa.StructArray:
+    """The source records at some nodes with their runs and hits."""
+    child = lambda name, of: nodes.child(_key(name))[of] if len(nodes.kind) else np.full(len(of), -1)
+    of_run, runs = _items(nodes, child("runs", records))
+    of_hit, hits = _items(nodes, child("hits", runs))
+    hit = pa.StructArray.from_arrays([_wholes(nodes, child(n, hits)) for n in ("page", "rank")], names=["page", "rank"])
+    run = pa.StructArray.from_arrays([_wholes(nodes, child("at", runs)), _lists(of_hit, len(runs), hit)], names=["at", "hits"])
+    texts = [nodes.text(child(n, records)) for n in ("district", "group", "category", "query")]
+    return pa.StructArray.from_arrays([*texts, _lists(of_run, len(records), run)], names=["district", "group", "category", "query", "runs"])
+
+
+def _owners(nodes: Nodes, entity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each container the nearest entity it is or lies in, and whether source records of that entity lie between."""
+    n = len(nodes.kind)
+    own, kept = np.full(n + 1, -1, dtype=np.int64), np.zeros(n + 1, dtype=bool)
+    boxes = np.flatnonzero(nodes.kind <= ARRAY)
+    boxes = boxes[np.argsort(nodes.level[boxes], kind="stable")]
+    levels = nodes.level[boxes]
+    edges = np.flatnonzero(np.diff(levels, prepend=-1)).tolist() + [len(boxes)]
+    for a, z in zip(edges, edges[1:]):  # a round for each level of nesting
+        at = boxes[a:z]
+        above = nodes.parent[at]
+        own[at] = np.where(entity[at], at, own[above])
+        kept[at] = ~entity[at] & ((nodes.key[at] == _key("source_records")) | kept[above])
+    return own, kept
+
+
+def nested_places(payloads: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """The places of each payload in document order as one nested column, and which payloads are complete JSON.
+
+    A place is an object with an id of five or more digits, a title with a letter or digit and at least two
+    coordinates. Its records are those under its ``source_records`` at any depth, but not inside another entity
+    (an object with an id and a title or coordinates): a list, a single object, or either as JSON text.
+    """
+    nodes = Nodes(payloads, FIELDS)
+    n = len(nodes.kind)
+    child = {f: nodes.child(_key(f)) for f in ("id", "title", "coordinates", "source_records", "address")}
+    entity = (child["id"] >= 0) & ((child["title"] >= 0) | (child["coordinates"] >= 0))
+    place = np.flatnonzero(entity & (child["title"] >= 0) & (child["coordinates"] >= 0))
+    id_, title, xy = (child[f][place] for f in ("id", "title", "coordinates"))
+    good = (nodes.kind[id_] >= STRING) & (nodes.kind[title] == STRING) & (nodes.kind[xy] == ARRAY)
+    good &= _matches(nodes.text(id_), "^[0-9]{5,}$") & _matches(nodes.text(title), r"[\p{L}\p{N}]")
+    place, xy = place[good], xy[good]
+    # the first two numbers among the coordinates
+    of_list = np.full(n + 1, -1, dtype=np.int64)
+    of_list[xy] = np.arange(len(xy))
+    parts = np.flatnonzero(of_list[nodes.parent] >= 0)
+    value, number = _numbers(nodes, parts)
+    parts, value = parts[number], value[number]
+    at = of_list[nodes.parent[parts]]
+    order = np.argsort(at, kind="stable")
+    at, value = at[order], value[order]
+    many = np.bincount(at, minlength=len(place))
+    begin = np.cumsum(many) - many
+    two = many >= 2
+    lon, lat, place = value[begin[two]], value[begin[two] + 1], place[two]
+
+    place_no = np.full(n + 1, -1, dtype=np.int64)
+    place_no[place] = np.arange(len(place))
+    own, kept = _owners(nodes, entity)
+    # source records by place, in the order of the objects that hold them
+    held = child["source_records"]
+    holder = np.flatnonzero(held >= 0)
+    holder = holder[(place_no[own[holder]] >= 0) & ~kept[holder]]
+    found = held[holder]
+    at, record = _items(nodes, found)
+    said = np.flatnonzero(nodes.kind[found] == STRING)
+    inner = Nodes(nodes.text(found[said]), FIELDS)
+    roots = np.full(len(said), -1, dtype=np.int64)
+    tops = np.flatnonzero(inner.parent < 0)
+    roots[inner.row[tops]] = tops
+    in_text, inner_record = _items(inner, roots)
+    holders = np.concatenate((holder[at], holder[said[in_text]]))
+    order = np.lexsort((np.concatenate((record, inner_record)), holders, place_no[own[holders]]))
+    structs = pa.concat_arrays([_record_structs(nodes, record), _record_structs(inner, inner_record)]).take(pa.array(order))
+    records = _lists(place_no[own[holders]], len(place), structs)
+    columns = {"place_id": nodes.text(child["id"][place]), "title": nodes.text(child["title"][place]), "lon": pa.array(lon), "lat": pa.array(lat), "address": nodes.text(child["address"][place]), "records": records}
+    return _lists(nodes.row[place], len(payloads), pa.StructArray.from_arrays(list(columns.values()), names=list(columns))), nodes.valid
+
+
+def _slices(payloads: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``SLICE_BYTES``; a larger document is a range of its own."""
+    size = pc.fill_null(pc.binary_length(payloads), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if total and total + n > SLICE_BYTES:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(size):
+        yield start, len(size)
 
 
 def flatten_lists(batch: pa.RecordBatch, path: Sequence[str], keys: Sequence[str], outer: bool = False) -> pa.Table:
@@ -155,7 +191,7 @@ def flatten_lists(batch: pa.RecordBatch, path: Sequence[str], keys: Sequence[str
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("int64")
         firsts = sizes.cumsum() - sizes
         rows = parents.to_numpy(zero_copy_only=False)
-        position = pa.array((pa_arange(len(rows)) - firsts[rows] + 1).astype("int32"))
+        position = pa.array((np.arange(len(rows)) - firsts[rows] + 1).astype("int32"))
         values = pc.list_flatten(lists)
         if outer and depth == len(path) - 1:
             empty = (sizes == 0).nonzero()[0]
@@ -174,12 +210,6 @@ def flatten_lists(batch: pa.RecordBatch, path: Sequence[str], keys: Sequence[str
     return pa.table(cols)
 
 
-def pa_arange(n: int):
-    import numpy as np
-
-    return np.arange(n, dtype=np.int64)
-
-
 # The tables that come out, their columns and where they come from.
 TABLES = {
     "places": (("places",), False, {"payload_id": "payload_id bigint", "places.pos": "place_pos int", "places.place_id": "place_id string", "places.title": "title string", "places.lat": "lat double", "places.lon": "lon double", "places.address": "address string"}),
@@ -194,18 +224,18 @@ def flatten_payloads(df: DataFrame, table: str, id_col: str = "payload_id", payl
 
     Children carry the keys of all their parents: payload_id, place_pos, rec_pos, run_pos. A record
     without runs gives one row of run_pos 0. Null, empty and cut-off payloads give nothing; repeated
-    payloads give their rows again; values of another type than expected become null (numbers) or
-    text. No shuffle: a payload is flattened where it is read.
+    payloads give their rows again; numbers of another type become null, texts are given as they stand
+    in the document. Of equal keys in one object the last counts. No shuffle: a payload is flattened where it is read.
     """
     path, outer, columns = TABLES[table]
     schema = ", ".join(columns.values())
 
     def run(batches):
         for b in batches:
-            nested = pa.array([places_in(p) for p in b.column(1).to_pylist()], pa.list_(PLACE))
-            flat = flatten_lists(pa.RecordBatch.from_arrays([b.column(0), nested], names=["payload_id", "places"]), path, ["payload_id"], outer)
-            flat = flat.select(list(columns)).rename_columns([c.split()[0] for c in columns.values()])
-            yield from flat.to_batches()
+            for x, y in _slices(b.column(1)):
+                nested, _ = nested_places(b.column(1).slice(x, y - x))
+                flat = flatten_lists(pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), nested], names=["payload_id", "places"]), path, ["payload_id"], outer)
+                yield from flat.select(list(columns)).rename_columns([c.split()[0] for c in columns.values()]).to_batches()
 
     return df.select(F.col(id_col).cast("long").alias("payload_id"), F.col(payload).cast("string").alias("payload")).mapInArrow(run, schema)
 
@@ -220,15 +250,8 @@ def payload_rows(df: DataFrame, id_col: str = "payload_id", payload: str = "payl
 
     def run(batches):
         for b in batches:
-            found = [places_in(p) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_readable(p) for p in b.column(1).to_pylist()]), pa.array([len(f) for f in found], pa.int32())], names=["payload_id", "readable", "n_places"])
+            for x, y in _slices(b.column(1)):
+                nested, valid = nested_places(b.column(1).slice(x, y - x))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(valid), pc.list_value_length(nested)], names=["payload_id", "readable", "n_places"])
 
     return df.select(F.col(id_col).cast("long").alias("payload_id"), F.col(payload).cast("string").alias("payload")).mapInArrow(run, "payload_id bigint, readable boolean, n_places int")
-
-
-def _readable(payload: str | None) -> bool:
-    try:
-        json.loads(payload or "")
-    except (ValueError, RecursionError):
-        return False
-    return True

@@ -22,18 +22,25 @@ def queries():
 
 # places of each payload with their source records as a JSON array; walks the document as a tree of nodes
 _PLACES = """ok AS (SELECT payload_id, CAST(payload AS JSON) AS j FROM search_payloads WHERE json_valid(payload)),
- nodes AS (SELECT payload_id, t.value AS v FROM ok, json_tree(ok.j) t WHERE t.type = 'OBJECT'),
- place AS (SELECT payload_id, v, v->>'$.id' AS place_id, coalesce(v->'$.source_records', v->'$.provenance.source_records') AS s FROM nodes
+ nodes AS (SELECT payload_id, t.id AS node_at, t.value AS v FROM ok, json_tree(ok.j) t WHERE t.type = 'OBJECT'),
+ place AS (SELECT payload_id, CAST(row_number() OVER (PARTITION BY payload_id ORDER BY node_at) AS INTEGER) AS place_pos, v, v->>'$.id' AS place_id, coalesce(v->'$.source_records', v->'$.provenance.source_records') AS s FROM nodes
   WHERE json_type(v, '$.id') IN ('VARCHAR', 'UBIGINT', 'BIGINT') AND regexp_full_match(v->>'$.id', '[0-9]{5,}') AND json_type(v, '$.title') = 'VARCHAR' AND regexp_matches(v->>'$.title', '[\\p{L}\\p{N}]')
    AND json_type(v, '$.coordinates') = 'ARRAY' AND json_array_length(v, '$.coordinates') >= 2),
  txt AS (SELECT *, CASE json_type(s) WHEN 'VARCHAR' THEN TRY_CAST(s->>'$' AS JSON) ELSE s END AS r FROM place),
- arr AS (SELECT payload_id, place_id, row_number() OVER () AS pid, CASE json_type(r) WHEN 'ARRAY' THEN CAST(r AS JSON[]) WHEN 'OBJECT' THEN [r] ELSE [] END AS recs FROM txt),
- rec AS (SELECT payload_id, place_id, pid, unnest(recs) AS rec, generate_subscripts(recs, 1) AS rec_pos FROM arr),
- run AS (SELECT payload_id, place_id, rec_pos, coalesce(rec->>'$.query', '') AS query_text, CASE WHEN json_type(rec, '$.runs') = 'ARRAY' AND json_array_length(rec, '$.runs') > 0 THEN CAST(rec->'$.runs' AS JSON[]) ELSE [NULL] END AS runs FROM rec)"""
+ arr AS (SELECT payload_id, place_id, place_pos, CASE json_type(r) WHEN 'ARRAY' THEN CAST(r AS JSON[]) WHEN 'OBJECT' THEN [r] ELSE [] END AS recs FROM txt),
+ rec AS (SELECT payload_id, place_id, place_pos, unnest(recs) AS rec, CAST(generate_subscripts(recs, 1) AS INTEGER) AS rec_pos FROM arr),
+ run AS (SELECT payload_id, place_id, place_pos, rec_pos, rec->>'$.query' AS query, coalesce(rec->>'$.query', '') AS query_text, CASE WHEN json_type(rec, '$.runs') = 'ARRAY' AND json_array_length(rec, '$.runs') > 0 THEN CAST(rec->'$.runs' AS JSON[]) ELSE [NULL] END AS runs FROM rec),
+ each AS (SELECT payload_id, place_id, place_pos, rec_pos, query, query_text, unnest(runs) AS x, generate_subscripts(runs, 1) AS i FROM run),
+ runs AS (SELECT payload_id, place_id, place_pos, rec_pos, query, query_text, x, CAST(CASE WHEN x IS NULL THEN 0 ELSE i END AS INTEGER) AS run_pos FROM each)"""
 
 
 def oracle_sql():
     return {
         "p2_found": f"WITH {reference.NEAR}, {reference.INSIDE.replace('WITH ', '')} SELECT 'near' AS kind, id_a, id_b FROM near WHERE metres <= 40 UNION ALL SELECT 'inside', id, region FROM inside",
-        "p4_found": f"WITH {_PLACES}, each AS (SELECT payload_id, place_id, rec_pos, query_text, unnest(runs) AS x, generate_subscripts(runs, 1) AS i FROM run) SELECT payload_id, place_id, CAST(rec_pos AS INTEGER) AS rec_pos, CAST(CASE WHEN x IS NULL THEN 0 ELSE i END AS INTEGER) AS run_pos, query_text FROM each",
+        "p4_found": f"WITH {_PLACES} SELECT payload_id, place_id, rec_pos, run_pos, query_text FROM runs",
+        "p4_payloads": f"WITH {_PLACES}, n AS (SELECT payload_id, count(*) AS n FROM place GROUP BY 1) SELECT p.payload_id, coalesce(json_valid(p.payload), false) AS readable, CAST(coalesce(n.n, 0) AS INTEGER) AS n_places FROM search_payloads p LEFT JOIN n USING (payload_id)",
+        "p4_places": f"WITH {_PLACES} SELECT payload_id, place_pos, place_id, v->>'$.title' AS title, CAST(v->>'$.coordinates[1]' AS DOUBLE) AS lat, CAST(v->>'$.coordinates[0]' AS DOUBLE) AS lon, v->>'$.address' AS address FROM place",
+        "p4_records": f"WITH {_PLACES} SELECT payload_id, place_pos, place_id, rec_pos, rec->>'$.district' AS district, rec->>'$.group' AS group_name, rec->>'$.category' AS category, rec->>'$.query' AS query_text FROM rec",
+        "p4_runs": f"WITH {_PLACES} SELECT payload_id, place_pos, place_id, rec_pos, run_pos, TRY_CAST(x->>'$.at' AS BIGINT) AS run_at, query AS query_text FROM runs",
+        "p4_hits": f"WITH {_PLACES}, h AS (SELECT *, CAST(x->'$.hits' AS JSON[]) AS hs FROM runs WHERE json_type(x, '$.hits') = 'ARRAY'), hit AS (SELECT payload_id, place_pos, place_id, rec_pos, run_pos, unnest(hs) AS hit, CAST(generate_subscripts(hs, 1) AS INTEGER) AS hit_pos FROM h) SELECT payload_id, place_pos, place_id, rec_pos, run_pos, hit_pos, TRY_CAST(hit->>'$.page' AS BIGINT) AS page, TRY_CAST(hit->>'$.rank' AS BIGINT) AS hit_rank FROM hit",
     }
