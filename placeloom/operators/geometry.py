@@ -44,8 +44,9 @@ def ring_is_outer() -> Column:
 
 
 def depth_in_regions(points: DataFrame, id_col: str, districts: DataFrame) -> DataFrame:
-    """(id, region, depth_m): for each point in a region, its distance to the nearest edge of that region."""
+    """(id, region, depth_m): for each point in several regions, its distance to the nearest edge of each."""
     inside = proximity.points_in_regions(points, id_col, districts, "district_id", "geojson")
+    inside = inside.join(inside.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "id", "left_semi")
     pos = proximity.positioned(points, id_col)
     e = edges(districts)
     x, y = F.col("lon"), F.col("lat")
@@ -62,7 +63,8 @@ def best_region(points: DataFrame, id_col: str, districts: DataFrame) -> DataFra
 
     quality: EXACT, AMBIGUOUS, OUTSIDE, NO_COORDINATES.
     """
-    depth = depth_in_regions(points, id_col, districts)
+    inside = proximity.points_in_regions(points, id_col, districts, "district_id", "geojson")
+    depth = inside.join(depth_in_regions(points, id_col, districts), ["id", "region"], "left")
     top = depth.groupBy("id").agg(F.max_by("region", F.struct("depth_m", (-F.col("region")).alias("r"))).alias("region"), F.count("*").alias("n"))
     pos = proximity.positioned(points, id_col).select("id").withColumn("placed", F.lit(True))
     all_ = points.select(F.col(id_col).cast("long").alias("id")).distinct()
@@ -71,10 +73,26 @@ def best_region(points: DataFrame, id_col: str, districts: DataFrame) -> DataFra
     return out.select("id", "region", quality.alias("quality"))
 
 
-def grid_claims(districts: DataFrame, step: float) -> DataFrame:
-    """(claims, cells): how many cells of a grid over all regions lie in so many of them, by the cell's corner."""
+def grid_cells(districts: DataFrame, step: float) -> DataFrame:
+    """(cell_id, latitude, longitude): the corners of a grid over all regions."""
     box = bounds(districts).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     cells = box.select("x0", "y0", F.explode(F.sequence(F.lit(0), F.floor((F.col("x1") - F.col("x0")) / step).cast("int"))).alias("i"), "y1").select("x0", "y0", "i", F.explode(F.sequence(F.lit(0), F.floor((F.col("y1") - F.col("y0")) / step).cast("int"))).alias("j"))
-    pts = cells.select((F.col("i") * 1_000_000 + F.col("j")).cast("long").alias("cell_id"), (F.col("y0") + F.col("j") * step).alias("latitude"), (F.col("x0") + F.col("i") * step).alias("longitude"))
-    held = proximity.points_in_regions(pts, "cell_id", districts, "district_id", "geojson").groupBy("id").agg(F.count("*").alias("claims"))
-    return held.groupBy("claims").agg(F.count("*").alias("cells"))
+    return cells.select((F.col("i") * 1_000_000 + F.col("j")).cast("long").alias("cell_id"), (F.col("y0") + F.col("j") * step).alias("latitude"), (F.col("x0") + F.col("i") * step).alias("longitude"))
+
+
+def _claimed(districts: DataFrame, step: float) -> DataFrame:
+    return proximity.points_in_regions(grid_cells(districts, step), "cell_id", districts, "district_id", "geojson")
+
+
+def grid_claims(districts: DataFrame, step: float) -> DataFrame:
+    """(claims, cells): how many cells of a grid over all regions lie in so many of them, by the cell's corner."""
+    return _claimed(districts, step).groupBy("id").agg(F.count("*").alias("claims")).groupBy("claims").agg(F.count("*").alias("cells"))
+
+
+def pair_overlaps(districts: DataFrame, step: float) -> DataFrame:
+    """(region_a, region_b, cells, per_mille): the cells that two regions claim both, and their share of those that the first claims."""
+    held = _claimed(districts, step)
+    own = held.groupBy(F.col("region").alias("region_a")).agg(F.count("*").alias("own"))
+    a, b = held.withColumnRenamed("region", "region_a"), held.withColumnRenamed("region", "region_b")
+    pairs = a.join(b, "id").filter("region_a < region_b").groupBy("region_a", "region_b").agg(F.count("*").alias("cells"))
+    return pairs.join(own, "region_a").select("region_a", "region_b", "cells", F.floor(1000 * F.col("cells") / F.col("own") + 0.5).alias("per_mille"))

@@ -24,7 +24,7 @@ def level_rank(c: Column) -> Column:
 
 def keyed(df: DataFrame) -> DataFrame:
     """Rows with their stable key; rows without any identity are dropped."""
-    return df.withColumn("key", T.stable_key(F.col("place_id"), F.col("phone"), F.col("title"), F.col("address"), F.col("maps_url"))).filter("key is not null")
+    return df.withColumn("key", T.stable_key(F.col("place_id"), F.col("phone"), F.col("title"), F.col("address"), F.col("maps_url"), F.col("phones") if "phones" in df.columns else None)).filter("key is not null")
 
 
 def merge_records(df: DataFrame, fields: Sequence[str], seq: str, level: str = "detail_level", records: str | None = "source_records") -> DataFrame:
@@ -118,3 +118,14 @@ def prefer(key: str, fields: Sequence[str], *sources: DataFrame) -> DataFrame:
         one = s.select(F.col(key), F.struct(F.lit(i).alias("from_source"), *fields).alias("v"))
         ranked = one if ranked is None else ranked.unionByName(one)
     return ranked.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("v", "v.from_source").alias("v")).select(key, "v.*")
+
+
+def still_pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The queue of list rows that need a card: rows leave it once ``done`` has their key, so work goes on where it stopped."""
+    return rows.filter(needs_card(rows)).join(done.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def with_external(own: DataFrame, external: DataFrame, key: str, origin: str) -> DataFrame:
+    """Own rows and those external ones whose key they lack, with ``origin``; adding the same rows again changes nothing."""
+    fresh = external.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(own.select(key), key, "left_anti")
+    return own.unionByName(fresh.withColumn("origin", F.lit(origin)), allowMissingColumns=True)

@@ -255,3 +255,11 @@ def payload_rows(df: DataFrame, id_col: str = "payload_id", payload: str = "payl
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(valid), pc.list_value_length(nested)], names=["payload_id", "readable", "n_places"])
 
     return df.select(F.col(id_col).cast("long").alias("payload_id"), F.col(payload).cast("string").alias("payload")).mapInArrow(run, "payload_id bigint, readable boolean, n_places int")
+
+
+def entities(df: DataFrame, id_col: str = "payload_id", payload: str = "payload") -> DataFrame:
+    """The places of captured answers, of each id in an answer the first. Texts too short or long for one, or without the words of one, are not looked at."""
+    text = F.col(payload)
+    worth = (F.length(text) >= 32) & (F.octet_length(text) <= 4 * 1024 * 1024) & (text.contains('"coordinates"') | text.contains('"title"'))
+    places = flatten_payloads(df.filter(worth), "places", id_col, payload)
+    return places.groupBy("payload_id", "place_id").agg(F.min_by(F.struct("place_pos", "title", "lat", "lon", "address"), "place_pos").alias("v")).select("payload_id", "place_id", "v.*")

@@ -15,20 +15,29 @@ from placeloom.operators import proximity
 def nearest(left: DataFrame, right: DataFrame, within_m: float) -> DataFrame:
     """(id_a, id_b, metres): for each row of ``left`` the nearest row of ``right`` within a distance, ties by id.
 
-    Both have id, lat, lon. A row looks into the nine cells around it, of the distance's size.
+    Both have id, lat, lon. Cells are bands of latitude as high as the distance, cut into columns that are as
+    wide at the band's own latitude; a row looks into the columns of three bands that its disc reaches, so
+    no pair is missed at any latitude.
     """
     size = within_m / proximity.METRES_PER_DEGREE * 1.0001
-    wide = size * 2.2  # a degree of longitude is at least 0.46 of one of latitude up to 62 degrees
-    cell = lambda c, s: F.floor(F.col(c) / s)
-    b = right.filter("lat is not null and lon is not null").select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), cell("lat", size).alias("y"), cell("lon", wide).alias("x"))
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    a = left.filter("lat is not null and lon is not null").select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.transform(steps, lambda d: cell("lat", size) + d)).alias("y"))
-    a = a.withColumn("x", F.explode(F.transform(steps, lambda d: F.floor(F.col("lon_a") / wide) + d)))
+    band = lambda c: F.floor(F.col(c) / size)
+    wide = F.lit(size) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.col("y") * size)))
+    b = right.filter("lat is not null and lon is not null").select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), band("lat").alias("y"))
+    b = b.withColumn("x", F.floor(F.col("lon_b") / wide))
+    a = left.filter("lat is not null and lon is not null").select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band("lat") + d)).alias("y"))
+    reach = F.least(F.lit(360.0), F.lit(size) / F.greatest(F.lit(1e-6), F.cos(F.radians("lat_a"))))
+    a = a.withColumn("x", F.explode(F.sequence(F.floor((F.col("lon_a") - reach) / wide), F.floor((F.col("lon_a") + reach) / wide))))
     m = T.metres(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     near = a.join(b, ["y", "x"]).select("id_a", "id_b", m.alias("metres")).filter(F.col("metres") <= within_m)
     return near.groupBy("id_a").agg(F.min_by(F.struct("id_b", "metres"), F.struct("metres", "id_b")).alias("m")).select("id_a", "m.id_b", "m.metres")
 
 
+def latest_active(df: DataFrame, key: str, status: str, active: str, at: str) -> DataFrame:
+    """Of each key its last row, by ``at``, among those of one status; null keys are none."""
+    rows = df.filter((F.col(status) == active) & F.col(key).isNotNull())
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns if c != key]), F.col(at)).alias("v")).select(key, "v.*")
+
+
 def best_names(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
     """(id_a, id_b, score): for each row of ``left`` the row of ``right`` whose name stems overlap most, ties by id.
 
@@ -112,3 +121,15 @@ def greedy_entities(df: DataFrame, block: str, order: Sequence[str], stems: str
 
     slim = df.select("id", F.coalesce(F.col(block), F.lit("")).alias("b"), F.col(stems).alias("stems"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     return slim.repartition("b").sortWithinPartitions("b", *[f"o{i}" for i in range(len(order))]).select("id", "b", "stems").mapInPandas(run, schema)
+
+
+def exists_similar(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """(id): rows of ``left`` for which ``right`` has a name of the same place whose stems overlap at least so much.
+
+    Both have id, stems and place ('' for none). Names of equal stems and place are one, so a chain is compared once.
+    """
+    key = F.xxhash64("stems", "place")
+    kinds = lambda df, s: df.filter(F.size("stems") > 0).select(key.alias(f"k{s}"), "stems", "place").distinct().select(f"k{s}", F.size("stems").alias(f"n{s}"), "place", F.explode("stems").alias("s"))
+    shared = kinds(left, "a").join(kinds(right, "b"), ["place", "s"]).groupBy("ka", "kb", "na", "nb").agg(F.count("*").alias("k"))
+    good = shared.filter(F.col("k") >= at_least * F.least("na", "nb")).select("ka").distinct()
+    return left.withColumn("ka", key).join(good, "ka", "left_semi").select("id")

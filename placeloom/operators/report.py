@@ -58,12 +58,16 @@ def nearest_duplicates(pairs: DataFrame, titles: DataFrame, k: int = 3) -> DataF
     return top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda s: s["t"]), "; ").alias("nearest"))
 
 
-def summary(df: DataFrame, by: str, groups: str, phone: str = "phone", site: str = "website", chain_flag: str = "chain_flag") -> DataFrame:
-    """Totals by district and over all ('ИТОГО'): rows, chains, rows with phone and with site."""
+def summary(df: DataFrame, by: str, groups: str, phone: str = "phone", site: str = "website", chain_flag: str = "chain_flag", names: dict[str, str] | None = None) -> DataFrame:
+    """Totals by district and over all ('ИТОГО'): rows, chains, rows with phone and with site, and for each of ``names`` (column: group) the rows of that group.
+
+    A row of several groups counts in each.
+    """
     name = F.coalesce(T.filled(F.trim(F.col(by))), F.lit("—"))
     has = lambda c: F.sum(F.when(~T.is_blank(F.trim(F.col(c))), 1).otherwise(0))
     aggs = [F.count("*").alias("total"), F.sum(F.when(F.col(chain_flag) == "CHAIN", 1).otherwise(0)).alias("chained"), has(phone).alias("with_phone"), has(site).alias("with_site")]
-    del groups
+    parts = F.transform(F.split(F.coalesce(F.col(groups), F.lit("")), r"[|;,/\n]"), lambda x: F.trim(x))
+    aggs += [F.count_if(F.array_contains(parts, g)).alias(c) for c, g in (names or {}).items()]
     per = df.groupBy(name.alias("district")).agg(*aggs)
     return per.unionByName(df.agg(*aggs).withColumn("district", F.lit("ИТОГО")))
 
@@ -114,9 +118,27 @@ def district_numbers(known: DataFrame, names: DataFrame) -> DataFrame:
     return known.select("name", F.col("no").cast("int").alias("no")).unionByName(new)
 
 
-def report_order(df: DataFrame, district: str, groups: str, rubrics: str, title: str, order: list[str]) -> DataFrame:
-    """Rows by district, rank of the first group, rubrics and title, nulls last."""
+def ordered_rows(df: DataFrame, district: str, groups: str, rubrics: str, title: str, order: list[str], id_col: str) -> DataFrame:
+    """Rows with their number ``no`` in the order of a report: by district, rank of the first group, rubrics and title, nulls last, ties by id."""
     label = T.group_label(F.col(groups), order)
     first = F.get(F.split(label, " / "), F.lit(0))
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in order]), first), F.lit(0)), F.lit(99))
-    return df.orderBy(F.col(district).asc_nulls_last(), rank, F.col(rubrics).asc_nulls_last(), F.col(title).asc_nulls_last())
+    keys = {"_sheet": F.lit("all"), "_rank": rank} | {f"_no_{c}": F.col(c).isNull() for c in (district, rubrics, title)}
+    rows = numbered_rows(df.withColumns(keys), "_sheet", [f"_no_{district}", district, "_rank", f"_no_{rubrics}", rubrics, f"_no_{title}", title, id_col])
+    return rows.drop(*keys)
+
+
+def rejected(df: DataFrame, reason: str, phone: str = "phone") -> DataFrame:
+    """Rejected rows as they are exported: the extension split off the phone, chain columns blank, the reason beside them; an error if there is none."""
+    if not df.limit(1).count():
+        raise ValueError("there are no rejected rows")
+    text = lambda: F.lit(None).cast("string")
+    return df.withColumns({"phone_ext": T.phone_extension(F.col(phone)), phone: T.phone_without_extension(F.col(phone)), "chain_size": text(), "chain_flag": text(), "coord_duplicates": text(), "exclude_reason": F.lit(reason)})
+
+
+def sheet_order(names: DataFrame, first: Sequence[str]) -> DataFrame:
+    """(no, name): the sheets of a report, the given ones first in their order, then the others by name."""
+    fixed = F.array(*[F.lit(n) for n in first])
+    every = names.select("name").unionByName(names.sparkSession.createDataFrame([(n,) for n in first], "name string")).distinct()
+    rank = F.coalesce(F.nullif(F.array_position(fixed, F.col("name")), F.lit(0)), F.lit(len(first) + 1))
+    return numbered_rows(every.withColumns({"_sheet": F.lit("all"), "_rank": rank}), "_sheet", ["_rank", "name"]).select("no", "name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
@@ -45,3 +45,9 @@ def roll_up(verdicts: DataFrame) -> DataFrame:
 def verdict_counts(rolled: DataFrame) -> DataFrame:
     """(verdicts, n): organisations by their distinct verdicts."""
     return rolled.groupBy("verdicts").agg(F.count("*").alias("organisations"))
+
+
+def one_group_first(groups: Column, first: str) -> Column:
+    """The distinct groups of a row; a row of the group ``first`` is of that one only."""
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(groups, F.lit("")), r"[|;,/\n]"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.when(F.array_contains(parts, first), F.array(F.lit(first))).otherwise(parts)

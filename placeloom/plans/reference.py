@@ -16,7 +16,7 @@ STOP = ("кафе", "ресторан", "магазин", "продукты")
 KINDS = [("церк|храм|часовн|монастыр|приход", "православие"), ("мечет", "ислам"), ("молитвен|общин", "прочие")]
 # pieces of SQL that several queries share; white space is spelled out as RE2 knows only the ASCII part
 WS = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
-EXT = "(?i)[\\s,;]*\\(?\\s*(?:доб(?:авочный)?|ext|вн)[\\s.:]*([0-9]{1,6})\\s*\\)?\\s*$"
+EXT = "(?i)[\\s,;]*\\(?\\s*(?:доб(?:авочный)?|ext|вн|x)[\\s.:№]*([0-9]{1,6})\\s*\\)?\\s*$"
 
 
 def norm(c: str) -> str:
@@ -37,7 +37,7 @@ def bare_phone(c: str) -> str:
 
 
 KEY = f"""CASE WHEN trim(coalesce(place_id, '')) <> '' THEN 'id:' || trim(place_id)
-  WHEN coalesce({digits('phone')}, '') <> '' AND coalesce({norm('address')}, '') <> '' THEN 'phone-address:' || {digits('phone')} || '|' || {norm('address')}
+  WHEN coalesce({digits("coalesce(nullif(phone, ''), phones)")}, '') <> '' AND coalesce({norm('address')}, '') <> '' THEN 'phone-address:' || {digits("coalesce(nullif(phone, ''), phones)")} || '|' || {norm('address')}
   WHEN coalesce({norm('title')}, '') <> '' AND coalesce({norm('address')}, '') <> '' THEN 'title-address:' || {norm('title')} || '|' || {norm('address')}
   WHEN coalesce(maps_url, '') <> '' THEN 'url:' || maps_url END"""
 RECS = """coalesce(list_filter(list_transform(TRY_CAST(TRY_CAST(source_records AS JSON) AS STRUCT(district VARCHAR, "group" VARCHAR, category VARCHAR, query VARCHAR)[]),
@@ -69,6 +69,18 @@ def _long(c):
     return F.col(c).cast("long")
 
 
+#: Districts that may be named in expressions; beyond, they are no fixed list and an error.
+MAX_DISTRICTS = 1_000
+
+
+def district_names(districts):
+    """The names of the districts in the order of their ids, which go into expressions."""
+    rows = districts.select("district_id", "district_name").limit(MAX_DISTRICTS + 1).collect()
+    if len(rows) > MAX_DISTRICTS:
+        raise ValueError(f"more than {MAX_DISTRICTS} districts")
+    return [r.district_name for r in sorted(rows)]
+
+
 Q: dict[str, tuple] = {}
 
 
@@ -99,13 +111,7 @@ def _(s, d):
     return merge.keyed(_raw(s, d)).select("raw_id", "key")
 
 
-@query("ref_P6_P7_P8_provenance", f"SELECT raw_id, len(r) AS n_records, coalesce(list_reduce(list_filter(list_transform(r, lambda x: trim(x.d)), lambda x: x <> ''), lambda a, b: CASE WHEN list_contains(string_split(a, ' | '), b) THEN a ELSE a || ' | ' || b END, ''), '') AS districts FROM (SELECT raw_id, {RECS} AS r FROM raw_places)".replace(", '')", ", '')").replace("list_reduce(list_filter", "list_reduce(list_prepend('', list_filter").replace("lambda x: x <> ''), lambda a", "lambda x: x <> '')), lambda a").replace("THEN a ELSE a || ' | ' || b END, '')", "THEN a WHEN a = '' THEN b ELSE a || ' | ' || b END)"))
-def _(s, d):
-    r = T.source_records(F.col("source_records"))
-    return _raw(s, d).select("raw_id", F.size(r).cast("long").alias("n_records"), T.unique_joined(F.transform(r, lambda x: x["district"])).alias("districts"))
-
-
-@query("ref_P10_id_from_url", "SELECT raw_id, CASE WHEN maps_url LIKE '%/org/%' THEN nullif(list_last(list_filter(string_split(regexp_extract(split_part(split_part(maps_url, '?', 1), '#', 1), '/org/.*$'), '/'), lambda x: regexp_full_match(x, '[0-9]{5,}'))), '') END AS url_id FROM raw_places")
+@query("ref_P10_id_from_url", "SELECT raw_id, CASE WHEN lower(maps_url) LIKE '%/org/%' THEN nullif(list_last(list_filter(string_split(regexp_extract(split_part(split_part(maps_url, '?', 1), '#', 1), '(?i)/org/.*$'), '/'), lambda x: regexp_full_match(x, '[0-9]{5,}'))), '') END AS url_id FROM raw_places")
 def _(s, d):
     return _raw(s, d).select("raw_id", T.place_id_from_url(F.col("maps_url")).alias("url_id"))
 
@@ -120,9 +126,13 @@ def _(s, d):
     return _final(s, d).select("final_id", T.norm_address(F.col("address"), "велегорск").alias("addr"), T.first_rubric(F.col("categories")).alias("rubric"))
 
 
-_STREET = f"list_aggregate(list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace({norm('v')}, '[^а-я0-9 -]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({', '.join(chr(39) + w + chr(39) for w in T.STREET_WORDS)}))), 'string_agg', ' ')"
-_HOUSE = norm("h")
-for _rx, _to in (("(владение|вл\\.?|дом|д\\.|№)", ""), ("(корпус|корп\\.?|к\\.)", "к"), ("(строение|стр\\.?|с\\.)", "с"), ("[ ,.]+", "")):
+# Words for kinds of street, as the survey lists them.
+_KINDS_OF_STREET = "улица ул проспект пр-кт просп пр переулок пер бульвар б-р бул шоссе ш проезд пр-д площадь пл набережная наб тупик аллея линия пр-т"
+_STREET = f"list_aggregate(list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace({norm('v')}, '[^а-я0-9 -]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains(string_split('{_KINDS_OF_STREET}', ' '), w))), 'string_agg', ' ')"
+# figures and letters only, then the words before figures one after another
+_HOUSE = f"regexp_replace({norm('h')}, '[^0-9а-яa-z/-]+', ' ', 'g')"
+_HOUSE = f"regexp_replace(regexp_replace({_HOUSE}, '([0-9])([а-яa-z])', '\\1 \\2', 'g'), '([а-яa-z])([0-9])', '\\1 \\2', 'g')"
+for _rx, _to in (("(^|[ /-])(дом|д|владение|вл) ([0-9])", "\\1\\3"), ("(^|[ /-])(корпус|корп|к) ([0-9])", "\\1к\\3"), ("(^|[ /-])(строение|стр|с) ([0-9])", "\\1с\\3"), (" +", "")):
     _HOUSE = f"regexp_replace({_HOUSE}, '{_rx}', '{_to}', 'g')"
 
 
@@ -149,9 +159,9 @@ def _(s, d):
     return _final(s, d).select("final_id", T.group_label(F.col("detected_category_group"), GROUPS).alias("label"))
 
 
-@query("ref_P18_P27_numbers_points", f"SELECT raw_id, TRY_CAST(substr(phone, 1, 2) AS BIGINT) AS lead, CASE WHEN latitude IS NULL OR longitude IS NULL THEN '' ELSE CAST(CAST(floor(latitude * 10000 + 0.5) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(floor(longitude * 10000 + 0.5) AS BIGINT) AS VARCHAR) || '|' || {norm(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')} END AS point FROM raw_places")
+@query("ref_P27_points", f"SELECT raw_id, CASE WHEN latitude IS NULL OR longitude IS NULL THEN '' ELSE CAST(CAST(floor(latitude * 10000 + 0.5) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(floor(longitude * 10000 + 0.5) AS BIGINT) AS VARCHAR) || '|' || {norm(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')} END AS point FROM raw_places")
 def _(s, d):
-    return _raw(s, d).select("raw_id", F.expr("try_cast(substr(phone, 1, 2) as bigint)").alias("lead"), T.point_key(F.col("latitude"), F.col("longitude"), F.col("title")).alias("point"))
+    return _raw(s, d).select("raw_id", T.point_key(F.col("latitude"), F.col("longitude"), F.col("title")).alias("point"))
 
 
 _STEMS = f"list_sort(list_distinct(list_transform(list_filter(string_split(regexp_replace(regexp_replace({norm('title')}, '\\([^)]*\\)', ' ', 'g'), '[^а-я0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(chr(39) + w + chr(39) for w in STOP)})), lambda w: substr(w, 1, 6))))"
@@ -171,12 +181,6 @@ def _(s, d):
 # sources and filters
 
 
-@query("ref_S5_zipped_records", "SELECT raw_id, greatest(len(string_split(coalesce(source_district, ''), '|')), len(string_split(coalesce(source_group, ''), '|')), len(string_split(coalesce(source_category, ''), '|')), len(string_split(coalesce(source_query, ''), '|'))) AS n FROM raw_places WHERE coalesce(source_district, '') || coalesce(source_group, '') || coalesce(source_category, '') || coalesce(source_query, '') <> ''")
-def _(s, d):
-    r = T.zipped_records(F.col("source_district"), F.col("source_group"), F.col("source_category"), F.col("source_query"))
-    return _raw(s, d).select("raw_id", F.size(r).cast("long").alias("n")).filter("n > 0")
-
-
 @query("ref_S16_address_index", f"SELECT street, house, arg_max(lat, osm_id) AS lat, arg_max(lon, osm_id) AS lon FROM (SELECT osm_id, lat, lon, coalesce({_STREET}, '') AS street, {_HOUSE} AS house FROM ({_TAGGED}) WHERE v IS NOT NULL AND h IS NOT NULL) GROUP BY ALL")
 def _(s, d):
     t = _tagged(s, d).filter("v is not null and h is not null").select("osm_id", "lat", "lon", T.street_key(F.col("v")).alias("street"), T.house_key(F.col("h")).alias("house"))
@@ -294,16 +298,6 @@ def _(s, d):
     return geometry.bounds(table(s, d, "districts"))
 
 
-@query("ref_A24_A25_grid_claims")
-def _(s, d):
-    return geometry.grid_claims(table(s, d, "districts"), 0.004)
-
-
-@query("ref_A26_areas")
-def _(s, d):
-    return geometry.areas(table(s, d, "districts"))
-
-
 @query("ref_J9_near_duplicates", f"WITH {NEAR}, c AS (SELECT final_id, {norm('string_split(categories, chr(44))[1]')} AS r FROM final_filtered), s AS (SELECT id_a, id_b FROM near JOIN c a ON a.final_id = id_a JOIN c b ON b.final_id = id_b WHERE metres <= 40 AND a.r = b.r AND a.r <> '') SELECT id_a AS id, id_b AS other FROM s UNION ALL SELECT id_b, id_a FROM s")
 def _(s, d):
     return report.near_duplicates(_final(s, d), "final_id").select("id", "other")
@@ -414,12 +408,6 @@ def _(s, d):
     return r.unionByName(table(s, d, "query_list").select(F.col("group_name").alias("g"))).filter("trim(g) <> ''").select(T.normalize(F.col("g")).alias("group_name")).distinct()
 
 
-@query("ref_A27_status_counts", "SELECT coalesce(tags['amenity'], tags['shop'], tags['man_made'], '—') AS kind, count(*) AS n FROM osm_places GROUP BY 1")
-def _(s, d):
-    tag = lambda k: F.try_element_at("tags", F.lit(k))
-    return table(s, d, "osm_places").groupBy(F.coalesce(tag("amenity"), tag("shop"), tag("man_made"), F.lit("—")).alias("kind")).agg(F.count("*").alias("n"))
-
-
 # windows, order, sets
 
 
@@ -444,22 +432,11 @@ def _(s, d):
     return _raw(s, d).select("raw_id").orderBy("raw_id").offset(500).limit(500)
 
 
-@query("ref_O3_O7_report_order", "SELECT final_id FROM final_filtered")
-def _(s, d):
-    return report.report_order(_final(s, d), "detected_district", "detected_category_group", "categories", "title", GROUPS).select("final_id")
-
-
 @query("ref_O4_chains_by_size", f"SELECT {norm('title')} AS name, count(*) AS n FROM final_filtered WHERE {norm('title')} <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
 def _(s, d):
     return _final(s, d).select(T.normalize(F.col("title")).alias("name")).filter("name <> ''").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(20)
 
 
-@query("ref_U1_U2_union_registers", "SELECT 0 AS part, count(*) AS n FROM final_filtered UNION ALL SELECT 1, count(*) FROM raw_places UNION ALL SELECT 2, count(*) FROM osm_places")
-def _(s, d):
-    u = merge.union_registers(_final(s, d).select("title"), _raw(s, d).select("title", "email"), _tagged(s, d).select(F.col("name").alias("title")))
-    return u.groupBy("part").agg(F.count("*").alias("n"))
-
-
 @query("ref_U4_common_stems", f"WITH s AS (SELECT final_id, {_STEMS} AS a, list_sort(list_distinct(list_transform(list_filter(string_split(regexp_replace(regexp_replace({norm('categories')}, '\\([^)]*\\)', ' ', 'g'), '[^а-я0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(chr(39) + w + chr(39) for w in STOP)})), lambda w: substr(w, 1, 6)))) AS b FROM final_filtered) SELECT final_id, len(list_intersect(a, b)) AS n FROM s WHERE a IS NOT NULL AND b IS NOT NULL")
 def _(s, d):
     f = _final(s, d).select("final_id", T.name_key(F.col("title"), STOP).alias("a"), T.name_key(F.col("categories"), STOP).alias("b")).filter("a is not null and b is not null")
@@ -500,26 +477,19 @@ def _(s, d):
 
 @query("ref_S6_S7_P9_X1_entities")
 def _(s, d):
-    return nesting.flatten_payloads(table(s, d, "search_payloads"), "places")
+    return nesting.entities(table(s, d, "search_payloads")).select("payload_id", "place_id", "title", "lat", "lon", "address")
 
 
 @query("ref_F3_district_in_text", "SELECT raw_id, coalesce(CASE " + " ".join(f"WHEN contains({norm('address')}, (SELECT {norm('district_name')} FROM districts WHERE district_id = {i})) THEN {i}" for i in range(1, 13)) + " END, 0) AS named FROM raw_places")
 def _(s, d):
-    names = table(s, d, "districts").select("district_id", T.normalize(F.col("district_name")).alias("n")).limit(1000).collect()  # a fixed list
-    return _raw(s, d).select("raw_id", F.coalesce(T.first_contained(F.col("address"), sorted((r.district_id, r.n) for r in names)), F.lit(0)).alias("named"))
+    return _raw(s, d).select("raw_id", F.coalesce(T.first_contained(F.col("address"), list(enumerate(map(str.lower, district_names(table(s, d, "districts"))), 1))), F.lit(0)).alias("named"))
 
 
-@query("ref_P20_recapitalise")
+@query("ref_P20_recapitalise", "SELECT final_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND w[i - 1] IN ('в', 'во', 'на') THEN upper(x[1]) || lower(x[2:]) ELSE x END), ' ') AS name FROM (SELECT final_id, string_split(lower(title), ' ') AS w FROM final_filtered)")
 def _(s, d):
     return _final(s, d).select("final_id", T.title_case_after(F.col("title")).alias("name"))
 
 
-@query("ref_P23_P24_district_view", f"WITH {RINGS}, b AS (SELECT region, min(ax) AS x0, min(ay) AS y0, max(ax) AS x1, max(ay) AS y1 FROM edges GROUP BY 1) SELECT region, CAST(floor((x0 + x1) / 2 * 1000000 + 0.5) AS BIGINT) AS lon_e6, CAST(least(16, greatest(11, floor(least(log2(360.0 / (x1 - x0)), log2(170.0 / (y1 - y0)))))) AS BIGINT) AS zoom FROM b")
-def _(s, d):
-    b = geometry.bounds(table(s, d, "districts"))
-    return b.select("region", F.floor((F.col("x0") + F.col("x1")) / 2 * 1000000 + 0.5).alias("lon_e6"), T.zoom_of(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("long").alias("zoom"))
-
-
 @query("ref_P28_group_labels", f"SELECT final_id, coalesce(nullif(array_to_string(list_filter([CASE WHEN {norm('categories')} LIKE '%кафе%' OR {norm('categories')} LIKE '%ресторан%' THEN 'food' END, CASE WHEN {norm('categories')} LIKE '%магазин%' THEN 'retail' END], lambda x: x IS NOT NULL), ' / '), ''), '—') AS label FROM final_filtered")
 def _(s, d):
     g = T.groups_of_rubrics(F.col("categories"), {"food": ["кафе", "ресторан"], "retail": ["магазин"]})
@@ -532,19 +502,6 @@ def _(s, d):
     return _raw(s, d).filter("address is not null").select("raw_id", F.regexp_extract(a, "(?:^|[ ,;])([а-яё-]+ (?:улица|проспект|проезд|переулок|шоссе|бульвар|набережная))", 1).alias("street"), F.substring(F.regexp_extract("address", "(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)", 1), 1, 5).alias("post"))
 
 
-@query("ref_J14_J19_lookup", "SELECT f.final_id, d.district_id FROM final_filtered f LEFT JOIN districts d ON d.district_name = trim(f.detected_district)")
-def _(s, d):
-    names = table(s, d, "districts").select("district_id", "district_name")
-    return _final(s, d).join(F.broadcast(names), F.trim("detected_district") == F.col("district_name"), "left").select("final_id", "district_id")
-
-
-@query("ref_J20_exists_similar", f"WITH s AS (SELECT final_id, {_STEMS} AS stems FROM final_filtered WHERE title IS NOT NULL), o AS (SELECT osm_id, {_STEMS} AS stems FROM (SELECT osm_id, tags['name'] AS title FROM osm_places) WHERE title IS NOT NULL) SELECT osm_id FROM o WHERE EXISTS (SELECT 1 FROM s WHERE list_has_any(o.stems, s.stems) AND len(list_intersect(o.stems, s.stems)) / greatest(1, least(len(o.stems), len(s.stems))) >= 0.8)")
-def _(s, d):
-    stems = lambda df, i, t: df.filter(F.col(t).isNotNull()).select(F.col(i).alias("id"), T.name_key(F.col(t), STOP).alias("stems"))
-    best = reconcile.best_names(stems(_tagged(s, d), "osm_id", "name"), stems(_final(s, d), "final_id", "title"), 0.8)
-    return best.select(F.col("id_a").alias("osm_id"))
-
-
 @query("ref_A11_run_metadata", "SELECT export_batch_status AS status, count(*) AS n_rows, max(export_queries_total) AS total, max(export_queries_completed) AS completed, coalesce(array_to_string(list_sort(list_distinct(list(export_warnings) FILTER (WHERE coalesce(export_warnings, '') <> ''))), ' | '), '') AS warnings FROM raw_places GROUP BY 1")
 def _(s, d):
     w = F.array_join(F.array_sort(F.collect_set(T.filled(F.col("export_warnings")))), " | ")
@@ -560,11 +517,6 @@ def _(s, d):
 # event streams
 
 
-@query("ref_T2_first_seen", "SELECT user_id, min(ts) AS first_ts FROM events GROUP BY 1")
-def _(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
-
-
 @query("ref_T5_T6_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS n, min(ts) AS started FROM g GROUP BY user_id, k")
 def _(s, d):
     from placeloom.streaming import ingest

@@ -6,14 +6,21 @@ import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
 
 BOM = "﻿"
 # Header names of query lists, Russian and English.
-QUERY_HEADERS = {"district": ("district", "район", "округ"), "group_name": ("group", "группа"), "category": ("category", "категория"), "query_text": ("query", "запрос")}
+QUERY_HEADERS = {
+    "district": ("district", "район", "округ"),
+    "group_name": ("group", "группа"),
+    "category": ("category", "категория", "подкатегория", "category / subcategory"),
+    "query_text": ("query", "запрос", "search", "search_query", "source_query", "поисковый запрос"),
+}
+#: Queries that a list may have: it is a worklist written by people, numbered in one place.
+MAX_QUERIES = 1_000_000
 NUMERIC = {"rating": "double", "latitude": "double", "longitude": "double", "review_count": "int", "photos": "int", "source_queries_count": "int"}
 
 
@@ -36,7 +43,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
         sep = sniff_delimiter(first[0]["value"].lstrip(BOM))
     df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
     names = [c.lstrip(BOM).strip().strip('"') for c in df.columns]
-    df = df.toDF(*names)
+    df = df.toDF(*names).select(*[F.regexp_replace(F.col(f"`{c}`"), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "").alias(c) for c in names])
     return df.filter(F.coalesce(*[T.filled(F.trim(F.col(f"`{c}`"))) for c in names]).isNotNull())
 
 
@@ -49,9 +56,10 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def query_list(df: DataFrame) -> DataFrame:
-    """(position, district, group_name, category, query_text) of a query list, blank and repeated queries dropped.
+    """(id, position, district, group_name, category, query_text, status) of a query list, blank and repeated queries dropped.
 
-    A raw export (it has place_id or maps_url) is refused.
+    The id names the line of the file and the place among the queries kept. A raw export (it has place_id or
+    maps_url) and a list of sources (primary_source or selection_rule) are refused, as is a list without queries.
     """
     lower = {c.lower(): c for c in df.columns}
     if {"place_id", "maps_url"} & set(lower):
@@ -59,13 +67,18 @@ def query_list(df: DataFrame) -> DataFrame:
     cols = []
     for name, aliases in QUERY_HEADERS.items():
         found = next((lower[a] for a in aliases if a in lower), None)
-        cols.append((F.col(f"`{found}`") if found else F.lit("")).alias(name))
+        cols.append((F.coalesce(F.trim(F.col(f"`{found}`")), F.lit("")) if found else F.lit("")).alias(name))
     if not any(a in lower for a in QUERY_HEADERS["query_text"]):
-        raise ValueError("the list has no column of queries")
-    rows = df.select(F.monotonically_increasing_id().alias("position"), *cols).filter(F.trim(F.coalesce("query_text", F.lit(""))) != "")
-    keys = [T.normalize(F.coalesce(F.col(c), F.lit(""))).alias(f"k{i}") for i, c in enumerate(QUERY_HEADERS)]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct("position", *QUERY_HEADERS), "position").alias("r"))
-    return first.select("r.*")
+        raise ValueError("this is a list of sources, not of queries" if {"primary_source", "selection_rule"} & set(lower) else "the list has no column of queries")
+    rows = df.select(F.monotonically_increasing_id().alias("at"), *cols)
+    n = rows.limit(MAX_QUERIES + 1).count()
+    if n > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries")
+    line = F.row_number().over(Window.orderBy("at"))  # bounded above
+    keys = [T.normalize(F.col(c)).alias(f"k{i}") for i, c in enumerate(QUERY_HEADERS)]
+    first = rows.withColumn("line", line).filter("query_text <> ''").groupBy(*keys).agg(F.min_by(F.struct("line", *QUERY_HEADERS), "line").alias("r")).select("r.*")
+    numbered = first.withColumn("position", F.row_number().over(Window.orderBy("line")))
+    return numbered.select(F.format_string("q-%d-%d", F.col("line") + 1, "position").alias("id"), "position", *QUERY_HEADERS, F.lit("PENDING").alias("status"))
 
 
 def raw_export(df: DataFrame) -> DataFrame:
@@ -77,7 +90,7 @@ def raw_export(df: DataFrame) -> DataFrame:
         raise ValueError("an export needs place_id, maps_url or title")
     for c, kind in NUMERIC.items():
         if c in df.columns:
-            df = df.withColumn(c, F.expr(f"try_cast(replace(trim(`{c}`), ',', '.') as double)").cast(kind))
+            df = df.withColumn(c, T.number(F.col(c).cast("string"), kind))
     if {"latitude", "longitude"} <= set(df.columns):
         w = F.coalesce(F.col("latitude").between(36.0, 39.5) & F.col("longitude").between(54.5, 57.0), F.lit(False))
         lat, lon = F.when(w, F.col("longitude")).otherwise(F.col("latitude")), F.when(w, F.col("latitude")).otherwise(F.col("longitude"))
@@ -86,11 +99,19 @@ def raw_export(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(*known).isNotNull())
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(name, geojson) of a GeoJSON FeatureCollection."""
+def read_features(spark: SparkSession, path: str, names: Sequence[str] = ("NAME", "name", "name:ru", "district")) -> DataFrame:
+    """(pos, name, geojson) of a GeoJSON FeatureCollection; the name is the first of the given properties that is not blank."""
     doc = spark.read.text(path, wholetext=True)
-    feature = F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>"))
-    return doc.select(feature.alias("f")).select(F.coalesce(F.get_json_object("f", "$.properties.name"), F.get_json_object("f", "$.properties.NAME")).alias("name"), F.get_json_object("f", "$.geometry").alias("geojson"))
+    feature = F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("pos", "f")
+    named = F.coalesce(*[T.filled(F.get_json_object("f", f"$.properties['{n}']")) for n in names])
+    return doc.select(feature).select("pos", named.alias("name"), F.get_json_object("f", "$.geometry").alias("geojson"))
+
+
+def features_of(features: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, geojson): for each known name, by lower case with ё as е, the first feature that has it and a geometry."""
+    fold = lambda c: T.normalize(F.col(c)).alias("k")
+    first = features.filter("name is not null and geojson is not null").groupBy(fold("name")).agg(F.min_by("geojson", "pos").alias("geojson"))
+    return names.select("name", fold("name")).join(first, "k").select("name", "geojson")
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +154,38 @@ def write_export(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 def write_books(df: DataFrame, path: str, by: str) -> None:
     """One folder of files per value of ``by``."""
-    df.write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
+    df.write.mode("overwrite").partitionBy(by).option("header", True).option("escape", '"').csv(path)
+
+
+def books(df: DataFrame, by: str, common: DataFrame | None = None) -> DataFrame:
+    """Rows with ``book``, 'NN name', by the sorted names of ``by``; rows of ``common`` go to every book.
+
+    Names are those of districts, numbered in one place; more than ``MAX_QUERIES`` of them are an error.
+    """
+    name = F.coalesce(T.filled(F.trim(F.col(by))), F.lit("—"))
+    names = df.select(name.alias("_name")).distinct()
+    if names.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} books")
+    numbered = names.withColumn("book", F.format_string("%02d %s", F.row_number().over(Window.orderBy("_name")), "_name"))
+    out = df.withColumn("_name", name).join(numbered, "_name").drop("_name")
+    if common is not None:
+        out = out.unionByName(common.withColumn("_one", F.lit(1)).join(numbered.select("book", F.lit(1).alias("_one")), "_one").drop("_one"), allowMissingColumns=True)
+    return out
+
+
+def write_plain(df: DataFrame, path: str) -> None:
+    """A folder of delimited files without the columns whose names begin with _, cells quoted only where they must be, CRLF."""
+    mark = F.col
+    cell = lambda c: F.coalesce(mark(f"`{c}`").cast("string"), F.lit(""))
+    quoted = lambda c: F.when(cell(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell(c))
+    kept = [c for c in df.columns if not c.startswith("_")]
+    df.select(F.concat(F.concat_ws(",", *[quoted(c) for c in kept]), F.lit("\r")).alias("line")).write.mode("overwrite").text(path)
+
+
+def read_exported(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A folder that ``write_export`` or ``write_plain`` wrote, which has no header: all columns text, empty cells null."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.csv(path, schema=schema, quote='"', escape='"', multiLine=True, lineSep="\r\n", emptyValue=None, nullValue="")
 
 
 def with_run(df: DataFrame, status: str, total: int, completed: int, low: int, warnings: Sequence[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
 from placeloom.operators import geometry, merge, quality, reconcile, report
-from placeloom.plans import reference
+from placeloom.operators.store import Register
+from placeloom.plans import reference, register
 from placeloom.sources import files
 from placeloom.streaming import ingest
 
@@ -20,13 +21,17 @@ def _canon(df):
     return sorted(tuple(num(cell(v)) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(reference.oracle_sql()))
+SQL = reference.oracle_sql() | register.oracle_sql()
+QUERIES = reference.queries() | register.queries()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
-    want = con.sql(reference.oracle_sql()[name]).df()
-    got = reference.queries()[name](spark, DATA).toPandas()
+    want = con.sql(SQL[name]).df()
+    got = QUERIES[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = (x.astype(object).where(x.notna(), None) for x in (got, want))
     assert _canon(a) == _canon(b)
@@ -122,8 +127,7 @@ def test_stream_of_captures_equals_one_batch(spark, tmp_path):
     df.repartitionByRange(3, "raw_id").write.parquet(str(tmp_path / "in"))
     q = ingest.merge_stream(ingest.read_stream(spark, str(tmp_path / "in"), df), str(tmp_path / "state"), ("title", "phone"), "raw_id", str(tmp_path / "ck"))
     q.awaitTermination(120)
-    last = max(int(n[1:]) for n in os.listdir(tmp_path / "state"))
-    got = sorted(map(tuple, ingest.merged_state(spark, str(tmp_path / "state"), last, ("title", "phone")).collect()), key=str)
+    got = sorted(map(tuple, ingest.merged_state(spark, str(tmp_path / "state"), None, ("title", "phone")).collect()), key=str)
     want = merge.merge_records(merge.keyed(df), ("title", "phone"), "raw_id", records=None).select("key", "title", "phone", "n_rows")
     assert got == sorted(map(tuple, want.collect()), key=str)
 
@@ -135,3 +139,56 @@ def test_areas_add_parts_and_subtract_openings(spark):
     km2 = lambda side, y: side * side * 111.32**2 * math.cos(math.radians(y + side / 2))
     want = {1: 2 * km2(4, 0) - km2(1, 1) - km2(2, 1), 2: km2(4, 0) - km2(1, 1), 3: km2(4, 0) + km2(2, 0)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 * want[k] for k in want), (got, want)
+
+
+def test_nearest_misses_no_pair_at_any_latitude(spark):
+    rows = [(i, lat, 30.0 + i * 0.0003) for i, lat in enumerate([0.0, 55.7, 68.9, 78.2, 84.9, -72.3])]
+    other = [(100 + i, lat + 0.0004, lon + 0.0009 / math.cos(math.radians(lat))) for i, lat, lon in rows] + [(900, None, 1.0)]
+    a, b = (spark.createDataFrame(x, "id long, lat double, lon double") for x in (rows, other))
+    far = lambda x, y: math.hypot((x[1] - y[1]) * 111320, (x[2] - y[2]) * 111320 * math.cos(math.radians(x[1])))
+    want = {x[0]: y[0] for x in rows for y in other[:-1] if far(x, y) <= 120}
+    assert len(want) == len(rows) and {r.id_a: r.id_b for r in reconcile.nearest(a, b, 120.0).collect()} == want
+
+
+def test_house_numbers_in_one_writing(spark):
+    rows = [("д5", "5"), ("дом 5 корпус 2 стр.1", "5к2с1"), ("5К2С1", "5к2с1"), ("вл. 12д к. 3", "12дк3"), ("5/7", "5/7"), ("№ 8", "8"), ("", "")]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "h string")
+    assert [r[0] for r in df.select(T.house_key(F.col("h"))).collect()] == [b for _, b in rows]
+
+
+def test_districts_named_in_texts(spark):
+    names = ["Ясенево", "Тёплый Стан", "Коньково"]
+    rows = [("Храм в Ясеневе", "Ясенево", "Ясенево"), ("улица, тёплый стан", "", "Тёплый Стан"), ("район «Коньково»", "", "Коньково"), ("на углу", "", ""), (None, "", "")]
+    df = spark.createDataFrame([(a,) for a, _, _ in rows], "t string")
+    got = df.select(F.coalesce(T.district_in_name(F.col("t"), names), F.lit("")), T.district_mentioned(F.col("t"), names)).collect()
+    assert [tuple(r) for r in got] == [(b, c) for _, b, c in rows]
+
+
+def test_a_register_keeps_first_values_and_empties_what_depends(spark, tmp_path):
+    reg = Register(spark, str(tmp_path / "reg"), ("title", "phone", "website", "categories", "opening_hours"))
+    cols = "raw_id long, place_id string, phone string, phones string, title string, address string, maps_url string, website string, categories string, opening_hours string, detail_level string"
+    assert [tuple(r) for r in reg.stats().collect()] == [("raw", 0, 0, 0), ("final", 0, 0, 0), ("rejected", 0, 0, 0)]
+    reg.put_raw(spark.createDataFrame([(5, "1", "", None, "A", "x", "", "", "", "", "LIST"), (6, "2", "7", None, "B", "y", "", "", "", "", "LIST")], cols), "raw_id")
+    reg.put_raw(spark.createDataFrame([(1, "1", "8", None, "Z", "x", "", "w", "c", "h", "CARD"), (2, None, None, None, None, None, None, None, None, None, None)], cols), "raw_id")
+    got = {r.key: (r.title, r.phone, r.detail_level, r.hits) for r in reg.table("raw").collect()}
+    assert got == {"id:1": ("A", "8", "CARD", 2), "id:2": ("B", "7", "LIST", 1)}
+    reg.put("final", spark.createDataFrame([("id:1", "A"), (None, "B")], "key string, title string"))
+    reg.put("final", spark.createDataFrame([("id:1", "C"), ("id:9", "D")], "key string, title string"))
+    assert sorted(map(tuple, reg.table("final").collect())) == [("id:1", "C"), ("id:9", "D")]
+    assert [tuple(r) for r in reg.stats().collect()] == [("raw", 2, 3, 1), ("final", 2, 0, 0), ("rejected", 0, 0, 0)]
+    assert [r.key for r in reg.page("raw", 1, 5).collect()] == ["id:2"] and reg.get(spark.createDataFrame([("2",), ("7",)], "place_id string")).count() == 1
+    reg.clear("raw")
+    assert [r.n_rows for r in reg.stats().collect()] == [0, 0, 0]
+    with pytest.raises(ValueError):
+        reg.put("other", reg.table("final"))
+
+
+def test_query_lists_and_exports_are_told_apart(spark):
+    make = lambda *names: spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
+    for names, word in ((("maps_url", "query"), "export of places"), (("primary_source",), "sources"), (("x",), "no column")):
+        with pytest.raises(ValueError, match=word):
+            files.query_list(make(*names))
+    with pytest.raises(ValueError):
+        files.raw_export(make("query"))
+    with pytest.raises(ValueError):
+        report.rejected(make("phone"), "OUTSIDE")
