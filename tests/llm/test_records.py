@@ -2,6 +2,8 @@ import random
 import unicodedata
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,41 @@ def test_fusion_discounts_copies(spark):
     assert survivor.fuse_claims(survivor.claims_of(df.limit(0), ("address",))).count() == 0
 
 
+def test_copying_is_told_with_its_direction(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        for s, acc in (("a", 0.9), ("b", 0.75), ("c", 0.7), ("d", 0.7)):
+            rows.append((str(i), s, f"t{i}" if r.random() < acc else f"f{i}{r.randint(0, 19)}"))
+        own = f"t{i}" if r.random() < 0.3 else f"f{i}{r.randint(0, 19)}"
+        rows.append((str(i), "copier", rows[-4][2] if r.random() < 0.7 else own))  # of a
+    table = {}
+    for i, s, v in rows:
+        table.setdefault(i, {})[s] = v
+    accuracy = {s: sum(t[s] == f"t{i}" for i, t in table.items()) / 400 for s in ("a", "b", "c", "d", "copier")}
+    names = sorted(accuracy)
+
+    def counts(x, y):
+        same = [(t[x] == f"t{i}") for i, t in table.items() if t[x] == t[y]]
+        return (names.index(x), names.index(y), 0.0, float(sum(same)), float(len(same) - sum(same)), float(400 - len(same)))
+
+    pairs = pd.DataFrame([counts(x, y) for x, y in (("a", "copier"), ("a", "b"), ("c", "d"))], columns=["one", "other", "alike", "same_true", "same_false", "differ"])
+    forth, back, none = survivor.dependences(pairs, np.array([accuracy[n] for n in names]), 20.0, 0.1, 0.8)
+    assert back[0] > 0.9 > 0.1 > forth[0] and none[1] > 0.9 and none[2] > 0.9, (forth, back, none)
+    df = spark.createDataFrame(rows, "place_id string, source string, address string")
+    got = {x.object: x.value for x in survivor.fuse_claims(survivor.claims_of(df, ("address",))).collect()}
+    assert len(got) == 400 and sum(v == f"t{i}" for i, v in got.items()) > 400 * accuracy["a"]
+
+
+def test_fusion_of_ties_hot_objects_and_repeats(spark, clash):
+    rows = [("1", "s1", "б"), ("1", "s2", "а"), ("2", None, "x"), (None, "s1", "y"), ("3", "s1", None), ("3", "s2", " — ")] + [("hot", f"s{i % 40}", f"v{i % 7}") for i in range(3000)]
+    df = clash(spark.createDataFrame(rows, "place_id string, source string, address string")).repartition(7)
+    got = {x.object: x.value for x in survivor.fuse_claims(survivor.claims_of(df, ("address",))).collect()}
+    assert set(got) == {"1", "2", "hot"} and got["1"] == "а" and got["2"] == "x" and got["hot"] in {f"v{i}" for i in range(7)}
+    same = {x.object: x.value for x in survivor.fuse_claims(survivor.claims_of(df.unionByName(df), ("address",))).collect()}
+    assert same == got
+
+
 ADDRESSES = [
     (1, "г. Вельск, ул. Лесновская, д. 5 корп. 2"), (2, "Вельск г, Лесновская улица, 5к2"), (3, "000001, ВЕЛЬСК ГОРОД, , , , УЛИЦА ЛЕСНОВСКАЯ, Д.5, 2, , ПОМ.3"), (4, "Лecнoвcкaя ул., 5 к. 2, г. Вельск, этаж 3"),
     (5, "ul. Lesnovskaya, d. 5k2, g. Velsk"), (6, "г. Вельск, ул. Лесновсакя, 5к2"), (7, "г. Вельск, ул. Лесновская, 5"), (8, "г. Вельск, ул. Лесновская, 5А к2"), (9, "г. Вельск, Лесновский пер., 5к2"),
