@@ -96,3 +96,14 @@ def pair_overlaps(districts: DataFrame, step: float) -> DataFrame:
     a, b = held.withColumnRenamed("region", "region_a"), held.withColumnRenamed("region", "region_b")
     pairs = a.join(b, "id").filter("region_a < region_b").groupBy("region_a", "region_b").agg(F.count("*").alias("cells"))
     return pairs.join(own, "region_a").select("region_a", "region_b", "cells", F.floor(1000 * F.col("cells") / F.col("own") + 0.5).alias("per_mille"))
+
+
+def region_check(districts: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, state): for each expected name MISSING, where no region has it; BROKEN, where its shape has no edges or no finite bounds; GOOD."""
+    box = edges(districts, "district_name").groupBy("region").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("ax", "ay")])
+    finite = F.lit(True)
+    for c in box.columns[1:]:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e6)
+    known = districts.select(F.col("district_name").alias("name"), F.lit(True).alias("known")).distinct()
+    joined = names.select("name").distinct().join(known, "name", "left").join(box.withColumnRenamed("region", "name"), "name", "left")
+    return joined.select("name", F.when(F.col("known").isNull(), "MISSING").when(F.coalesce(finite, F.lit(False)), "GOOD").otherwise("BROKEN").alias("state"))

@@ -38,20 +38,41 @@ def latest_active(df: DataFrame, key: str, status: str, active: str, at: str) ->
     return rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns if c != key]), F.col(at)).alias("v")).select(key, "v.*")
 
 
+def alike_names(left: DataFrame, right: DataFrame, at_least: float, *same: str) -> DataFrame:
+    """(ka, kb, score) of distinct names, numbered k, whose stems overlap at least so much and that agree in the columns ``same``.
+
+    Of the smaller name of such a pair, one of its rarest stems must be shared, as many as it may lack and one
+    more; so only those are looked up, and a stem that very many names have is met by names of such stems only.
+    """
+    both = left.select("stems").unionByName(right.select("stems"))
+    seen = both.select(F.explode("stems").alias("s")).groupBy("s").agg(F.count("*").alias("seen"))
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        each = df.select(F.col("k").alias(f"k{side}"), *same, F.size("stems").alias(f"n{side}"), F.explode("stems").alias("s")).join(seen, "s")
+        rare = F.array_sort(F.collect_list(F.struct("seen", "s")))  # the stems of one name
+        lead = F.greatest(F.lit(1), F.col(f"n{side}") - F.ceil(F.col(f"n{side}") * at_least - 1e-9) + 1).cast("int")
+        return each.groupBy(f"k{side}", *same, f"n{side}").agg(rare.alias("rs")).select(f"k{side}", *same, f"n{side}", F.posexplode(F.transform("rs", lambda r: r["s"])).alias("i", "s"), lead.alias("lead"))
+
+    a, b = keyed(left, "a"), keyed(right, "b")
+    firsts = lambda df: df.filter("i < lead").drop("i", "lead")
+    every = lambda df: df.drop("i", "lead")
+    pairs = firsts(a).join(every(b), [*same, "s"]).filter("na <= nb").select("ka", "kb").unionByName(every(a).join(firsts(b), [*same, "s"]).filter("nb < na").select("ka", "kb")).distinct()
+    stems = lambda df, side: df.select(F.col("k").alias(f"k{side}"), F.col("stems").alias(f"stems_{side}"))
+    scored = pairs.join(stems(left, "a"), "ka").join(stems(right, "b"), "kb").select("ka", "kb", T.overlap(F.col("stems_a"), F.col("stems_b")).alias("score"))
+    return scored.filter(F.col("score") >= at_least)
+
+
 def best_names(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
     """(id_a, id_b, score): for each row of ``left`` the row of ``right`` whose name stems overlap most, ties by id.
 
     Both have id and stems, sorted. Rows of equal stems have equal answers, so only distinct names are
-    compared: a chain is one name on either side however many branches it has. Pairs are those that
-    share a stem, as nothing else can score above 0; the score is the overlap coefficient.
+    compared: a chain is one name on either side however many branches it has. The score is the overlap
+    coefficient.
     """
     key = F.array_join("stems", " ")
-    names = left.select(key.alias("ka"), "stems").filter(F.size("stems") > 0).distinct()
-    a = names.select("ka", F.size("stems").alias("na"), F.explode("stems").alias("s"))
-    kinds = right.filter(F.size("stems") > 0).groupBy(key.alias("kb"), "stems").agg(F.min("id").alias("id_b"))
-    b = kinds.select("id_b", F.size("stems").alias("nb"), F.explode("stems").alias("s"))
-    shared = a.join(b, "s").groupBy("ka", "id_b", "na", "nb").agg(F.count("*").alias("k"))
-    scored = shared.select("ka", "id_b", (F.col("k") / F.greatest(F.lit(1), F.least("na", "nb"))).alias("score")).filter(F.col("score") >= at_least)
+    names = left.select(key.alias("k"), "stems").filter(F.size("stems") > 0).distinct()
+    kinds = right.filter(F.size("stems") > 0).groupBy(key.alias("k"), "stems").agg(F.min("id").alias("id_b"))
+    scored = alike_names(names, kinds, at_least).join(kinds.select(F.col("k").alias("kb"), "id_b"), "kb")
     best = scored.groupBy("ka").agg(F.min_by(F.struct("id_b", "score"), F.struct(-F.col("score"), "id_b")).alias("m"))
     return left.select(F.col("id").alias("id_a"), key.alias("ka")).join(best, "ka").select("id_a", "m.id_b", "m.score")
 
@@ -128,8 +149,7 @@ def exists_similar(left: DataFrame, right: DataFrame, at_least: float) -> DataFr
 
     Both have id, stems and place ('' for none). Names of equal stems and place are one, so a chain is compared once.
     """
-    key = F.xxhash64("stems", "place")
-    kinds = lambda df, s: df.filter(F.size("stems") > 0).select(key.alias(f"k{s}"), "stems", "place").distinct().select(f"k{s}", F.size("stems").alias(f"n{s}"), "place", F.explode("stems").alias("s"))
-    shared = kinds(left, "a").join(kinds(right, "b"), ["place", "s"]).groupBy("ka", "kb", "na", "nb").agg(F.count("*").alias("k"))
-    good = shared.filter(F.col("k") >= at_least * F.least("na", "nb")).select("ka").distinct()
+    key = F.concat_ws("\x1f", "place", F.array_join("stems", " "))
+    kinds = lambda df: df.filter(F.size("stems") > 0).select(key.alias("k"), "stems", "place").distinct()
+    good = alike_names(kinds(left), kinds(right), at_least, "place").select("ka").distinct()
     return left.withColumn("ka", key).join(good, "ka", "left_semi").select("id")

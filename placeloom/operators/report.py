@@ -142,3 +142,30 @@ def sheet_order(names: DataFrame, first: Sequence[str]) -> DataFrame:
     every = names.select("name").unionByName(names.sparkSession.createDataFrame([(n,) for n in first], "name string")).distinct()
     rank = F.coalesce(F.nullif(F.array_position(fixed, F.col("name")), F.lit(0)), F.lit(len(first) + 1))
     return numbered_rows(every.withColumns({"_sheet": F.lit("all"), "_rank": rank}), "_sheet", ["_rank", "name"]).select("no", "name")
+
+
+def working_sheet(df: DataFrame, order: list[str], district: str = "detected_district", groups: str = "detected_category_group") -> DataFrame:
+    """The columns of a sheet of accepted places: number within the district, group label, how many share the address (blank for one),
+    'Да' for a chain, the first of several links."""
+    rows = key_counts(decorate(df), {"_same": T.normalize(F.col("address"))})
+    rows = numbered_rows(rows.withColumn("sheet", F.coalesce(T.filled(F.trim(F.col(district))), F.lit("—"))), "sheet", ["final_id"])
+    return rows.select(
+        "sheet",
+        "no",
+        "final_id",
+        "title",
+        T.group_label(F.col(groups), order).alias("groups"),
+        F.when(F.col("_same") > 1, F.col("_same")).alias("same_address"),
+        F.when(F.col("chain_flag") == "CHAIN", "Да").otherwise("").alias("chain"),
+        first_link(F.col("website")).alias("link"),
+    )
+
+
+def first_link(c: Column) -> Column:
+    """The first of several links between semicolons, '' for none."""
+    return F.coalesce(F.trim(F.get(F.split(c, ";"), F.lit(0))), F.lit(""))
+
+
+def plain_name(c: Column) -> Column:
+    """The name of a sheet without its number."""
+    return F.regexp_replace(c, r"^[0-9]+ ", "")

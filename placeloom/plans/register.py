@@ -327,6 +327,42 @@ def _(s, d):
     return _final(s, d).select("final_id", F.coalesce(T.filled(F.trim("detected_district")), F.lit("-")).alias("d")).join(o, "d").select("final_id", "osm_id")
 
 
+# sheets and other writers
+
+
+@query("ref_C13_region_check", "SELECT district_name AS name, CASE WHEN district_id = 3 THEN 'BROKEN' ELSE 'GOOD' END AS state FROM districts UNION ALL SELECT 'нет такого', 'MISSING'")
+def _(s, d):
+    real = table(s, d, "districts")
+    broken = real.withColumn("geojson", F.when(F.col("district_id") == 3, F.lit("{}")).otherwise(F.col("geojson")))
+    return geometry.region_check(broken, real.select(F.col("district_name").alias("name")).unionByName(s.createDataFrame([("нет такого",)], "name string")))
+
+
+_LABEL = R.Q["ref_P17_group_label"][1]
+
+
+@query("ref_C15_C16_working_sheet", f"{R._BY}, l AS ({_LABEL}), a AS (SELECT final_id, coalesce({R.norm('address')}, '') AS adr FROM final_filtered), m AS (SELECT final_id, CASE WHEN adr <> '' THEN count(*) OVER (PARTITION BY adr) END AS same FROM a) SELECT coalesce(nullif(trim(c.detected_district), ''), '—') AS sheet, row_number() OVER (PARTITION BY coalesce(nullif(trim(c.detected_district), ''), '—') ORDER BY c.final_id) AS no, c.final_id, c.title, l.label AS groups, CASE WHEN m.same > 1 THEN m.same END AS same_address, CASE WHEN greatest(n1, n2) >= 3 THEN 'Да' ELSE '' END AS chain, coalesce(trim(string_split(c.website, ';')[1]), '') AS link FROM c JOIN l USING (final_id) JOIN m USING (final_id)")
+def _(s, d):
+    return report.working_sheet(_final(s, d), R.GROUPS)
+
+
+@query("ref_C18_summary_by_number", "WITH n AS (SELECT DISTINCT coalesce(nullif(trim(detected_district), ''), '—') AS name FROM final_filtered), b AS (SELECT name, row_number() OVER (ORDER BY name) AS no FROM n) SELECT printf('%02d', no) || ' ' || name AS book, name, count(*) AS n FROM b JOIN final_filtered f ON coalesce(nullif(trim(f.detected_district), ''), '—') = name GROUP BY ALL")
+def _(s, d):
+    return files.books(_final(s, d), "detected_district").groupBy("book").agg(F.count("*").alias("n")).select("book", report.plain_name(F.col("book")).alias("name"), "n").orderBy("book")
+
+
+@query("ref_K9_K10_json_export", "SELECT osm_id, tags['name'] AS name, coalesce(lat, center.lat) AS lat FROM osm_places")
+def _(s, d):
+    path = work_folder(s, "json")
+    files.write_as(R._tagged(s, d), path, "json", ("osm_id", "name", "lat"))
+    return s.read.schema("osm_id long, name string, lat double").json(path)
+
+
+@query("ref_S13_union_of_sheets", "SELECT sheet, count(*) AS n, count(title) AS titles, count(kind) AS kinds FROM (SELECT 0 AS sheet, title, NULL AS kind FROM final_filtered UNION ALL SELECT 1, name, kind FROM (SELECT tags['name'] AS name, elem_type AS kind FROM osm_places)) GROUP BY 1")
+def _(s, d):
+    sheets = [_final(s, d).select(F.coalesce("detected_district", F.lit("—")).alias("Район"), "title"), table(s, d, "osm_places").select(F.lit("—").alias("Район"), F.try_element_at("tags", F.lit("name")).alias("title"), F.col("elem_type").alias("kind"))]
+    return files.union_sheets(sheets, "Район").groupBy("sheet").agg(F.count("*").alias("n"), F.count("title").alias("titles"), F.count("kind").alias("kinds"))
+
+
 # geometry, order, sets, streams
 
 

@@ -199,3 +199,23 @@ def with_run(df: DataFrame, status: str, total: int, completed: int, low: int, w
             "export_warnings": F.lit(" | ".join(dict.fromkeys(w for w in warnings if w))),
         }
     )
+
+
+def write_as(df: DataFrame, path: str, kind: str, fields: Sequence[str]) -> None:
+    """A folder of files of the chosen fields, as csv or json; other kinds need a writer that is not installed."""
+    if kind not in ("csv", "json"):
+        raise ValueError(f"no writer for {kind}")
+    rows = df.select(*fields)
+    if kind == "csv":
+        write_export(rows, path)
+    else:
+        rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def union_sheets(sheets: Sequence[DataFrame], required: str) -> DataFrame:
+    """Sheets of one book below one another by column name; each must have ``required``, and rows blank throughout are dropped."""
+    out = None
+    for i, sheet in enumerate(sheets):
+        rows = require_columns(sheet, [required]).filter(F.coalesce(*[T.filled(F.trim(F.col(f"`{c}`").cast("string"))) for c in sheet.columns]).isNotNull()).withColumn("sheet", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out

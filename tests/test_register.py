@@ -192,3 +192,23 @@ def test_query_lists_and_exports_are_told_apart(spark):
         files.raw_export(make("query"))
     with pytest.raises(ValueError):
         report.rejected(make("phone"), "OUTSIDE")
+
+
+def test_alike_names_are_all_pairs_that_share_enough(spark):
+    import random
+
+    r = random.Random(2)
+    side = lambda n: [(f"n{i}", sorted(r.sample(["hot", *"abcdefgh"], r.randint(1, 5)) if r.random() < 0.5 else {"hot", r.choice("xyz")})) for i in range(n)]
+    left, right = side(40), side(50)
+    a, b = (spark.createDataFrame(x, "k string, stems array<string>") for x in (left, right))
+    for least in (0.34, 0.5, 0.8, 1.0):
+        want = {(x, y) for x, s in left for y, t in right if len(set(s) & set(t)) >= least * min(len(s), len(t)) - 1e-9}
+        assert {(x.ka, x.kb) for x in reconcile.alike_names(a, b, least).collect()} == want
+
+
+def test_command_line(spark, tmp_path):
+    from placeloom.__main__ import main
+
+    for what in ("report", "import", "books"):
+        main([what, "--data", DATA, "--out", str(tmp_path / what)])
+    assert spark.read.parquet(str(tmp_path / "import")).count() > 0 and os.path.isdir(tmp_path / "report" / "summary")
