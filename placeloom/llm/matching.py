@@ -43,7 +43,7 @@ SMALL_ROWS = 100_000
 TRAIN_ROWS = 100_000
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
 
-ROWS = "id bigint, title string, street array<string>, kind string, ordinal int, number string, lat double, lon double, street_rows array<bigint>"
+ROWS = "side int, id bigint, title string, street array<string>, kind string, ordinal int, number string, lat double, lon double, street_rows array<bigint>"
 TITLES = "title string, tokens array<string>, numbers array<string>, title_rows array<bigint>, title_words array<bigint>"
 ATTRIBUTES = ("tokens", "numbers", "street", "kind", "ordinal", "number", "lat", "lon")
 
@@ -102,27 +102,28 @@ def title_keys(tokens: list[str]) -> list[tuple[int, int]]:
     return sorted({k for w in tokens for k in word_keys(w)})
 
 
-def addressed(df: DataFrame) -> DataFrame:
-    """From (id, title, address, lat, lon) the address's components and the coordinates in order."""
+def addressed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both tables, from (id, title, address, lat, lon), as one: ``side`` 0 and 1, the address's components and the coordinates in order."""
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
-            for i, title, address, lat, lon in zip(*(c.to_pylist() for c in b.columns)):
+            for side, i, title, address, lat, lon in zip(*(c.to_pylist() for c in b.columns)):
                 p = parse(address)
                 street = [w for w in p.words if len(w) > 3] if p and p.house else []
                 ok = lat is not None and lon is not None and lat == lat and lon == lon and lat != 0 and lon != 0
                 if ok and 36 <= lat <= 39.5:
                     lat, lon = lon, lat
-                out.append((i, title, street, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in street_rows(w)]))
-            types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)], names=[c.split()[0] for c in ROWS.split(", ")])
+                out.append((side, i, title, street, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in street_rows(w)]))
+            types = (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=[c.split()[0] for c in ROWS.split(", ")])
 
-    return df.select("id", "title", "address", F.col("lat").cast("double"), F.col("lon").cast("double")).mapInArrow(run, ROWS)
+    slim = lambda df, side: df.select(F.lit(side).alias("side"), F.col("id").cast("long").alias("id"), "title", "address", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return slim(left, 0).unionByName(slim(right, 1)).mapInArrow(run, ROWS)
 
 
-def titled(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The words that tell firms apart, the numbers and the keys of each distinct title of both tables.
+def titled(rows: DataFrame) -> DataFrame:
+    """The words that tell firms apart, the numbers and the keys of each distinct title.
 
     Which words do not tell firms apart is learned from the titles: those that stand outside quotation marks.
     """
@@ -132,7 +133,7 @@ def titled(left: DataFrame, right: DataFrame) -> DataFrame:
             found = [title_words(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.list_(pa.string())) for k in range(3))], names=["title", "words", "outside", "numbers"])
 
-    titles = left.select("title").unionByName(right.select("title")).filter("title is not null").distinct()
+    titles = rows.select("title").filter("title is not null").distinct()
     words = cut_lineage(titles.mapInArrow(cut, "title string, words array<string>, outside array<string>, numbers array<string>"))
     each = words.select("title", F.explode("words").alias("word"), F.col("outside"), F.col("title").rlike(_QUOTED.pattern).alias("quoted"))
     out = F.array_contains("outside", F.col("word"))
@@ -148,25 +149,24 @@ def titled(left: DataFrame, right: DataFrame) -> DataFrame:
     return words.join(telling, "title", "left").select("title", F.coalesce("telling", "words").alias("tokens"), "numbers").mapInArrow(keyed, TITLES)
 
 
-def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both tables, from (id, title, address, lat, lon), with the attributes that pairs are compared by; and the keys of each title."""
-    a, b = cut_lineage(addressed(left)), cut_lineage(addressed(right))
-    titles = cut_lineage(titled(a, b))
+def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables as one, from (id, title, address, lat, lon), with the attributes that pairs are compared by; and the keys of each title."""
+    rows = cut_lineage(addressed(left, right))
+    titles = cut_lineage(titled(rows))
     words = titles.select("title", "tokens", "numbers")
-    whole = lambda df: df.join(words, "title", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
-    return whole(a), whole(b), titles.select("title", "title_rows", "title_words")
+    whole = rows.join(words, "title", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
+    return whole, titles.select("title", "title_rows", "title_words")
 
 
-def placed(rows: DataFrame, others: DataFrame) -> DataFrame:
+def placed(rows: DataFrame) -> DataFrame:
     """Rows without coordinates get the middle of the rows, of both tables, that name the same house."""
     house = F.concat_ws("|", F.array_join(F.array_sort("street"), " "), "kind", F.col("ordinal").cast("string"), "number")
-    known = rows.select("street", "kind", "ordinal", "number", "lat", "lon").unionByName(others.select("street", "kind", "ordinal", "number", "lat", "lon")).filter("lat is not null and number <> ''")
-    middle = known.groupBy(house.alias("house")).agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"), F.max("lat").alias("top"), F.min("lat").alias("low"))
+    middle = rows.filter("lat is not null and number <> ''").groupBy(house.alias("house")).agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"), F.max("lat").alias("top"), F.min("lat").alias("low"))
     middle = middle.filter(F.col("top") - F.col("low") < 0.003)
-    lost = rows.filter("lat is null and number <> ''").select("id", house.alias("house"))
-    found = lost.join(middle, "house").select("id", "mid_lat", "mid_lon")
-    out = rows.join(found, "id", "left")
-    return out.withColumn("guessed", F.col("lat").isNull()).withColumn("lat", F.coalesce("lat", "mid_lat")).withColumn("lon", F.coalesce("lon", "mid_lon")).drop("mid_lat", "mid_lon")
+    lost = F.col("lat").isNull() & (F.col("number") != "")
+    found = rows.filter(lost).withColumn("house", house).join(middle.select("house", "mid_lat", "mid_lon"), "house", "left")
+    found = found.withColumns({"lat": F.col("mid_lat"), "lon": F.col("mid_lon")}).drop("house", "mid_lat", "mid_lon")
+    return rows.filter(~lost).unionByName(found)
 
 
 def _spots(rows: DataFrame, probes: bool) -> DataFrame:
@@ -361,10 +361,9 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     pairs the address is hidden, so title, distance and number of rivals are learned by themselves.
     The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash; all pairs are scored.
     """
-    a0, b0, titles = prepared(left, right)
-    a0, b0 = cut_lineage(a0), cut_lineage(b0)
-    a1, b1 = cut_lineage(alike_rows(placed(a0, b0))), cut_lineage(alike_rows(placed(b0, a0)))
-    a, b = (representatives(x) for x in (a1, b1))
+    whole, titles = prepared(left, right)
+    rows = cut_lineage(alike_rows(placed(cut_lineage(whole))))
+    a, b = (representatives(rows.filter(F.col("side") == side)) for side in (0, 1))
     seen = cut_lineage(compared(candidates(a, b, titles), a, b).join(a.select(F.col("id").alias("id_a"), "copies"), "id_a"))
     rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.sum("copies") - 1).alias("rivals"))
     seen = seen.join(rivals, "id_b", "left").fillna({"rivals": 0})
@@ -394,18 +393,18 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     scored = seen.mapInPandas(run, "id_a bigint, id_b bigint, score double, confidence double")
     best = scored.groupBy("id_b").agg(F.min_by(F.struct("id_a", "confidence"), F.struct((-F.col("score")).alias("s"), "id_a")).alias("m"))
     best = best.select("m.id_a", F.col("id_b").alias("rep"), "m.confidence").filter(F.col("confidence") >= threshold)
-    return best.join(b1.select("rep", F.col("id").alias("id_b")).distinct(), "rep").select("id_a", "id_b", "confidence")
+    return best.join(rows.filter("side = 1").select("rep", F.col("id").alias("id_b")).distinct(), "rep").select("id_a", "id_b", "confidence")
 
 
 def alike_rows(rows: DataFrame) -> DataFrame:
-    """Rows with ``rep``, the smallest id of the rows with the same attributes: such rows are compared once."""
-    told = rows.withColumn("told", F.md5(F.to_json(F.struct(*ATTRIBUTES))))
+    """Rows with ``rep``, the smallest id of the rows of their side with the same attributes: such rows are compared once."""
+    told = rows.withColumn("told", F.md5(F.to_json(F.struct("side", *ATTRIBUTES))))
     return told.join(told.groupBy("told").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "told")
 
 
 def representatives(rows: DataFrame) -> DataFrame:
     """One row of each class of ``alike_rows``, with its number of copies."""
-    return rows.filter("id = rep").dropDuplicates(["id", "told"]).drop("told", "rep")
+    return rows.filter("id = rep").dropDuplicates(["id", "told"]).drop("told", "rep", "side")
 
 
 def register_side(df: DataFrame) -> DataFrame:

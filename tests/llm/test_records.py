@@ -245,7 +245,8 @@ def test_matching_finds_planted_firms(spark, clash):
 def test_pairs_are_compared_as_one_by_one(spark):
     left, right, _ = planted(9)
     schema = "id long, title string, address string, lat double, lon double"
-    a, b, _ = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left[:60], right[:60])))
+    both, _ = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left[:60], right[:60])))
+    a, b = both.filter("side = 0"), both.filter("side = 1")
     pairs = a.select(F.col("id").alias("id_a")).join(b.select(F.col("id").alias("id_b")), F.lit(True))
     rows = {s: {x.id: x for x in df.collect()} for s, df in (("a", a), ("b", b))}
     got = matching.compared(pairs, a, b).collect()
@@ -293,7 +294,8 @@ def test_titles_of_one_word_with_a_slip_are_candidates(spark):
         left.append((i, f"Кафе «{w}»", f"Город, Лесная улица, {i + 1}", *at))
         right.append((1000 + i, slipped, f"Лесная улица, д. {i + 1}", *at))
     schema = "id long, title string, address string, lat double, lon double"
-    a, b, titles = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left, right)))
+    rows, titles = matching.prepared(*(spark.createDataFrame(x, schema) for x in (left, right)))
+    a, b = rows.filter("side = 0"), rows.filter("side = 1")
     got = {(x.id_a, x.id_b) for x in matching.candidates(a, b, titles).collect()}
     assert {(x.id_a, x.id_b) for x in matching.candidates(a, b, titles, spot_rows=1).collect()} == got
     ta, tb = ({x.id: x.tokens for x in df.collect()} for df in (a, b))
