@@ -34,8 +34,21 @@ _PLACES = """ok AS (SELECT payload_id, CAST(payload AS JSON) AS j FROM search_pa
  runs AS (SELECT payload_id, place_id, place_pos, rec_pos, query, query_text, x, CAST(CASE WHEN x IS NULL THEN 0 ELSE i END AS INTEGER) AS run_pos FROM each)"""
 
 
+# pieces of a cell: quoted spans and what no separator cuts, an extension going on with the number before it
+_SPACE = reference.WS
+_NUMBER_OF = "\\(?\\s*(?:доб(?:авочный|\\.)?|вн(?:утр|\\.)?|ext(?:ension|\\.)?|#)[\\s.:№]*[0-9]"
+_PIECE = f'(?i)(?:"(?:[^"]|"")*"|«(?:[^»]|»»)*»|“(?:[^”]|””)*”|„(?:[^“”]|““|””)*[“”]|[,;|/\n\r]\\s*{_NUMBER_OF}|[^,;|/\n\r])+'
+_BARE = lambda v: f"regexp_replace({v}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+_UNQUOTED = " ".join(f"WHEN regexp_full_match(v, '{a}(?:[^{b}]|{b}{b})*{b}') THEN {_BARE(f"replace(v[2:-2], '{b}{b}', '{b}')")}" for a, b in ('""', "«»", "“”"))
+_VALUES = " UNION ALL ".join(
+    f"SELECT final_id, '{f}' AS field_name, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM (SELECT final_id, list_filter(list_transform(regexp_extract_all({f}, '{_PIECE}'), lambda x: {_BARE('x')}), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS p FROM final_filtered)"
+    for f in ("categories", "detected_category_group", "phone")
+)
+
+
 def oracle_sql():
     return {
+        "p7_found": f"SELECT final_id, field_name, CAST(i AS INTEGER) AS pos, CASE {_UNQUOTED} ELSE v END AS item_value FROM ({_VALUES})",
         "p2_found": f"WITH {reference.NEAR}, {reference.INSIDE.replace('WITH ', '')} SELECT 'near' AS kind, id_a, id_b FROM near WHERE metres <= 40 UNION ALL SELECT 'inside', id, region FROM inside",
         "p4_found": f"WITH {_PLACES} SELECT payload_id, place_id, rec_pos, run_pos, query_text FROM runs",
         "p4_payloads": f"WITH {_PLACES}, n AS (SELECT payload_id, count(*) AS n FROM place GROUP BY 1) SELECT p.payload_id, coalesce(json_valid(p.payload), false) AS readable, CAST(coalesce(n.n, 0) AS INTEGER) AS n_places FROM search_payloads p LEFT JOIN n USING (payload_id)",
