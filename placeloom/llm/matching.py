@@ -161,7 +161,8 @@ def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 def placed(rows: DataFrame) -> DataFrame:
     """Rows without coordinates get the middle of the rows, of both tables, that name the same house."""
     house = F.concat_ws("|", F.array_join(F.array_sort("street"), " "), "kind", F.col("ordinal").cast("string"), "number")
-    middle = rows.filter("lat is not null and number <> ''").groupBy(house.alias("house")).agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"), F.max("lat").alias("top"), F.min("lat").alias("low"))
+    mean = lambda c: F.sum(F.round(F.col(c) * 1e7).cast("long")) / F.count("*") / 1e7  # noqa: E731  sums of whole numbers do not depend on the order of rows
+    middle = rows.filter("lat is not null and number <> ''").groupBy(house.alias("house")).agg(mean("lat").alias("mid_lat"), mean("lon").alias("mid_lon"), F.max("lat").alias("top"), F.min("lat").alias("low"))
     middle = middle.filter(F.col("top") - F.col("low") < 0.003)
     lost = F.col("lat").isNull() & (F.col("number") != "")
     found = rows.filter(lost).withColumn("house", house).join(middle.select("house", "mid_lat", "mid_lon"), "house", "left")
@@ -362,7 +363,7 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash; all pairs are scored.
     """
     whole, titles = prepared(left, right)
-    rows = cut_lineage(alike_rows(placed(cut_lineage(whole))))
+    rows = cut_lineage(alike_rows(cut_lineage(placed(cut_lineage(whole)))))
     a, b = (representatives(rows.filter(F.col("side") == side)) for side in (0, 1))
     seen = cut_lineage(compared(candidates(a, b, titles), a, b).join(a.select(F.col("id").alias("id_a"), "copies"), "id_a"))
     rivals = seen.filter("contain > 0.99 and conflict = 0").groupBy("id_b").agg((F.sum("copies") - 1).alias("rivals"))
