@@ -49,14 +49,18 @@ def _cells(df):
 _NAMES = ("raw_id", "title", "address", "phone", "categories", "source_records")
 
 
-@query("ref_S1_S2_K1_K2_delimited", f"SELECT {', '.join(f'{_cell(c)} AS {c}' for c in _NAMES)} FROM raw_places")
+@query("ref_S1_S2_delimited", f"SELECT {', '.join(f'{_cell(c)} AS {c}' for c in _NAMES)} FROM raw_places")
 def _(s, d):
     path = work_folder(s, "delimited")
-    files.write_export(_raw(s, d).select(*_NAMES), path)
-    header = ",".join(_NAMES)
-    s.createDataFrame([(f"﻿{header}\r",)], "line string").coalesce(1).write.text(f"{path}-header")
-    assert files.sniff_delimiter(header) == ","
-    return _cells(files.read_exported(s, path, _NAMES))
+    _raw(s, d).select(*_NAMES).write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(path)
+    return _cells(files.read_delimited(s, path))
+
+
+@query("ref_K1_K2_single_file", "SELECT CAST(query_id AS VARCHAR) AS query_id, district, group_name, category, query_text FROM query_list")
+def _(s, d):
+    path = f"{work_folder(s, 'single')}.csv"
+    files.write_export(table(s, d, "query_list").select("query_id", "district", "group_name", "category", "query_text"), path, single_file=True)
+    return _cells(files.read_delimited(s, path))
 
 
 @query("ref_S3_F9_query_list", "SELECT 'q-' || CAST(n + 1 AS VARCHAR) || '-' || CAST(n AS VARCHAR) AS id, district, group_name, category, query_text, 'PENDING' AS status FROM (SELECT *, row_number() OVER (ORDER BY query_id) AS n FROM query_list)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Sequence
 
@@ -144,12 +143,17 @@ def write_export(df: DataFrame, path: str, single_file: bool = False) -> None:
     lines.write.mode("overwrite").text(folder)
     if not single_file:
         return
-    with open(path, "wb") as out:
-        out.write((BOM + ",".join(df.columns) + "\r\n").encode())
-        for n in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
-            with open(os.path.join(folder, n), "rb") as part:
-                while block := part.read(1 << 20):
-                    out.write(block)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    out = fs.create(target, True)
+    out.write(bytearray((BOM + ",".join(df.columns) + "\r\n").encode()))
+    parts = sorted(str(x.getPath()) for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if x.getPath().getName().startswith("part-"))
+    for name in parts:
+        part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+        part.close()
+    out.close()
 
 
 def write_books(df: DataFrame, path: str, by: str) -> None:
