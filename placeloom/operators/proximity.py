@@ -1,8 +1,8 @@
 """Points near other points, and points inside regions.
 
 Positions are encoded as Morton (Z-order) codes of a fine grid. A disc or a region is
-covered by ranges of codes; the ranges meet the points in a join on the coarse cell that
-holds a range, with the code between the ends of the range; what is left is tested exactly.
+covered by ranges of codes; the ranges of a coarse cell meet its points, sorted by code,
+between the ends of the range; what is left is tested exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ METRES_PER_DEGREE = 111320.0
 FINE_BITS = 26
 #: Points of one cell that one task joins; larger cells are split by salt.
 CELL_POINTS = 20_000
+#: Pairs of a range and a point that a task tests at a time.
+JOIN_PAIRS = 1_000_000
 
 
 def usable_coordinates(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> tuple[Column, Column]:
@@ -62,8 +66,10 @@ def near_pairs(df: DataFrame, id_col: str, radius_m: float, lat: str = "latitude
     are in no pair; rows at one position are pairs; a repeated id is no pair with itself.
 
     The disc around a is cut at the borders of cells of at least twice the radius, so it is one to
-    four ranges of codes, each inside a cell; b meets it in the join on that cell. Cells with more
-    than ``cell_points`` rows are split: b keeps one salt of several, a is repeated for each.
+    four ranges of codes, each inside a cell. The points of a cell are sorted by code, and a range
+    finds its points between two places of that order; then the distance is tested. Cells with more
+    than ``cell_points`` rows are split: b keeps one salt of several, a is repeated for each, so a
+    task holds the points of one such part only and the ranges stream past them.
     """
     pts = positioned(df, id_col, lat, lon)
     cells_lat = 360.0 * METRES_PER_DEGREE / (2 * radius_m)
@@ -90,9 +96,43 @@ def near_pairs(df: DataFrame, id_col: str, radius_m: float, lat: str = "latitude
     hot = b.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_points).select("cell", F.ceil(F.col("n") / cell_points).cast("int").alias("salts"))
     b = b.join(hot, "cell", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id_b"), F.col("salts")).cast("int"))).drop("salts")
     a = a.join(hot, "cell", "left").withColumn("salt", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1)))).drop("salts")
-    metres = F.hypot((F.col("lat_a") - F.col("lat_b")) * METRES_PER_DEGREE, (F.col("lon_a") - F.col("lon_b")) * METRES_PER_DEGREE * F.cos(F.radians("lat_a")))
-    met = a.join(b, (a.cell == b.cell) & (a.salt == b.salt) & (F.col("id_a") < F.col("id_b")) & F.col("code").between(F.col("lo"), F.col("hi")))
-    return met.select("id_a", "id_b", metres.alias("metres")).filter(F.col("metres") <= radius_m)
+    # points and ranges of a cell lie together, the points first, both in the order of their codes
+    points = b.select("cell", "salt", F.lit(0).alias("kind"), F.col("code").alias("lo"), F.col("code").alias("hi"), F.col("id_b").alias("id"), F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"))
+    ranges = a.select("cell", "salt", F.lit(1).alias("kind"), "lo", "hi", F.col("id_a").alias("id"), F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon"))
+    laid = points.unionByName(ranges).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind", "lo")
+    inner = 2 * drop
+
+    def join(batches):
+        held: dict[str, np.ndarray] | None = None  # the points of the cell that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {n: batch.column(n).to_numpy() for n in ("cell", "salt", "kind", "lo", "hi", "id", "lat", "lon")}
+            if held is not None and (held["cell"][0], held["salt"][0]) == (col["cell"][0], col["salt"][0]):
+                col = {n: np.concatenate((held[n], col[n])) for n in col}
+            cell, salt, point = col["cell"], col["salt"], col["kind"] == 0
+            group = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]))))
+            low = (1 << inner) - 1
+            key = (group[point] << inner) | (col["lo"][point] & low)
+            asked = np.flatnonzero(~point)
+            first = key.searchsorted((group[asked] << inner) | (col["lo"][asked] & low), "left")
+            behind = key.searchsorted((group[asked] << inner) | (col["hi"][asked] & low), "right")
+            of_b = np.flatnonzero(point)
+            edge = np.cumsum(behind - first)
+            at = 0
+            while at < len(asked):
+                to = max(at + 1, int(edge.searchsorted((edge[at - 1] if at else 0) + JOIN_PAIRS, "right")))
+                many = behind[at:to] - first[at:to]
+                i = np.repeat(asked[at:to], many)
+                j = of_b[np.arange(len(i)) + np.repeat(first[at:to] - (np.cumsum(many) - many), many)]
+                m = np.hypot((col["lat"][i] - col["lat"][j]) * METRES_PER_DEGREE, (col["lon"][i] - col["lon"][j]) * METRES_PER_DEGREE * np.cos(np.radians(col["lat"][i])))
+                good = (col["id"][i] < col["id"][j]) & (m <= radius_m)
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (col["id"][i], col["id"][j], m)], names=["id_a", "id_b", "metres"])
+                at = to
+            last = point & (group == group[-1])
+            held = {n: v[last] for n, v in col.items()} if last.any() else None
+
+    return laid.mapInArrow(join, "id_a bigint, id_b bigint, metres double")
 
 
 def rings_of(geojson: str | None) -> list[list[tuple[float, float]]]:
