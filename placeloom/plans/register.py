@@ -220,8 +220,9 @@ _STORED = "SELECT key, count(*) AS hits, max(CASE detail_level WHEN 'LIST' THEN
 
 def _register(s, d):
     reg = Register(s, work_folder(s, "register"), ("title", "phone", "website", "categories", "opening_hours"))
-    reg.put_raw(_raw(s, d).filter("raw_id % 2 = 0"), "raw_id")
-    reg.put_raw(_raw(s, d).filter("raw_id % 2 = 1"), "raw_id")
+    card = F.col("detail_level") == "CARD"
+    for part in (_raw(s, d).filter(card), _raw(s, d).filter(~F.coalesce(card, F.lit(False)))):  # cards first, then all other captures
+        reg.put_raw(part, "raw_id")
     reg.put("final", _final(s, d).select(F.concat(F.lit("id:"), "place_id").alias("key"), "title"))
     reg.put("final", _final(s, d).select(F.concat(F.lit("id:"), "place_id").alias("key"), F.upper("title").alias("title")))
     return reg

@@ -23,6 +23,9 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it from there.
 
@@ -44,8 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     if named is None:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="placeloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _FOLDERS:
+            _FOLDERS[app] = tempfile.mkdtemp(prefix="placeloom-ckpt-")
+        named = _FOLDERS[app]
     return named
 
 
