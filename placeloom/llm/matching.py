@@ -9,6 +9,7 @@ firm, its scores are calibrated on held-out labels, and each object keeps its li
 
 from __future__ import annotations
 
+import math
 import re
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -41,6 +42,9 @@ SPOT_ROWS = 5_000
 SMALL_ROWS = 100_000
 #: Labelled pairs that the classifier is fitted on, at most.
 TRAIN_ROWS = 100_000
+#: Held-out labels that calibration needs; with fewer the classifier's own chances stand.
+CALIBRATED = 40
+OWN_CHANCES = [x / 2 for x in range(-16, 17)], [1 / (1 + math.exp(-x / 2)) for x in range(-16, 17)]
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
 
 ROWS = "side int, id bigint, title string, street array<string>, kind string, ordinal int, number string, lat double, lon double, street_rows array<bigint>"
@@ -383,7 +387,7 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     else:
         w = fit_logistic(x[~held], y[~held])
         score = x[held] @ w
-        knots = isotonic(score, y[held]) if len(score) >= 40 else ([-4.0, 0.0, 4.0], [0.02, 0.5, 0.98])
+        knots = isotonic(score, y[held]) if len(score) >= CALIBRATED else OWN_CHANCES
 
     def run(frames):
         for p in frames:
