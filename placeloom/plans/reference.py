@@ -65,10 +65,6 @@ def _final(s, d):
     return table(s, d, "final_filtered")
 
 
-def _long(c):
-    return F.col(c).cast("long")
-
-
 #: Districts that may be named in expressions; beyond, they are no fixed list and an error.
 MAX_DISTRICTS = 1_000
 
@@ -232,14 +228,15 @@ def _(s, d):
     return merge.import_dedupe(merge.keyed(_raw(s, d)), ("title", "phone"), "raw_id").select("key", F.coalesce("title", F.lit("\0")).alias("t"), "n_rows")
 
 
-_HALVES = "max(captured_at) OVER () AS last"
+_UPSERTED = ", ".join(f"arg_min({f}, CASE WHEN detail_level = 'CARD' THEN 0 ELSE 1000000000000 END + raw_id) FILTER (WHERE coalesce(CAST({f} AS VARCHAR), '') <> '') AS {f}" for f in FIELDS)
 
 
-@query("ref_J4_T1_upsert", f"SELECT key, {_MERGED}, count(*) AS hits FROM ({_KEYED}) WHERE key IS NOT NULL GROUP BY 1")
+@query("ref_J4_upsert", f"SELECT key, {_UPSERTED} FROM ({_KEYED}) WHERE key IS NOT NULL GROUP BY 1")
 def _(s, d):
     k = merge.keyed(_raw(s, d))
-    both = merge.union_registers(k.filter("detail_level = 'CARD'"), k.filter("detail_level is null or detail_level <> 'CARD'"))
-    return merge.merge_records(both, FIELDS, "raw_id", records=None).select("key", *FIELDS, F.col("n_rows").alias("hits"))
+    card = F.coalesce(F.col("detail_level") == "CARD", F.lit(False))
+    stored = merge.merge_records(k.filter(card), FIELDS, "raw_id", records=None).select("key", *FIELDS, "detail_level")
+    return merge.upsert(stored, k.filter(~card).select("key", "raw_id", *FIELDS, "detail_level"), FIELDS, "raw_id").select("key", *FIELDS)
 
 
 @query("ref_J5_prefer_source", "SELECT place_id, title, 0 AS from_source FROM final_filtered UNION ALL SELECT pid, arg_min(title, raw_id), 1 FROM (SELECT trim(place_id) AS pid, coalesce(title, '') AS title, raw_id FROM raw_places WHERE trim(place_id) <> '') WHERE pid NOT IN (SELECT place_id FROM final_filtered) GROUP BY 1")
@@ -327,7 +324,7 @@ def _(s, d):
 _INDEX = f"SELECT osm_id, lat, lon, coalesce({_STREET}, '') AS street, {_HOUSE} AS house FROM ({_TAGGED}) WHERE v IS NOT NULL AND h IS NOT NULL"
 
 
-@query("ref_J13_A29_geocode", f"WITH i AS ({_INDEX}), h AS (SELECT street, house, arg_max(lat, osm_id) AS lat, arg_max(lon, osm_id) AS lon FROM i GROUP BY ALL), l AS (SELECT street, avg(lat) AS lat, avg(lon) AS lon FROM i GROUP BY 1 HAVING max(lat) - min(lat) < 1e-9 AND max(lon) - min(lon) < 1e-9), q AS (SELECT final_id AS id, coalesce({_STREET}, '') AS street, {_HOUSE} AS house FROM (SELECT final_id, string_split(address, ',')[-2] AS v, string_split(address, ',')[-1] AS h FROM final_filtered WHERE address LIKE '%,%')) SELECT id, CASE WHEN h.lat IS NOT NULL THEN 'HOUSE' WHEN l.lat IS NOT NULL THEN 'STREET' ELSE 'NONE' END AS precision FROM q LEFT JOIN h USING (street, house) LEFT JOIN l ON l.street = q.street")
+@query("ref_J13_geocode", f"WITH i AS ({_INDEX}), h AS (SELECT street, house, arg_max(lat, osm_id) AS lat, arg_max(lon, osm_id) AS lon FROM i GROUP BY ALL), l AS (SELECT street, avg(lat) AS lat, avg(lon) AS lon FROM i GROUP BY 1 HAVING max(lat) - min(lat) < 1e-9 AND max(lon) - min(lon) < 1e-9), q AS (SELECT final_id AS id, coalesce({_STREET}, '') AS street, {_HOUSE} AS house FROM (SELECT final_id, string_split(address, ',')[-2] AS v, string_split(address, ',')[-1] AS h FROM final_filtered WHERE address LIKE '%,%')) SELECT id, CASE WHEN h.lat IS NOT NULL THEN 'HOUSE' WHEN l.lat IS NOT NULL THEN 'STREET' ELSE 'NONE' END AS precision FROM q LEFT JOIN h USING (street, house) LEFT JOIN l ON l.street = q.street")
 def _(s, d):
     ix = _tagged(s, d).filter("v is not null and h is not null").select(F.col("osm_id").alias("pos"), "lat", "lon", T.street_key(F.col("v")).alias("street"), T.house_key(F.col("h")).alias("house"))
     parts = F.split("address", ",")

@@ -326,6 +326,12 @@ def _(s, d):
     return reconcile.exists_similar(side(R._tagged(s, d), "osm_id", "name"), side(_final(s, d), "final_id", "title"), 0.8).select(F.col("id").alias("osm_id"))
 
 
+@query("ref_A29_only_district", f"WITH b AS (SELECT {R.norm('string_split(address, chr(44))[2]')} AS street, trim(detected_district) AS d FROM final_filtered WHERE address LIKE '%,%' AND trim(detected_district) <> '') SELECT street, min(d) AS district FROM b GROUP BY 1 HAVING count(DISTINCT d) = 1")
+def _(s, d):
+    rows = _final(s, d).filter("address like '%,%'").select(T.normalize(F.get(F.split("address", ","), F.lit(1))).alias("street"), T.filled(F.trim("detected_district")).alias("district"))
+    return reconcile.only_candidate(rows, "street", "district")
+
+
 @query("ref_J19_books_join", "SELECT f.final_id, o.osm_id FROM final_filtered f JOIN osm_places o ON coalesce(o.tags['addr:city'], '') = coalesce(nullif(trim(f.detected_district), ''), '-') AND o.elem_type = 'way'")
 def _(s, d):
     o = table(s, d, "osm_places").filter("elem_type = 'way'").select("osm_id", F.coalesce(F.try_element_at("tags", F.lit("addr:city")), F.lit("")).alias("d"))
