@@ -61,11 +61,6 @@ class Units:
 UNITS = Units()
 
 
-def number_units(cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """``UNITS.number`` of the process that calls it; a function sent to workers must not carry UNITS itself."""
-    return UNITS.number(cut)
-
-
 class UnitTable:
     """What an engine makes of the numbered units, in flat arrays: the ids, the character after each token
     within its unit (-1 - that where a token ends within a character), and by unit where its tokens start,
