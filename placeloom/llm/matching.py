@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.llm.addressparse import _near, parse, signs, to_latin
@@ -28,6 +28,8 @@ from placeloom.session import cut_lineage
 #: A word is general, as it names a kind of firm or a legal form and does not tell firms apart, if it stands outside the quotation
 #: marks of at least so many different titles, and in so large a share of the titles with quotation marks that have it.
 GENERAL_TITLES, GENERAL_SHARE = 3, 0.9
+#: A word of an address names a town, if another word stands beside the kind of street in at least so many of the rows that have it and tell, and in so large a share of them.
+TOWN_ROWS, TOWN_SHARE = 3, 0.9
 #: MinHash rows of each word of a title and of a street.
 TITLE_ROWS, STREET_ROWS = 3, 2
 #: Signs from which a word of a title is keyed by its first and last AFFIX signs; up to there, by its deletions.
@@ -47,9 +49,9 @@ CALIBRATED = 40
 OWN_CHANCES = [x / 2 for x in range(-16, 17)], [1 / (1 + math.exp(-x / 2)) for x in range(-16, 17)]
 FEATURES = ("bias", "contain", "weak", "jaccard", "exact", "no_number", "near", "far", "no_place", "rivals", "same_address", "other_address", "no_address")
 
-ROWS = "side int, id bigint, title string, street array<string>, kind string, ordinal int, number string, lat double, lon double, street_rows array<bigint>"
+ROWS = "side int, id bigint, title string, street array<string>, road array<string>, kind string, ordinal int, number string, lat double, lon double, street_rows array<bigint>"
 TITLES = "title string, tokens array<string>, numbers array<string>, title_rows array<bigint>, title_words array<bigint>"
-ATTRIBUTES = ("tokens", "numbers", "street", "kind", "ordinal", "number", "lat", "lon")
+ATTRIBUTES = ("tokens", "numbers", "street", "town", "kind", "ordinal", "number", "lat", "lon")
 
 _QUOTED = re.compile(r'[«"“„]([^«»"“”„]*)[»"”“]')
 
@@ -115,17 +117,32 @@ def addressed(left: DataFrame, right: DataFrame) -> DataFrame:
             for side, i, title, address, lat, lon in zip(*(c.to_pylist() for c in b.columns)):
                 p = parse(address)
                 street = [w for w in p.words if len(w) > 3] if p and p.house else []
+                road = [w for w, beside in zip(p.words, p.beside) if beside and len(w) > 3] if street else []
                 ok = lat is not None and lon is not None and lat == lat and lon == lon and lat != 0 and lon != 0
                 if ok and 36 <= lat <= 39.5:
                     lat, lon = lon, lat
-                out.append((side, i, title, street, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in street_rows(w)]))
-            types = (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+                out.append((side, i, title, street, road, p.kind if street else "", p.ordinal if street else 0, p.number if street else "", lat if ok else None, lon if ok else None, [h for w in street for h in street_rows(w)]))
+            types = (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=[c.split()[0] for c in ROWS.split(", ")])
 
     slim = lambda df, side: df.select(F.lit(side).alias("side"), F.col("id").cast("long").alias("id"), "title", "address", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     return slim(left, 0).unionByName(slim(right, 1)).mapInArrow(run, ROWS)
 
 
+def towned(rows: DataFrame) -> DataFrame:
+    """Rows whose ``street`` is without the words that name the town, which are in ``town``: rows of one town are not in one street.
+
+    Which words do so is learned from the rows that have a word beside a kind of street. A row without another word keeps them as its street.
+    """
+    each = rows.filter(F.size("road") > 0).select("road", F.explode("street").alias("word"))
+    aside = ~F.array_contains("road", F.col("word"))
+    towns = each.groupBy("word").agg(F.count_if(aside).alias("aside"), F.count("*").alias("n")).filter((F.col("aside") >= TOWN_ROWS) & (F.col("aside") >= TOWN_SHARE * F.col("n"))).select("word")
+    streets = rows.filter(F.size("street") > 0).select("street").distinct()
+    named = streets.select("street", F.explode("street").alias("word")).join(towns, "word").groupBy("street").agg(F.collect_set("word").alias("towns"))
+    named = named.select("street", F.array_except("street", "towns").alias("rest"), F.array_intersect("street", "towns").alias("town")).filter(F.size("rest") > 0)
+    return rows.drop("road").join(named, "street", "left").withColumns({"street": F.coalesce("rest", "street"), "town": F.coalesce("town", F.array().cast("array<string>"))}).drop("rest")
+
+
 def titled(rows: DataFrame) -> DataFrame:
     """The words that tell firms apart, the numbers and the keys of each distinct title.
 
@@ -158,13 +175,13 @@ def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(addressed(left, right))
     titles = cut_lineage(titled(rows))
     words = titles.select("title", "tokens", "numbers")
-    whole = rows.join(words, "title", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
+    whole = towned(rows).join(words, "title", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "numbers")})
     return whole, titles.select("title", "title_rows", "title_words")
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """Rows without coordinates get the middle of the rows, of both tables, that name the same house."""
-    house = F.concat_ws("|", F.array_join(F.array_sort("street"), " "), "kind", F.col("ordinal").cast("string"), "number")
+    house = F.concat_ws("|", F.array_join(F.array_sort(F.array_union("street", "town")), " "), "kind", F.col("ordinal").cast("string"), "number")
     mean = lambda c: F.sum(F.round(F.col(c) * 1e7).cast("long")) / F.count("*") / 1e7  # noqa: E731  sums of whole numbers do not depend on the order of rows
     middle = rows.filter("lat is not null and number <> ''").groupBy(house.alias("house")).agg(mean("lat").alias("mid_lat"), mean("lon").alias("mid_lon"), F.max("lat").alias("top"), F.min("lat").alias("low"))
     middle = middle.filter(F.col("top") - F.col("low") < 0.003)
@@ -261,10 +278,10 @@ def compared_batch(b: pa.RecordBatch) -> pa.RecordBatch:
     """Per pair the letters in common by the shorter and by both titles, whether titles are equal, whether numbers differ, metres or NaN, and the address: 1 same, -1 other, 0 unknown."""
     n = b.num_rows
     col = b.column
-    w = _Words([_list(col(c)) for c in ("tokens_a", "tokens_b", "street_a", "street_b", "numbers_a", "numbers_b")])
-    ta, tb, sa, sb, na, nb = w.lists
+    w = _Words([_list(col(c)) for c in ("tokens_a", "tokens_b", "street_a", "street_b", "numbers_a", "numbers_b", "town_a", "town_b")])
+    ta, tb, sa, sb, na, nb, town_a, town_b = w.lists
     # the town or street that a title names beside the firm is in the addresses
-    place = sa + sb
+    place = sa + sb + town_a + town_b
 
     def telling(t: _Lists) -> _Lists:
         other = ~w.any_alike(t, place, _same)
@@ -324,13 +341,14 @@ def _design(p: pd.DataFrame, known: np.ndarray) -> np.ndarray:
     ).astype(float)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; ``weight`` says how many rows each row stands for."""
     w = np.zeros(x.shape[1])
+    many = np.ones(len(y)) if weight is None else weight
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        grad = x.T @ (many * (p - y)) + ridge * w
+        hess = (x * (many * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -338,13 +356,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def isotonic(score: np.ndarray, y: np.ndarray, knots: int = 20) -> tuple[list[float], list[float]]:
-    """Rising calibrated probabilities at the means of equal groups of scores (pooled adjacent violators)."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, knots: int = 20) -> tuple[list[float], list[float]]:
+    """Rising calibrated probabilities at the means of groups of scores (pooled adjacent violators).
+
+    Groups hold equal parts of the positives and of the negatives taken together, so that positives are told apart however rare they are.
+    """
+    many = np.ones(len(y)) if weight is None else weight
     order = np.argsort(score, kind="stable")
-    groups = [g for g in np.array_split(order, min(knots, max(1, len(order) // 20))) if len(g)]
+    ones, mass = y[order] > 0, many[order]
+    part = np.cumsum(np.where(ones, mass / max(1e-9, mass[ones].sum()), mass / max(1e-9, mass[~ones].sum())))
+    at = np.linspace(0, part[-1] if len(part) else 0.0, min(knots, max(1, len(order) // 20)) + 1)[1:-1]
+    groups = [g for g in np.split(order, np.searchsorted(part, at)) if len(g)]
     blocks: list[list[float]] = []
     for g in groups:
-        blocks.append([float(score[g].mean()), float(y[g].sum()) + 0.5, len(g) + 1.0])
+        n = float(many[g].sum())
+        blocks.append([float(many[g] @ score[g]) / n, float(many[g] @ y[g]) + 0.5, n + 1.0])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             s, a, n = blocks.pop()
             t = blocks[-1]
@@ -352,19 +378,37 @@ def isotonic(score: np.ndarray, y: np.ndarray, knots: int = 20) -> tuple[list[fl
     return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]
 
 
+def drawn(labelled: DataFrame, train_rows: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """At most ``train_rows`` of the rows of ``label`` and ``draw``, half of them of either label where there are as many, and how many rows each stands for.
+
+    The rarer of the two is drawn more densely: its share falls as tables grow.
+    """
+    totals = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    half = train_rows // 2
+    room = {k: max(half, train_rows - sum(n for j, n in totals.items() if j != k)) for k in totals}
+    parts = [
+        labelled.filter((F.col("label") == k) & (F.pmod("draw", F.lit(1_000_000_000)) < int(min(1.0, 0.9 * room[k] / n) * 1_000_000_000))).orderBy("draw").limit(room[k]).toPandas()
+        for k, n in sorted(totals.items())
+    ]
+    stands = [totals[p["label"].iloc[0]] / len(p) for p in parts if len(p)]
+    weight = np.concatenate([np.full(len(p), x / min(stands)) for p, x in zip((p for p in parts if len(p)), stands)]) if stands else np.zeros(0)
+    return pd.concat(parts, ignore_index=True) if parts else labelled.limit(0).toPandas(), weight
+
+
 def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """(id_a, id_b, confidence): the likeliest row of ``left`` for each row of ``right``, of at least ``threshold``.
 
     Both tables have id, title, address, lat, lon. Rows without a word in the title are matched by
     nothing; null addresses and missing, zero or swapped coordinates are allowed, a row without
-    coordinates being placed by other rows of its house. Repeated rows are matched alike; ties go to
-    the smaller id. Empty tables give an empty table.
+    coordinates being placed by other rows of its house. Repeated rows are matched alike, those of
+    ``right`` with those of ``left`` in turn; other ties go to the smaller id. Empty tables give an empty table.
 
     Weak labels: pairs of one address whose titles contain one another are positive; pairs of
     different addresses, or whose titles lack more than a quarter of one another or differ in a number,
     are negative. For half of the labelled
     pairs the address is hidden, so title, distance and number of rivals are learned by themselves.
-    The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash; all pairs are scored.
+    The fit uses a sample of at most ``train_rows`` labelled pairs, drawn by hash from either label and
+    weighted by its share; all pairs are scored.
     """
     whole, titles = prepared(left, right)
     rows = cut_lineage(alike_rows(cut_lineage(placed(cut_lineage(whole)))))
@@ -374,20 +418,18 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     seen = seen.join(rivals, "id_b", "left").fillna({"rivals": 0})
     label = F.when((F.col("address") == 1) & (F.col("contain") > 0.99) & (F.col("conflict") == 0), 1).when((F.col("address") == -1) | (F.col("contain") < 0.75) | (F.col("conflict") == 1), 0)
     labelled = seen.withColumn("label", label).filter("label is not null").withColumn("draw", F.xxhash64("id_a", "id_b", F.lit(7)))
-    total = labelled.count()
-    if not total:
+    sample, weight = drawn(labelled, train_rows)
+    if not len(sample):
         return seen.select("id_a", "id_b", F.lit(0.0).alias("confidence")).limit(0)
-    share = min(1.0, 0.9 * train_rows / total)
-    sample = labelled.filter(F.pmod("draw", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("draw").limit(train_rows).toPandas()
     known = (sample["draw"].to_numpy() // 1_000_003) % 2 == 0
     held = (sample["draw"].to_numpy() // 7_000_003) % 5 == 0
     x, y = _design(sample, known), sample["label"].to_numpy(float)
     if len(set(y)) < 2:
         w, knots = np.zeros(len(FEATURES)), ([0.0], [float(y[0]) if len(y) else 0.0])
     else:
-        w = fit_logistic(x[~held], y[~held])
+        w = fit_logistic(x[~held], y[~held], weight[~held])
         score = x[held] @ w
-        knots = isotonic(score, y[held]) if len(score) >= CALIBRATED else OWN_CHANCES
+        knots = isotonic(score, y[held], weight[held]) if len(score) >= CALIBRATED else OWN_CHANCES
 
     def run(frames):
         for p in frames:
@@ -398,7 +440,7 @@ def match_places(left: DataFrame, right: DataFrame, train_rows: int = TRAIN_ROWS
     scored = seen.mapInPandas(run, "id_a bigint, id_b bigint, score double, confidence double")
     best = scored.groupBy("id_b").agg(F.min_by(F.struct("id_a", "confidence"), F.struct((-F.col("score")).alias("s"), "id_a")).alias("m"))
     best = best.select("m.id_a", F.col("id_b").alias("rep"), "m.confidence").filter(F.col("confidence") >= threshold)
-    return best.join(rows.filter("side = 1").select("rep", F.col("id").alias("id_b")).distinct(), "rep").select("id_a", "id_b", "confidence")
+    return shared_out(best, rows)
 
 
 def alike_rows(rows: DataFrame) -> DataFrame:
@@ -407,6 +449,17 @@ def alike_rows(rows: DataFrame) -> DataFrame:
     return told.join(told.groupBy("told").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "told")
 
 
+def shared_out(best: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id_a, id_b, confidence) of pairs of representatives (id_a, rep, confidence): copies of an object go to the copies of its place in turn, in order of ids."""
+    turn = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("id")) - 1
+    ids = lambda side: rows.filter(f"side = {side}").select("rep", "id", "copies").distinct()
+    twins = ids(0).filter("copies > 1").select(F.col("rep").alias("id_a"), "id")
+    counts = twins.groupBy("id_a").agg(F.count("*").alias("n"))
+    twins = twins.select("id_a", turn("id_a").alias("turn"), F.col("id").alias("twin"))
+    pairs = best.join(ids(1), "rep").join(counts, "id_a", "left").withColumn("turn", F.pmod(turn("rep"), F.coalesce("n", F.lit(1))).cast("int"))
+    return pairs.join(twins, ["id_a", "turn"], "left").select(F.coalesce("twin", "id_a").alias("id_a"), F.col("id").alias("id_b"), "confidence")
+
+
 def representatives(rows: DataFrame) -> DataFrame:
     """One row of each class of ``alike_rows``, with its number of copies."""
     return rows.filter("id = rep").dropDuplicates(["id", "told"]).drop("told", "rep", "side")
